@@ -1,0 +1,49 @@
+"""Run every registered query against its oracle SQL and print a table.
+
+Usage: python tests/run_oracle.py [sf_dir] [name ...]
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import __spark_entry__ as E  # noqa: E402
+from oracle_compare import compare, duck  # noqa: E402
+
+from cabgrid.session import local_session  # noqa: E402
+
+
+def main() -> int:
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    only = set(sys.argv[2:])
+    spark = local_session(8, 8)
+    con = duck(sf_dir)
+    qs, sql = E.queries(), E.oracle_sql()
+    bad = 0
+    for name, fn in qs.items():
+        if only and name not in only:
+            continue
+        t0 = time.time()
+        df = fn(spark, sf_dir)
+        if name in sql:
+            r = compare(df, con, sql[name])
+            ok = r["names"] and r["values"] and r["rows"][0] == r["rows"][1]
+            bad += not ok
+            line = {"q": name, "ok": ok, "rows": r["rows"], "sec": round(time.time() - t0, 2)}
+            if not ok:
+                line.update(spark_names=r["spark_names"], duck_names=r["duck_names"], diff=r["first_diff"])
+        else:
+            n = df.count()
+            line = {"q": name, "ok": None, "rows": n, "sec": round(time.time() - t0, 2)}
+        print(json.dumps(line, default=str), flush=True)
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
