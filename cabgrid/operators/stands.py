@@ -110,8 +110,8 @@ def sweep_stands(
     **params,
 ) -> StandSweep:
     """Persist the points once and fit one model per k."""
-    if not ks or any(k < 1 for k in ks):
-        raise ValueError("ks must be positive")
+    if not ks or any(k < 2 for k in ks):
+        raise ValueError("every k must be at least 2 (Spark ML's lower bound)")
     points = points.persist(storage)
     sweep = StandSweep(points)
     for k in ks:
