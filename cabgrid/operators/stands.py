@@ -3,7 +3,7 @@
 Distances are plain Euclidean in degrees on (latitude, longitude), as in the
 original study.  Spark ML trains each model over the whole point set (no
 sampling); the points are persisted once for the whole k sweep, so the source
-is scanned once.  Persisted blocks lost with an executor are recomputed from
+is scanned once, and the models are fitted as concurrent jobs.  Persisted blocks lost with an executor are recomputed from
 the short scan-filter-project lineage.
 
 Per-point costs for every k come out of one pass: the models' transforms are
@@ -16,9 +16,11 @@ combines map-side into at most sum(ks) rows per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.util import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -107,15 +109,30 @@ def sweep_stands(
     ks: Sequence[int] = C.STAND_KS,
     seed: int = C.KMEANS_SEED,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    parallelism: int | None = None,
     **params,
 ) -> StandSweep:
-    """Persist the points once and fit one model per k."""
+    """Persist the points once and fit one model per k.
+
+    The fits are independent, so up to ``parallelism`` (default: all ks) run
+    as concurrent Spark jobs, as Spark ML's tuning classes do; each fit
+    gives the same model as when run alone.  A point set read into fewer
+    partitions than the cluster has cores (a small file) is first spread
+    round-robin so every iteration uses all cores; a large input already
+    has more partitions and is not shuffled.
+    """
+    ks = [int(k) for k in ks]
     if not ks or any(k < 2 for k in ks):
         raise ValueError("every k must be at least 2 (Spark ML's lower bound)")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    if points.rdd.getNumPartitions() < cores:
+        points = points.repartition(cores)
     points = points.persist(storage)
     sweep = StandSweep(points)
-    for k in ks:
-        sweep.models[int(k)] = fit_stands(points, int(k), seed, **params)
+    fit = inheritable_thread_target(points.sparkSession)(lambda k: fit_stands(points, k, seed, **params))
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or len(ks))) as pool:
+        for k, model in zip(ks, pool.map(fit, ks)):
+            sweep.models[k] = model
     return sweep
 
 

@@ -60,8 +60,19 @@ def _lines(spark, sf_dir):
     return trip_lines_from_events(_events(spark, sf_dir))
 
 
+def line_file(spark: SparkSession, sf_dir: str) -> str:
+    """Write the derived raw lines as a text file in the shared folder.
+
+    Queries on raw lines then start from ``spark.read.text`` like any text
+    source, instead of carrying the line-building expression in their plan.
+    """
+    path = new_table_path(spark, "lines")
+    _lines(spark, sf_dir).select("value").write.text(path)
+    return path
+
+
 def _line_trips(spark, sf_dir):
-    return trips_from_records(parse_trip_lines(_lines(spark, sf_dir), keep=["event_id"]))
+    return trips_from_records(parse_trip_lines(read_trip_lines(spark, line_file(spark, sf_dir))))
 
 
 # --- trips, predicates, scalar functions ---------------------------------------
@@ -192,7 +203,7 @@ def filter_trip_lines(spark, sf_dir):
 
 
 def trip_line_outcomes(spark, sf_dir):
-    out = line_outcomes(_lines(spark, sf_dir))
+    out = line_outcomes(read_trip_lines(spark, line_file(spark, sf_dir)))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -207,19 +218,13 @@ def profitable_areas_from_lines(spark, sf_dir):
 # --- sources and sinks through the shared folder --------------------------------
 
 
-def _written_lines(spark, sf_dir) -> str:
-    path = new_table_path(spark, "lines")
-    _lines(spark, sf_dir).select("value").write.text(path)
-    return path
-
-
 def text_roundtrip(spark, sf_dir):
-    path = _written_lines(spark, sf_dir)
+    path = line_file(spark, sf_dir)
     return parse_trip_lines(read_trip_lines(spark, path)).select(*RAW_COLUMNS)
 
 
 def csv_roundtrip(spark, sf_dir):
-    path = _written_lines(spark, sf_dir)
+    path = line_file(spark, sf_dir)
     return read_trip_csv(spark, path).select(*RAW_COLUMNS)
 
 

@@ -268,8 +268,9 @@ def statements() -> dict[str, str]:
 
     # Raw text lines.
     lines = _with(LINES, PARSED)
-    q["parse_trip_lines"] = lines + "SELECT * FROM line_trips"
-    q["filter_trip_lines"] = lines + f"SELECT * FROM line_trips WHERE {VALID_PREDICATE}"
+    line_cols = RAW_NAMES + ", pickup_ts, dropoff_ts"
+    q["parse_trip_lines"] = lines + f"SELECT {line_cols} FROM line_trips"
+    q["filter_trip_lines"] = lines + f"SELECT {line_cols} FROM line_trips WHERE {VALID_PREDICATE}"
     q["trip_line_outcomes"] = _with(
         LINES,
         PARSED,
