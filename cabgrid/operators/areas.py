@@ -106,29 +106,36 @@ def area_profitability_join(
     )
 
 
-def area_profitability(
+def area_totals(
     trips: DataFrame,
     empty_from: int = C.EMPTY_FROM_MINUTE,
     profit_from: int = C.PROFIT_FROM_MINUTE,
 ) -> DataFrame:
-    """Same result as :func:`area_profitability_join` in one scan and one shuffle.
+    """(weekday, hour, cell, empty_taxis, revenue_sum, revenue_trips).
 
     The later window lies inside the earlier one, so both measures are
-    conditional aggregates of one grouping; keeping only groups with a
-    late trip gives the inner-join semantics.  Requires
+    conditional aggregates of one grouping.  All three totals are additive,
+    so they can also be kept as streaming state.  Requires
     ``profit_from >= empty_from``.
     """
     if profit_from < empty_from:
         raise ValueError("profit window must lie inside the empty-taxi window")
     keyed = dropoff_keys(last_minutes_dropoffs(usable(trips), empty_from))
     late = F.col("minute") >= F.lit(profit_from)
-    agg = keyed.groupBy(*KEYS).agg(
+    return keyed.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("empty_taxis"),
         F.sum(F.when(late, F.col("revenue"))).alias("revenue_sum"),
         F.count(F.when(late, F.lit(1))).alias("revenue_trips"),
     )
+
+
+def profitability_from_totals(totals: DataFrame) -> DataFrame:
+    """Totals → (weekday, hour, cell, empty_taxis, mean_revenue, profitability).
+
+    Keeping only groups with a late trip gives the inner-join semantics.
+    """
     mean = _mean(F.col("revenue_sum"), F.col("revenue_trips"))
-    return agg.where(F.col("revenue_trips") > 0).select(
+    return totals.where(F.col("revenue_trips") > 0).select(
         *KEYS,
         "empty_taxis",
         mean.alias("mean_revenue"),
@@ -136,6 +143,15 @@ def area_profitability(
     )
 
 
+def area_profitability(
+    trips: DataFrame,
+    empty_from: int = C.EMPTY_FROM_MINUTE,
+    profit_from: int = C.PROFIT_FROM_MINUTE,
+) -> DataFrame:
+    """Same result as :func:`area_profitability_join` in one scan and one shuffle."""
+    return profitability_from_totals(area_totals(trips, empty_from, profit_from))
+
+
 def rank_areas(profit: DataFrame, n: int = C.TOP_N) -> DataFrame:
     """Top n cells per (weekday, hour): most profitable first, then cell name."""
     return top_n_per_group(profit, ("weekday", "hour"), [F.desc("profitability"), F.asc("cell")], n)

@@ -27,6 +27,7 @@ from ..sources import (
     trips_from_records,
 )
 from ..sources.text import line_outcomes
+from ..streaming import incremental
 from . import questions
 
 TRIP_COLS = (
@@ -60,14 +61,17 @@ def _lines(spark, sf_dir):
     return trip_lines_from_events(_events(spark, sf_dir))
 
 
-def line_file(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived raw lines as a text file in the shared folder.
+def line_file(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
+    """Write the derived raw lines as text (``files`` files) in the shared folder.
 
     Queries on raw lines then start from ``spark.read.text`` like any text
     source, instead of carrying the line-building expression in their plan.
     """
     path = new_table_path(spark, "lines")
-    _lines(spark, sf_dir).select("value").write.text(path)
+    lines = _lines(spark, sf_dir).select("value")
+    if files > 1:
+        lines = lines.repartition(files)
+    lines.write.text(path)
     return path
 
 
@@ -215,6 +219,21 @@ def profitable_areas_from_lines(spark, sf_dir):
     return questions.profitable_areas(_line_trips(spark, sf_dir))
 
 
+# --- the same questions maintained by Structured Streaming ----------------------
+
+
+def top_routes_streaming(spark, sf_dir):
+    src = line_file(spark, sf_dir, files=4)
+    totals, _ = incremental.route_totals_stream(incremental.stream_trips(spark, src, "text", max_files=1))
+    return incremental.top_routes_from_totals(totals)
+
+
+def profitable_areas_streaming(spark, sf_dir):
+    src = line_file(spark, sf_dir, files=4)
+    totals, _ = incremental.area_totals_stream(incremental.stream_trips(spark, src, "text", max_files=1))
+    return incremental.profitable_areas_from_totals(totals)
+
+
 # --- sources and sinks through the shared folder --------------------------------
 
 
@@ -272,6 +291,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trip_line_outcomes": trip_line_outcomes,
     "top_routes_from_lines": top_routes_from_lines,
     "profitable_areas_from_lines": profitable_areas_from_lines,
+    "top_routes_streaming": top_routes_streaming,
+    "profitable_areas_streaming": profitable_areas_streaming,
     "text_roundtrip": text_roundtrip,
     "csv_roundtrip": csv_roundtrip,
     "route_index_roundtrip": route_index_roundtrip,

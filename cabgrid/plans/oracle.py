@@ -282,6 +282,8 @@ def statements() -> dict[str, str]:
     q["profitable_areas_from_lines"] = (
         _with(LINES, PARSED, valid_cte("line_trips"), *Q2) + "SELECT * FROM top_areas"
     )
+    q["top_routes_streaming"] = q["top_routes_from_lines"]
+    q["profitable_areas_streaming"] = q["profitable_areas_from_lines"]
     q["text_roundtrip"] = lines + f"SELECT {RAW_NAMES} FROM parsed"
     q["csv_roundtrip"] = lines + f"SELECT {RAW_NAMES} FROM parsed"
     q["route_index_roundtrip"] = q["top_routes_index"]
