@@ -32,6 +32,9 @@ PROFIT_FROM_MINUTE = 45
 
 # Text form of the trip time stamps.
 DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+# Weekday names as reported, in Spark's dayofweek() order (1 = Sunday).
+WEEKDAY_NAMES = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 # ---------------------------------------------------------------------------
 
 # Seed for k-means; the original leaves it to Python's hash of the class name.

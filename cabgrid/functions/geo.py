@@ -32,7 +32,12 @@ def cell_y(lat) -> Column:
 
 def cell_id(lat, lon) -> Column:
     """Cell name ``"x.y"`` of a point, e.g. ``"150.160"``."""
-    return F.concat_ws(".", cell_x(lon).cast("string"), cell_y(lat).cast("string"))
+    return cell_name(cell_x(lon), cell_y(lat))
+
+
+def cell_name(x, y) -> Column:
+    """Cell name from the two indices of :func:`cell_x` / :func:`cell_y`."""
+    return F.concat_ws(".", as_col(x).cast("string"), as_col(y).cast("string"))
 
 
 def route_id(pickup_cell, dropoff_cell) -> Column:

@@ -27,7 +27,22 @@ def weekday_name(ts) -> Column:
 
 def hour_text(ts) -> Column:
     """Hour of day as two characters, ``"00"`` to ``"23"``."""
-    return F.lpad(F.hour(as_col(ts)).cast("string"), 2, "0")
+    return hour_number_text(F.hour(as_col(ts)))
+
+
+def day_number(ts) -> Column:
+    """Day of week as 1 (Sunday) to 7 (Saturday): a compact grouping key."""
+    return F.dayofweek(as_col(ts))
+
+
+def weekday_from_number(day) -> Column:
+    """Day number from :func:`day_number` → the name :func:`weekday_name` gives."""
+    return F.element_at(F.array(*[F.lit(n) for n in C.WEEKDAY_NAMES]), as_col(day))
+
+
+def hour_number_text(hour) -> Column:
+    """Hour number 0..23 → two characters."""
+    return F.lpad(as_col(hour).cast("string"), 2, "0")
 
 
 def minute_of(ts) -> Column:

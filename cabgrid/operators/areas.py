@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.geo import cell_id
+from ..functions.geo import cell_id, cell_name, cell_x, cell_y
 from ..functions.timeparts import (
+    day_number,
+    hour_number_text,
     hour_text,
     in_last_minutes,
     minute_of,
+    weekday_from_number,
     weekday_name,
 )
 from .topk import ranked_index, top_n_per_group
@@ -68,10 +71,35 @@ def dropoff_keys(trips: DataFrame, keep=()) -> DataFrame:
     )
 
 
+# Aggregations group on small integers (day, hour, cell indices) and name the
+# groups afterwards, so per-trip work and shuffle keys stay narrow.
+_INDEX = ("_day", "_hour", "_cx", "_cy")
+
+
+def _dropoff_index(trips: DataFrame, from_minute: int) -> DataFrame:
+    return last_minutes_dropoffs(usable(trips), from_minute).select(
+        day_number("dropoff_ts").alias("_day"),
+        F.hour("dropoff_ts").alias("_hour"),
+        cell_x("dropoff_longitude").alias("_cx"),
+        cell_y("dropoff_latitude").alias("_cy"),
+        minute_of("dropoff_ts").alias("minute"),
+        revenue().alias("revenue"),
+    )
+
+
+def _named(agg: DataFrame, *measures: str) -> DataFrame:
+    return agg.select(
+        weekday_from_number("_day").alias("weekday"),
+        hour_number_text("_hour").alias("hour"),
+        cell_name("_cx", "_cy").alias("cell"),
+        *measures,
+    )
+
+
 def empty_taxis(trips: DataFrame, from_minute: int = C.EMPTY_FROM_MINUTE) -> DataFrame:
     """(weekday, hour, cell, empty_taxis)."""
-    keyed = dropoff_keys(last_minutes_dropoffs(usable(trips), from_minute))
-    return keyed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("empty_taxis"))
+    agg = _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(F.count(F.lit(1)).alias("empty_taxis"))
+    return _named(agg, "empty_taxis")
 
 
 def _mean(total: Column, n: Column) -> Column:
@@ -80,10 +108,10 @@ def _mean(total: Column, n: Column) -> Column:
 
 def mean_revenue(trips: DataFrame, from_minute: int = C.PROFIT_FROM_MINUTE) -> DataFrame:
     """(weekday, hour, cell, mean_revenue)."""
-    keyed = dropoff_keys(last_minutes_dropoffs(usable(trips), from_minute))
-    return keyed.groupBy(*KEYS).agg(
+    agg = _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(
         _mean(F.sum("revenue"), F.count(F.lit(1))).alias("mean_revenue")
     )
+    return _named(agg, "mean_revenue")
 
 
 def area_profitability_join(
@@ -120,13 +148,13 @@ def area_totals(
     """
     if profit_from < empty_from:
         raise ValueError("profit window must lie inside the empty-taxi window")
-    keyed = dropoff_keys(last_minutes_dropoffs(usable(trips), empty_from))
     late = F.col("minute") >= F.lit(profit_from)
-    return keyed.groupBy(*KEYS).agg(
+    agg = _dropoff_index(trips, empty_from).groupBy(*_INDEX).agg(
         F.count(F.lit(1)).alias("empty_taxis"),
         F.sum(F.when(late, F.col("revenue"))).alias("revenue_sum"),
         F.count(F.when(late, F.lit(1))).alias("revenue_trips"),
     )
+    return _named(agg, "empty_taxis", "revenue_sum", "revenue_trips")
 
 
 def profitability_from_totals(totals: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.geo import route_id, with_cells
-from ..functions.timeparts import hour_text, weekday_name
+from ..functions.geo import cell_name, cell_x, cell_y, route_id, with_cells
+from ..functions.timeparts import day_number, hour_number_text, hour_text, weekday_from_number, weekday_name
 from .topk import ranked_index, top_n_per_group
 
 KEYS = ("weekday", "hour")
@@ -31,12 +31,27 @@ def route_counts(trips: DataFrame) -> DataFrame:
     """Exact number of trips per (weekday, hour, route).
 
     A plain count: Spark combines map-side, so a hot route costs one row per
-    map task in the shuffle, whatever its size.
+    map task in the shuffle, whatever its size.  Trips are grouped on small
+    integers (day, hour, four cell indices); names are built only for the
+    aggregated rows, so no per-trip string work or string shuffle keys.
     """
-    return (
-        route_keys(trips)
-        .groupBy(*KEYS, "route")
-        .agg(F.count(F.lit(1)).alias("trip_count"))
+    t = trips.where(F.col("pickup_ts").isNotNull())
+    keyed = t.select(
+        day_number("pickup_ts").alias("_day"),
+        F.hour("pickup_ts").alias("_hour"),
+        cell_x("pickup_longitude").alias("_px"),
+        cell_y("pickup_latitude").alias("_py"),
+        cell_x("dropoff_longitude").alias("_dx"),
+        cell_y("dropoff_latitude").alias("_dy"),
+    )
+    counts = keyed.groupBy("_day", "_hour", "_px", "_py", "_dx", "_dy").agg(
+        F.count(F.lit(1)).alias("trip_count")
+    )
+    return counts.select(
+        weekday_from_number("_day").alias("weekday"),
+        hour_number_text("_hour").alias("hour"),
+        route_id(cell_name("_px", "_py"), cell_name("_dx", "_dy")).alias("route"),
+        "trip_count",
     )
 
 

@@ -88,3 +88,15 @@ def test_valid_filter_reaches_parquet_scan(spark, scratch):
     assert pushed and "GreaterThanOrEqual(pickup_longitude,-74.916578)" in pushed[0]
     read_schema = [ln for ln in plan.splitlines() if ln.startswith("ReadSchema")][0]
     assert "extra" not in read_schema
+
+
+def test_weekday_number_path_names_all_days(spark):
+    from cabgrid.functions.timeparts import day_number, weekday_from_number
+
+    days = [dt.datetime(2024, 1, d, 12, 0) for d in range(1, 8)]
+    df = spark.createDataFrame([(t,) for t in days], "ts timestamp_ntz")
+    got = df.select(weekday_name("ts").alias("a"), weekday_from_number(day_number("ts")).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    assert sorted(r.a for r in got) == sorted(
+        ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+    )
