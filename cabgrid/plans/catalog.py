@@ -17,7 +17,7 @@ from ..functions import geo, quality, timeparts
 from ..operators import areas, routes, stands
 from ..schema import RAW_COLUMNS
 from ..session import new_table_path
-from ..sinks import preview, write_index
+from ..sinks import preview, write_index, write_stand_lines
 from ..sources import (
     parse_trip_lines,
     read_trip_csv,
@@ -195,6 +195,13 @@ def stand_assignment(spark, sf_dir):
     return _sweep(spark, sf_dir).assignment()
 
 
+def stand_files_roundtrip(spark, sf_dir):
+    """Stand files written one folder per k, read back as (k, line)."""
+    path = new_table_path(spark, "stands")
+    write_stand_lines(stands.stand_lines(_sweep(spark, sf_dir).centres()), path)
+    return spark.read.text(path).select("k", F.col("value").alias("line"))
+
+
 # --- raw text lines -------------------------------------------------------------
 
 
@@ -286,6 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stand_lines": stand_lines,
     "stand_sse": stand_sse,
     "stand_assignment": stand_assignment,
+    "stand_files_roundtrip": stand_files_roundtrip,
     "parse_trip_lines": parse_trip_lines_q,
     "filter_trip_lines": filter_trip_lines,
     "trip_line_outcomes": trip_line_outcomes,
@@ -300,4 +308,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # k-means results depend on the iterative fit; no SQL states them.
-NO_ORACLE = ("taxi_stands", "stand_lines", "stand_sse", "stand_assignment")
+NO_ORACLE = ("taxi_stands", "stand_lines", "stand_sse", "stand_assignment", "stand_files_roundtrip")
