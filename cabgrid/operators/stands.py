@@ -35,9 +35,13 @@ CENTRE_SCHEMA = "k int, stand_id int, latitude double, longitude double"
 
 
 def stand_points(trips: DataFrame, keep=()) -> DataFrame:
-    """Pickup (latitude, longitude) of valid trips as an ML feature vector."""
+    """Pickup (latitude, longitude) of valid trips as an ML feature vector.
+
+    Only ``keep`` and ``features`` are kept, so a persisted point set holds
+    one copy of the coordinates.
+    """
     assembler = VectorAssembler(inputCols=list(POINT_COLS), outputCol=FEATURES)
-    return assembler.transform(trips.select(*keep, *POINT_COLS))
+    return assembler.transform(trips.select(*keep, *POINT_COLS)).select(*keep, FEATURES)
 
 
 def unpack_points(points: DataFrame, keep=()) -> DataFrame:
@@ -73,8 +77,12 @@ class StandSweep:
         return self.spark.createDataFrame(rows, CENTRE_SCHEMA)
 
     def point_costs(self, keep=()) -> DataFrame:
-        """(keep..., k, stand_id, sq_dist): each point's stand for every k."""
-        df = self.points
+        """(keep..., k, stand_id, sq_dist): each point's stand for every k.
+
+        ``keep`` may name point-set columns and ``latitude`` / ``longitude``.
+        """
+        arr = vector_to_array(F.col(FEATURES))
+        df = self.points.withColumns({"latitude": arr[0], "longitude": arr[1]})
         per_k = []
         for k, m in self.models.items():
             pred = f"_stand_{k}"
@@ -82,8 +90,8 @@ class StandSweep:
             lat_c = F.array(*[F.lit(float(c[0])) for c in m.clusterCenters()])
             lon_c = F.array(*[F.lit(float(c[1])) for c in m.clusterCenters()])
             idx = F.col(pred) + 1
-            sq = (F.col("pickup_latitude") - F.element_at(lat_c, idx)) ** 2 + (
-                F.col("pickup_longitude") - F.element_at(lon_c, idx)
+            sq = (F.col("latitude") - F.element_at(lat_c, idx)) ** 2 + (
+                F.col("longitude") - F.element_at(lon_c, idx)
             ) ** 2
             per_k.append(
                 F.struct(F.lit(k).alias("k"), F.col(pred).alias("stand_id"), sq.alias("sq_dist"))

@@ -47,13 +47,16 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``.  Only when the session has none (a
-    bare local test session) is a fresh local folder created, once per
-    application, and made the checkpoint directory.
+    Read from ``spark.checkpoint.dir``.  Only a local-mode session without
+    one (a bare test session) gets a fresh local folder, once per
+    application; on a cluster a missing setting is an error, never a
+    machine-local folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = _LOCAL_DIRS.get(sc.applicationId)
         if base is None:
             base = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="cabgrid-ckpt-")

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cabgrid.operators import stand_lines, stand_points, sweep_stands
+from cabgrid.operators import stand_lines, stand_points, sweep_stands, unpack_points
 from cabgrid.plans import taxi_stands
 from cabgrid.sinks import write_stand_lines
 from cabgrid.sources import trips_from_events
@@ -40,19 +40,18 @@ def test_points_go_to_nearest_centre_and_sse_matches(spark):
     try:
         centres = {(r.k, r.stand_id): (r.latitude, r.longitude) for r in sweep.centres().collect()}
         assert sum(1 for k, _ in centres if k == 5) == 5
-        costs = sweep.point_costs(keep=["pickup_latitude", "pickup_longitude"]).where("k = 5").collect()
+        costs = sweep.point_costs(keep=["latitude", "longitude"]).where("k = 5").collect()
         for r in costs[:200]:
             d = {
-                s: (r.pickup_latitude - c[0]) ** 2 + (r.pickup_longitude - c[1]) ** 2
+                s: (r.latitude - c[0]) ** 2 + (r.longitude - c[1]) ** 2
                 for (k, s), c in centres.items()
                 if k == 5
             }
             assert math.isclose(d[r.stand_id], min(d.values()), rel_tol=1e-9, abs_tol=1e-15)
             assert math.isclose(r.sq_dist, d[r.stand_id], rel_tol=1e-9, abs_tol=1e-15)
         sse = {r.k: r.sse for r in sweep.sse().collect()}
-        one = sweep.points.agg(
-            (F.var_pop("pickup_latitude") + F.var_pop("pickup_longitude")) * F.count(F.lit(1))
-        ).first()[0]
+        pts = unpack_points(sweep.points)
+        one = pts.agg((F.var_pop("latitude") + F.var_pop("longitude")) * F.count(F.lit(1))).first()[0]
         assert sse[5] <= one
         direct = sum(r.sq_dist for r in costs)
         assert math.isclose(sse[5], direct, rel_tol=1e-9)
