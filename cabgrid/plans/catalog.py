@@ -22,6 +22,7 @@ from ..sources import (
     parse_trip_lines,
     read_trip_csv,
     read_trip_lines,
+    read_trips_text,
     trip_lines_from_events,
     trips_from_events,
     trips_from_records,
@@ -76,7 +77,7 @@ def line_file(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
 
 
 def _line_trips(spark, sf_dir):
-    return trips_from_records(parse_trip_lines(read_trip_lines(spark, line_file(spark, sf_dir))))
+    return read_trips_text(spark, line_file(spark, sf_dir))
 
 
 # --- trips, predicates, scalar functions ---------------------------------------
@@ -206,7 +207,8 @@ def stand_files_roundtrip(spark, sf_dir):
 
 
 def parse_trip_lines_q(spark, sf_dir):
-    return _line_trips(spark, sf_dir)
+    lines = read_trip_lines(spark, line_file(spark, sf_dir))
+    return trips_from_records(parse_trip_lines(lines))
 
 
 def filter_trip_lines(spark, sf_dir):

@@ -3,7 +3,7 @@
 from .csv import read_trip_csv, read_trips_csv
 from .events import trip_lines_from_events, trips_from_events
 from .records import trips_from_records, typed_fields
-from .text import parse_trip_lines, read_trip_lines, read_trips_text
+from .text import parse_trip_lines, read_trip_lines, read_trip_records_text, read_trips_text
 
 __all__ = [
     "read_trip_csv",
@@ -14,5 +14,6 @@ __all__ = [
     "typed_fields",
     "parse_trip_lines",
     "read_trip_lines",
+    "read_trip_records_text",
     "read_trips_text",
 ]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quality import non_empty_line, valid_trip
+from ..schema import RAW_TRIP_SCHEMA
 from .records import trips_from_records, typed_fields
 
 
@@ -56,6 +57,27 @@ def line_outcomes(lines: DataFrame, line_col: str = "value", keep=()) -> DataFra
     return parsed.select(*keep, outcome.alias("outcome"))
 
 
+def read_trip_records_text(spark: SparkSession, path: str) -> DataFrame:
+    """The 17 raw fields of plain comma-separated text files (no quoting).
+
+    Spark's delimited-text reader with quoting turned off splits on every
+    comma, like :func:`parse_trip_lines`, but parses each line once inside
+    the scan and evaluates pushed-down filters right there.  Parsing a string
+    column instead lets Catalyst inline the split into every term of a later
+    filter: about 2.5x the scan cost on 2M lines.  Blank lines are skipped
+    and an empty field reads as NULL; no question reads a field where that
+    differs.
+    """
+    return (
+        spark.read.schema(RAW_TRIP_SCHEMA)
+        .option("sep", ",")
+        .option("quote", "")
+        .option("header", "false")
+        .option("mode", "PERMISSIVE")
+        .csv(path)
+    )
+
+
 def read_trips_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines as the trip frame (raw fields plus parsed time stamps)."""
-    return trips_from_records(parse_trip_lines(read_trip_lines(spark, path)))
+    """Text files as the trip frame (raw fields plus parsed time stamps)."""
+    return trips_from_records(read_trip_records_text(spark, path))

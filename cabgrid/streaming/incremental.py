@@ -19,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.quality import valid_trips
@@ -27,21 +26,22 @@ from ..operators import areas, routes
 from ..schema import RAW_TRIP_SCHEMA
 from ..session import new_table_path
 from ..sources.records import trips_from_records
-from ..sources.text import parse_trip_lines
 
 
 def stream_trips(spark: SparkSession, source_dir: str, fmt: str = "text", max_files: int | None = None) -> DataFrame:
-    """A streaming trip frame over raw record files (text lines or CSV)."""
-    reader = spark.readStream
+    """A streaming trip frame over raw record files.
+
+    ``fmt="text"``: plain comma-separated lines (no quoting), as
+    :func:`cabgrid.sources.read_trips_text`; ``fmt="csv"``: CSV with quoting.
+    """
+    if fmt not in ("text", "csv"):
+        raise ValueError(f"unsupported format {fmt!r}")
+    reader = spark.readStream.schema(RAW_TRIP_SCHEMA).option("header", "false").option("mode", "PERMISSIVE")
+    if fmt == "text":
+        reader = reader.option("sep", ",").option("quote", "")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if fmt == "text":
-        raw = parse_trip_lines(reader.text(source_dir))
-    elif fmt == "csv":
-        raw = reader.schema(RAW_TRIP_SCHEMA).option("header", "false").option("mode", "PERMISSIVE").csv(source_dir)
-    else:
-        raise ValueError(f"unsupported format {fmt!r}")
-    return trips_from_records(raw)
+    return trips_from_records(reader.csv(source_dir))
 
 
 @dataclass
