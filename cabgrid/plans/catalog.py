@@ -65,8 +65,8 @@ def _lines(spark, sf_dir):
 def line_file(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
     """Write the derived raw lines as text (``files`` files) in the shared folder.
 
-    Queries on raw lines then start from ``spark.read.text`` like any text
-    source, instead of carrying the line-building expression in their plan.
+    Queries on raw lines then start from a text file, like any text source,
+    instead of carrying the line-building expression in their plan.
     """
     path = new_table_path(spark, "lines")
     lines = _lines(spark, sf_dir).select("value")
