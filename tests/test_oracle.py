@@ -32,3 +32,24 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["weekday", "hour", "route", "trip_count", "rank"]
     assert df.count() == 900
+
+
+@pytest.mark.parametrize(
+    "name,rows,cols",
+    [
+        ("taxi_stands", 111, ["k", "stand_id", "latitude", "longitude"]),
+        ("stand_lines", 111, ["k", "stand_id", "line"]),
+        ("stand_sse", 3, ["k", "sse"]),
+        ("stand_files_roundtrip", 111, ["k", "line"]),
+    ],
+)
+def test_rows_only_queries(spark, name, rows, cols):
+    df = E.queries()[name](spark, SF_SMALL)
+    assert df.columns == cols
+    assert df.count() == rows
+
+
+def test_stand_assignment_covers_every_point(spark):
+    df = E.queries()["stand_assignment"](spark, SF_SMALL)
+    per_k = {r.k: r.n for r in df.groupBy("k").agg({"trips": "sum"}).withColumnRenamed("sum(trips)", "n").collect()}
+    assert per_k == {5: 925, 31: 925, 75: 925}  # 925 valid trips at sf0.001
