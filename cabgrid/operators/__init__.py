@@ -14,7 +14,15 @@ from .areas import (
     rank_areas,
 )
 from .routes import rank_routes, route_counts, route_keys, top_routes, top_routes_index
-from .stands import StandSweep, fit_stands, stand_lines, stand_points, sweep_stands, unpack_points
+from .stands import (
+    StandSweep,
+    balanced_points,
+    fit_stands,
+    stand_lines,
+    stand_points,
+    sweep_stands,
+    unpack_points,
+)
 from .topk import ranked_index, top_n_per_group
 
 __all__ = [
@@ -35,6 +43,7 @@ __all__ = [
     "top_routes",
     "top_routes_index",
     "StandSweep",
+    "balanced_points",
     "fit_stands",
     "stand_lines",
     "stand_points",

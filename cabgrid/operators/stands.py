@@ -119,6 +119,29 @@ class StandSweep:
         self.points.unpersist()
 
 
+def balanced_points(points: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Persist the point set with evenly filled partitions.
+
+    Every k-means pass scans all persisted partitions, so one oversized
+    partition (a huge unsplittable input file, say) would slow each of the
+    ~60 passes of a sweep.  The job that materializes the cache also counts
+    rows per partition (a partial aggregate: one row per partition leaves
+    the tasks).  Only when there are fewer partitions than cores, or the
+    largest holds more than twice the mean, are the points spread
+    round-robin once and the lopsided copy released.
+    """
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    points = points.persist(storage)
+    sizes = points.groupBy(F.spark_partition_id().alias("part")).count()
+    parts, largest, mean = sizes.agg(F.count(F.lit(1)), F.max("count"), F.avg("count")).first()
+    if parts and (parts < cores or largest > 2 * mean):
+        spread = points.repartition(max(parts, cores)).persist(storage)
+        spread.count()
+        points.unpersist()
+        return spread
+    return points
+
+
 def sweep_stands(
     points: DataFrame,
     ks: Sequence[int] = C.STAND_KS,
@@ -127,22 +150,16 @@ def sweep_stands(
     parallelism: int | None = None,
     **params,
 ) -> StandSweep:
-    """Persist the points once and fit one model per k.
+    """Persist the points once (see :func:`balanced_points`) and fit one model per k.
 
     The fits are independent, so up to ``parallelism`` (default: all ks) run
     as concurrent Spark jobs, as Spark ML's tuning classes do; each fit
-    gives the same model as when run alone.  A point set read into fewer
-    partitions than the cluster has cores (a small file) is first spread
-    round-robin so every iteration uses all cores; a large input already
-    has more partitions and is not shuffled.
+    gives the same model as when run alone.
     """
     ks = [int(k) for k in ks]
     if not ks or any(k < 2 for k in ks):
         raise ValueError("every k must be at least 2 (Spark ML's lower bound)")
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    if points.rdd.getNumPartitions() < cores:
-        points = points.repartition(cores)
-    points = points.persist(storage)
+    points = balanced_points(points, storage)
     sweep = StandSweep(points)
     fit = inheritable_thread_target(points.sparkSession)(lambda k: fit_stands(points, k, seed, **params))
     with ThreadPoolExecutor(max_workers=max(1, parallelism or len(ks))) as pool:

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cabgrid.operators import stand_lines, stand_points, sweep_stands, unpack_points
+from cabgrid.operators import balanced_points, stand_lines, stand_points, sweep_stands, unpack_points
 from cabgrid.plans import taxi_stands
 from cabgrid.sinks import write_stand_lines
 from cabgrid.sources import trips_from_events
@@ -89,3 +89,18 @@ def test_stand_files(spark, scratch):
         for row in rows:
             lat, lon = row.split(",")
             assert len(lat.split(".")[1]) == 8 and len(lon.split(".")[1]) == 8
+
+
+def test_lopsided_partitions_are_spread(spark):
+    big = spark.range(0, 20000, numPartitions=1)
+    small = spark.range(20000, 20800, numPartitions=8)
+    pts = big.union(small).select(
+        (F.lit(40.7) + F.col("id") % 100 * 1e-4).alias("pickup_latitude"),
+        (F.lit(-74.0) + F.col("id") % 77 * 1e-4).alias("pickup_longitude"),
+    )
+    spread = balanced_points(stand_points(pts))
+    try:
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20800 and max(sizes) <= 2 * (sum(sizes) / len(sizes))
+    finally:
+        spread.unpersist()
