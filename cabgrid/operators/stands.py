@@ -124,13 +124,17 @@ def balanced_points(points: DataFrame, storage: StorageLevel = StorageLevel.MEMO
 
     Every k-means pass scans all persisted partitions, so one oversized
     partition (a huge unsplittable input file, say) would slow each of the
-    ~60 passes of a sweep.  The job that materializes the cache also counts
-    rows per partition (a partial aggregate: one row per partition leaves
-    the tasks).  Only when there are fewer partitions than cores, or the
-    largest holds more than twice the mean, are the points spread
-    round-robin once and the lopsided copy released.
+    ~60 passes of a sweep.  Fewer partitions than cores (seen in the plan)
+    are spread round-robin straight away.  Otherwise the job that fills the
+    cache also counts rows per partition (a partial aggregate: one row per
+    partition leaves the tasks), and only when the largest holds more than
+    twice the mean are the points spread once and the lopsided copy
+    released.
     """
     cores = points.sparkSession.sparkContext.defaultParallelism
+    planned = points.rdd.getNumPartitions()  # from the plan, no job
+    if planned < cores:
+        return points.repartition(cores).persist(storage)
     points = points.persist(storage)
     sizes = points.groupBy(F.spark_partition_id().alias("part")).count()
     parts, largest, mean = sizes.agg(F.count(F.lit(1)), F.max("count"), F.avg("count")).first()
