@@ -1,0 +1,81 @@
+"""Summarise a Spark event log: per stage, task count and task-time spread.
+
+Usage: python tests/stage_report.py <event-log file or rolling-log folder>
+
+For each stage: tasks, median / max task run time (ms), max / median ratio,
+records read from the shuffle and from the input, so a skewed stage (one
+task far slower or far larger than the rest) stands out.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import statistics
+import sys
+from collections import defaultdict
+
+
+def _lines(path: str):
+    """Lines of a plain event log, or of a rolling one (a folder of parts)."""
+    files = [path]
+    if os.path.isdir(path):
+        files = sorted(
+            (os.path.join(path, f) for f in os.listdir(path) if f.startswith("events_")),
+            key=lambda f: int(os.path.basename(f).split("_")[1].split(".")[0]),
+        )
+    for name in files:
+        if name.endswith(".zstd"):  # Spark 4 compresses event logs with zstd by default
+            import io
+
+            import zstandard
+
+            with open(name, "rb") as raw:
+                reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+                yield from io.TextIOWrapper(reader, encoding="utf-8")
+        else:
+            with open(name) as f:
+                yield from f
+
+
+def stages(path: str) -> dict:
+    out = defaultdict(lambda: {"run": [], "shuffle_rows": [], "input_rows": [], "name": ""})
+    for line in _lines(path):
+        ev = json.loads(line)
+        kind = ev.get("Event")
+        if kind == "SparkListenerStageSubmitted":
+            info = ev["Stage Info"]
+            out[info["Stage ID"]]["name"] = info.get("Stage Name", "")
+        elif kind == "SparkListenerTaskEnd":
+            s = out[ev["Stage ID"]]
+            m = ev.get("Task Metrics") or {}
+            s["run"].append(m.get("Executor Run Time", 0))
+            s["shuffle_rows"].append((m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0))
+            s["input_rows"].append((m.get("Input Metrics") or {}).get("Records Read", 0))
+    return out
+
+
+def report(path: str) -> list[dict]:
+    rows = []
+    for sid, s in sorted(stages(path).items()):
+        if not s["run"]:
+            continue
+        med = statistics.median(s["run"]) or 1
+        rows.append(
+            {
+                "stage": sid,
+                "tasks": len(s["run"]),
+                "median_ms": med,
+                "max_ms": max(s["run"]),
+                "max_over_median": round(max(s["run"]) / med, 2),
+                "shuffle_rows_max": max(s["shuffle_rows"]),
+                "shuffle_rows_total": sum(s["shuffle_rows"]),
+                "input_rows_total": sum(s["input_rows"]),
+            }
+        )
+    return rows
+
+
+if __name__ == "__main__":
+    for r in report(sys.argv[1]):
+        print(json.dumps(r))
