@@ -2,9 +2,10 @@
 
 Distances are plain Euclidean in degrees on (latitude, longitude), as in the
 original study.  Spark ML trains each model over the whole point set (no
-sampling); the points are persisted once for the whole k sweep, so the source
-is scanned once, and the models are fitted as concurrent jobs.  Persisted blocks lost with an executor are recomputed from
-the short scan-filter-project lineage.
+sampling).  The points are persisted once for the whole k sweep, so the
+source is scanned once, and the models are fitted as concurrent jobs.
+Persisted blocks lost with an executor are recomputed from the short
+scan-filter-project lineage.
 
 Per-point costs for every k come out of one pass: the models' transforms are
 chained, each adding its own prediction column, and each point's centre is
@@ -20,12 +21,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.util import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .. import constants as C
 

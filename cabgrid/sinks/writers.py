@@ -12,22 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _items(index: DataFrame):
+    items = [c for c in index.columns if c not in ("weekday", "hour")]
+    if len(items) != 1:
+        raise ValueError("a text index needs exactly one item column")
+    col = F.col(items[0])
+    if not dict(index.dtypes)[items[0]].startswith("array"):
+        col = F.split(col, ",")
+    return col
+
+
 def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Store a ranked index (one row per weekday/hour).
 
-    ``fmt="text"`` writes one line per key, ``weekday<TAB>hour<TAB>items``,
-    with the items comma-joined in rank order.
+    * ``fmt="text"``: ``weekday<TAB>hour<TAB>items``, items comma-joined in
+      rank order;
+    * ``fmt="pairs"``: the key/list pair form of the original result files,
+      ``(('monday', '08'), ['150.160-153.164', ...])``;
+    * any other value is a Spark data source (``parquet``, ``json``, ...).
     """
     if fmt == "text":
-        items = [c for c in index.columns if c not in ("weekday", "hour")]
-        if len(items) != 1:
-            raise ValueError("text index needs exactly one item column")
-        col = F.col(items[0])
-        if dict(index.dtypes)[items[0]].startswith("array"):
-            col = F.array_join(col, ",")
-        index.select(F.concat_ws("\t", "weekday", "hour", col).alias("value")).write.mode(mode).text(path)
+        line = F.concat_ws("\t", "weekday", "hour", F.array_join(_items(index), ","))
+    elif fmt == "pairs":
+        quoted = F.transform(_items(index), lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+        line = F.concat(
+            F.lit("(('"), F.col("weekday"), F.lit("', '"), F.col("hour"), F.lit("'), ["),
+            F.array_join(quoted, ", "), F.lit("])"),
+        )
     else:
         index.write.mode(mode).format(fmt).save(path)
+        return
+    index.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def write_stand_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,5 +1,6 @@
 """Sinks and the command line, on files in the shared folder."""
 
+import ast
 import glob
 import os
 
@@ -33,6 +34,9 @@ def test_index_formats_round_trip(spark, scratch):
         assert got == want
     got = sorted(tuple(ln.split("\t")) for ln in _text(f"{scratch}/text"))
     assert got == want
+    write_index(index, f"{scratch}/pairs", fmt="pairs")
+    pairs = sorted(ast.literal_eval(ln) for ln in _text(f"{scratch}/pairs"))
+    assert [(w, h, ",".join(items)) for (w, h), items in pairs] == want
 
 
 def test_preview_is_ordered(spark):
