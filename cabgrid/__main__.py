@@ -27,7 +27,12 @@ def main(argv=None) -> None:
     p.add_argument("--format", choices=("csv", "text"), default="csv", help="how to read the source")
     p.add_argument("--questions", default="1,2,3", help="comma-separated subset of 1,2,3")
     p.add_argument("--ks", default=",".join(map(str, C.STAND_KS)), help="k values for question 3")
-    p.add_argument("--index-format", default="text", choices=("text", "pairs", "parquet", "json"))
+    p.add_argument(
+        "--index-format",
+        default="pairs",
+        choices=("pairs", "text", "parquet", "json"),
+        help="pairs: one (('weekday', 'hour'), ['name', ...]) line per key, as the original result files",
+    )
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("cabgrid").getOrCreate()

@@ -17,7 +17,7 @@ def write_answers(
     out_dir: str,
     which: Sequence[int] = (1, 2, 3),
     ks: Sequence[int] = C.STAND_KS,
-    index_format: str = "text",
+    index_format: str = "pairs",
 ) -> dict:
     """Write Q1/Q2 indexes and Q3 stand files under ``out_dir``.
 
