@@ -21,6 +21,9 @@ CELL_METRES = 500
 LON_DEGREES_PER_METRE = 0.005986 / 500.0
 LAT_DEGREES_PER_METRE = 0.004491556 / 500.0
 
+# Cell indices of the full grid run from 1 to this value on both axes.
+GRID_CELLS = 300
+
 # Ranking depth of the two index queries and the k values of the stand sweep.
 TOP_N = 10
 STAND_KS = (5, 31, 75)

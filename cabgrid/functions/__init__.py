@@ -1,7 +1,7 @@
 """Column-level building blocks: grid cells, time parts, validity predicates."""
 
 from .geo import cell_id, cell_x, cell_y, route_id, with_cells
-from .quality import in_box, non_empty_line, valid_trip, valid_trips
+from .quality import in_box, non_empty_line, on_grid, valid_trip, valid_trips
 from .timeparts import (
     hour_text,
     in_last_half_hour,
@@ -20,6 +20,7 @@ __all__ = [
     "with_cells",
     "in_box",
     "non_empty_line",
+    "on_grid",
     "valid_trip",
     "valid_trips",
     "hour_text",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .._cols import as_col
+from .geo import cell_x, cell_y
 
 COORDINATES = ("pickup_longitude", "pickup_latitude", "dropoff_longitude", "dropoff_latitude")
 
@@ -41,6 +42,29 @@ def valid_trip() -> Column:
     )
 
 
-def valid_trips(trips):
-    """Keep only trips that satisfy :func:`valid_trip`."""
-    return trips.where(valid_trip())
+def on_grid() -> Column:
+    """Both ends fall in grid cells 1..300 on both axes.
+
+    The box bounds are inclusive, so a point on the exact north-west corner
+    (or a latitude a hair under the north edge) maps to index 0 although it
+    is inside the box.  This stricter test drops such points.
+    """
+    idx = [
+        cell_x("pickup_longitude"),
+        cell_y("pickup_latitude"),
+        cell_x("dropoff_longitude"),
+        cell_y("dropoff_latitude"),
+    ]
+    return reduce(lambda a, b: a & b, [i.between(1, C.GRID_CELLS) for i in idx])
+
+
+def valid_trips(trips, strict_cells: bool = False):
+    """Keep only trips that satisfy :func:`valid_trip`.
+
+    ``strict_cells=True`` also requires :func:`on_grid` (off by default, as
+    in the original job).
+    """
+    cond = valid_trip()
+    if strict_cells:
+        cond = cond & on_grid()
+    return trips.where(cond)

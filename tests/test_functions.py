@@ -100,3 +100,15 @@ def test_weekday_number_path_names_all_days(spark):
     assert sorted(r.a for r in got) == sorted(
         ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
     )
+
+
+def test_strict_cells_drop_the_corner_cell(spark):
+    from cabgrid.functions import cell_id
+
+    corner = (-74.916578, 41.477183, -73.5, 41.0)  # pickup maps to cell 0.0
+    inner = (-74.0, 41.0, -73.5, 41.0)
+    schema = "pickup_longitude double, pickup_latitude double, dropoff_longitude double, dropoff_latitude double"
+    df = spark.createDataFrame([corner, inner], schema)
+    assert df.select(cell_id("pickup_latitude", "pickup_longitude")).first()[0] == "0.0"
+    assert valid_trips(df).count() == 2
+    assert [tuple(r) for r in valid_trips(df, strict_cells=True).collect()] == [inner]
