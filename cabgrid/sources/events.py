@@ -4,8 +4,10 @@ The test tables carry no taxi data, so each event becomes one trip: the
 event time is the pickup, the drop-off follows 60 to 2,459 s later, and the
 coordinates are placed on the grid from the event and user ids, always
 0.4 cell or less from a cell centre (so no point sits on a cell edge).
-A few trips get a zero or out-of-area coordinate.  Everything scales with
-the ``events`` table; nothing is read from fixed small input.
+A few trips get a zero or out-of-area coordinate.  The ``event_id % n``
+expressions below only shape values (coordinates and injected faults); no
+row is filtered out, so every event becomes one trip (or one line), and the
+work scales with the whole ``events`` table.
 
 The same derivations exist as DuckDB SQL in :mod:`cabgrid.plans.oracle`.
 """
