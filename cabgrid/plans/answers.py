@@ -7,10 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from .. import constants as C
+from ..functions.quality import valid_trips
 from ..operators.stands import stand_lines
+from ..session import new_table_path
 from ..sinks import write_index, write_stand_lines
 from . import questions
 
+# The only trip columns any question reads.
+QUESTION_COLUMNS = (
+    "pickup_ts",
+    "dropoff_ts",
+    "pickup_longitude",
+    "pickup_latitude",
+    "dropoff_longitude",
+    "dropoff_latitude",
+    "fare_amount",
+    "tip_amount",
+)
+
+
+def stage_trips(trips: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the valid trips, with only the columns the questions read, as Parquet.
+
+    Raw text or CSV is then parsed once however many questions follow, and
+    each question reads back just its columns, with its filters pushed into
+    the Parquet scan.  The table lives in the shared folder, so it survives
+    the loss of any executor (unlike a cached frame).
+    """
+    path = path or new_table_path(trips.sparkSession, "trips")
+    valid_trips(trips).select(*QUESTION_COLUMNS).write.parquet(path)
+    return trips.sparkSession.read.parquet(path)
+
 
 def write_answers(
     trips: DataFrame,
@@ -18,16 +45,21 @@ def write_answers(
     which: Sequence[int] = (1, 2, 3),
     ks: Sequence[int] = C.STAND_KS,
     index_format: str = "pairs",
+    stage: bool | None = None,
 ) -> dict:
     """Write Q1/Q2 indexes and Q3 stand files under ``out_dir``.
 
     Layout: ``query1/``, ``query2/`` (one row per weekday and hour, names in
     rank order), ``query3/k=<k>/`` (``lat,lon`` lines) and ``query3_sse/``
     (CSV ``k,sse``).  Returns ``{"sse": {k: sse}}`` when Q3 ran; those are
-    len(ks) numbers, so bringing them to the driver is bounded.
+    len(ks) numbers, so bringing them to the driver is bounded.  With more
+    than one question (or ``stage=True``) the trips are first written once
+    by :func:`stage_trips`.
     """
     out = out_dir.rstrip("/")
     result: dict = {}
+    if stage if stage is not None else len(set(which)) > 1:
+        trips = stage_trips(trips)
     if 1 in which:
         write_index(questions.frequent_routes_index(trips), f"{out}/query1", fmt=index_format)
     if 2 in which:
