@@ -58,3 +58,14 @@ def test_command_line_writes_all_answers(spark, scratch, capsys):
     assert sorted(int(r.k) for r in sse.collect()) == [2, 3]
     printed = capsys.readouterr().out.strip().split("\n")
     assert len(printed) == 2 and '"k": 2' in printed[0]
+
+
+def test_stage_trips_keeps_valid_rows_and_needed_columns(spark, scratch):
+    from cabgrid.functions import valid_trips
+    from cabgrid.plans.answers import QUESTION_COLUMNS, stage_trips
+
+    trips = _trips(spark)
+    staged = stage_trips(trips, f"{scratch}/trips")
+    assert tuple(staged.columns) == QUESTION_COLUMNS
+    want = valid_trips(trips).select(*QUESTION_COLUMNS)
+    assert staged.exceptAll(want).count() == 0 and want.exceptAll(staged).count() == 0
