@@ -96,10 +96,19 @@ def _named(agg: DataFrame, *measures: str) -> DataFrame:
     )
 
 
+def _empty_counts(trips: DataFrame, from_minute: int) -> DataFrame:
+    return _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(F.count(F.lit(1)).alias("empty_taxis"))
+
+
+def _revenue_means(trips: DataFrame, from_minute: int) -> DataFrame:
+    return _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(
+        _mean(F.sum("revenue"), F.count(F.lit(1))).alias("mean_revenue")
+    )
+
+
 def empty_taxis(trips: DataFrame, from_minute: int = C.EMPTY_FROM_MINUTE) -> DataFrame:
     """(weekday, hour, cell, empty_taxis)."""
-    agg = _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(F.count(F.lit(1)).alias("empty_taxis"))
-    return _named(agg, "empty_taxis")
+    return _named(_empty_counts(trips, from_minute), "empty_taxis")
 
 
 def _mean(total: Column, n: Column) -> Column:
@@ -108,10 +117,7 @@ def _mean(total: Column, n: Column) -> Column:
 
 def mean_revenue(trips: DataFrame, from_minute: int = C.PROFIT_FROM_MINUTE) -> DataFrame:
     """(weekday, hour, cell, mean_revenue)."""
-    agg = _dropoff_index(trips, from_minute).groupBy(*_INDEX).agg(
-        _mean(F.sum("revenue"), F.count(F.lit(1))).alias("mean_revenue")
-    )
-    return _named(agg, "mean_revenue")
+    return _named(_revenue_means(trips, from_minute), "mean_revenue")
 
 
 def area_profitability_join(
@@ -121,12 +127,13 @@ def area_profitability_join(
 ) -> DataFrame:
     """Profitability as an inner join of the two aggregates.
 
-    Both sides come out of an aggregation hash-partitioned on the join keys,
-    so the join needs no further exchange; at run time AQE may still turn
-    it into a broadcast join if one side proves small.
+    The join is on the integer group keys and names are built afterwards, so
+    both sides arrive hash-partitioned on the join keys by their own
+    aggregation and the join adds no exchange; at run time AQE may still
+    turn it into a broadcast join if one side proves small.
     """
-    joined = empty_taxis(trips, empty_from).join(mean_revenue(trips, profit_from), list(KEYS), "inner")
-    return joined.select(
+    joined = _empty_counts(trips, empty_from).join(_revenue_means(trips, profit_from), list(_INDEX), "inner")
+    return _named(joined, "empty_taxis", "mean_revenue").select(
         *KEYS,
         "empty_taxis",
         "mean_revenue",

@@ -131,3 +131,16 @@ def test_single_pass_profitability_has_one_aggregate_exchange(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange") == 1
     assert "partial_count" in plan and "Join" not in plan
+
+
+def test_join_form_reuses_the_aggregate_partitioning(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trips = trips_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+        plan = _plan(area_profitability_join(valid_trips(trips)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one exchange per aggregate, none added for the sort-merge join
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
