@@ -58,7 +58,9 @@ def write_answers(
     """
     out = out_dir.rstrip("/")
     result: dict = {}
-    if stage if stage is not None else len(set(which)) > 1:
+    if stage is None:
+        stage = len(set(which)) > 1
+    if stage:
         trips = stage_trips(trips)
     if 1 in which:
         write_index(questions.frequent_routes_index(trips), f"{out}/query1", fmt=index_format)
@@ -68,9 +70,10 @@ def write_answers(
         sweep = questions.taxi_stands(trips, ks)
         try:
             write_stand_lines(stand_lines(sweep.centres()), f"{out}/query3")
-            sse = sweep.sse().orderBy("k")
+            rows = sweep.sse().orderBy("k").collect()  # len(ks) rows, computed once
+            sse = trips.sparkSession.createDataFrame(rows, "k int, sse double")
             sse.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/query3_sse")
-            result["sse"] = {r.k: r.sse for r in sse.collect()}
+            result["sse"] = {r.k: r.sse for r in rows}
         finally:
             sweep.release()
     return result
