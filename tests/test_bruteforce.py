@@ -86,14 +86,26 @@ def _frame(spark, trips):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(
+    max_examples=12,
+    deadline=None,
+    derandomize=True,
+    database=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
 @given(st.lists(TRIP, min_size=1, max_size=120))
 def test_routes_match_brute_force(spark, trips):
     got = {tuple(r) for r in frequent_routes(_frame(spark, trips)).collect()}
     assert got == brute_routes(trips)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(
+    max_examples=12,
+    deadline=None,
+    derandomize=True,
+    database=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
 @given(st.lists(TRIP, min_size=1, max_size=120))
 def test_areas_match_brute_force(spark, trips):
     got = {tuple(r) for r in profitable_areas(_frame(spark, trips)).collect()}
