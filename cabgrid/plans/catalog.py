@@ -180,26 +180,50 @@ def _sweep(spark, sf_dir) -> stands.StandSweep:
     return questions.taxi_stands(_trips(spark, sf_dir), C.STAND_KS, C.KMEANS_SEED)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write a result into the shared folder and read it back."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Each stands query releases its persisted points before returning: centres
+# are plain values of the fitted models, and the point-based results are
+# written as small tables first.
+
+
 def taxi_stands(spark, sf_dir):
-    return _sweep(spark, sf_dir).centres()
+    sweep = _sweep(spark, sf_dir)
+    try:
+        return sweep.centres()
+    finally:
+        sweep.release()
 
 
 def stand_lines(spark, sf_dir):
-    return stands.stand_lines(_sweep(spark, sf_dir).centres())
+    return stands.stand_lines(taxi_stands(spark, sf_dir))
 
 
 def stand_sse(spark, sf_dir):
-    return _sweep(spark, sf_dir).sse()
+    sweep = _sweep(spark, sf_dir)
+    try:
+        return _written(sweep.sse(), "stand-sse")
+    finally:
+        sweep.release()
 
 
 def stand_assignment(spark, sf_dir):
-    return _sweep(spark, sf_dir).assignment()
+    sweep = _sweep(spark, sf_dir)
+    try:
+        return _written(sweep.assignment(), "stand-assignment")
+    finally:
+        sweep.release()
 
 
 def stand_files_roundtrip(spark, sf_dir):
     """Stand files written one folder per k, read back as (k, line)."""
     path = new_table_path(spark, "stands")
-    write_stand_lines(stands.stand_lines(_sweep(spark, sf_dir).centres()), path)
+    write_stand_lines(stand_lines(spark, sf_dir), path)
     return spark.read.text(path).select("k", F.col("value").alias("line"))
 
 
