@@ -66,7 +66,10 @@ def fit_stands(
 
 @dataclass
 class StandSweep:
-    """Models of a k sweep over one persisted point set."""
+    """Models of a k sweep over one persisted point set.
+
+    Use as a context manager (or call :meth:`release`) to drop the cache.
+    """
 
     points: DataFrame
     models: dict[int, KMeansModel] = field(default_factory=dict)
@@ -119,6 +122,12 @@ class StandSweep:
     def release(self) -> None:
         self.points.unpersist()
 
+    def __enter__(self) -> StandSweep:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.release()
+
 
 def balanced_points(points: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist the point set with evenly filled partitions.

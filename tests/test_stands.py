@@ -24,14 +24,12 @@ def _groups(spark):
 
 
 def test_three_groups_found(spark):
-    sweep = sweep_stands(stand_points(_groups(spark)), ks=(3,))
-    try:
+    with sweep_stands(stand_points(_groups(spark)), ks=(3,)) as sweep:
         centres = sorted((round(r.latitude, 2), round(r.longitude, 2)) for r in sweep.centres().collect())
         assert centres == sorted(GROUPS)
         load = sorted(r.trips for r in sweep.assignment().collect())
         assert load == [30, 30, 30]
-    finally:
-        sweep.release()
+    assert not sweep.points.is_cached
 
 
 def test_points_go_to_nearest_centre_and_sse_matches(spark):
