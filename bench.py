@@ -5,7 +5,9 @@ BENCH_REPEAT (default 3; the best run of each query is reported).  Every
 query first runs once untimed, so the timings are steady-state (JIT and
 generated code warm), as on long-lived executors.
 Each query is forced in full with Spark's ``noop`` sink, so nothing is
-collected to the driver and every row is computed.
+collected to the driver and every row is computed.  With BENCH_EVENT_LOG set
+to a folder, Spark's event log is written there (stage and task times for
+``tests/stage_report.py``).
 """
 
 from __future__ import annotations
@@ -53,7 +55,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
-    spark = local_session(cpus, shuffle_partitions=cpus, app="cabgrid-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
+    spark = local_session(cpus, shuffle_partitions=cpus, app="cabgrid-bench", extra=extra)
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # JVM and file-system warm-up
     lines = catalog.line_file(spark, sf_dir)
 
