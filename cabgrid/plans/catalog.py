@@ -2,7 +2,9 @@
 
 Every query reads the driver's ``events`` table in ``sf_dir`` (whole table,
 no sampling or row caps) and derives trips or raw trip lines from it with
-:mod:`cabgrid.sources.events`.  Names match :mod:`cabgrid.plans.oracle`.
+:mod:`cabgrid.sources.events`.  Queries on raw lines first write the lines
+as a text file in the shared folder and read that back like any text source.
+Names match :mod:`cabgrid.plans.oracle`.
 """
 
 from __future__ import annotations
