@@ -69,3 +69,34 @@ def test_stage_trips_keeps_valid_rows_and_needed_columns(spark, scratch):
     assert tuple(staged.columns) == QUESTION_COLUMNS
     want = valid_trips(trips).select(*QUESTION_COLUMNS)
     assert staged.exceptAll(want).count() == 0 and want.exceptAll(staged).count() == 0
+
+
+def test_staged_and_direct_answers_agree(spark, scratch):
+    from cabgrid.plans.answers import write_answers
+
+    trips = _trips(spark)
+    write_answers(trips, f"{scratch}/direct", which=(1, 2), stage=False)
+    write_answers(trips, f"{scratch}/staged", which=(1, 2), stage=True)
+    for q in ("query1", "query2"):
+        assert sorted(_text(f"{scratch}/direct/{q}")) == sorted(_text(f"{scratch}/staged/{q}"))
+
+
+def test_shared_dir_refuses_a_local_folder_on_a_cluster():
+    import pytest
+
+    from cabgrid.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+        applicationId = "app-1"
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
