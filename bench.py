@@ -1,7 +1,7 @@
 """Time the headline queries; print one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 3; the best run of each query is reported).  Every
+BENCH_REPEAT (default 5; the best run of each query is reported).  Every
 query first runs once untimed, so the timings are steady-state (JIT and
 generated code warm), as on long-lived executors.
 Each query is forced in full with Spark's ``noop`` sink, so nothing is
@@ -54,7 +54,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "5")))
     extra = {}
     if os.environ.get("BENCH_EVENT_LOG"):
         extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
