@@ -8,6 +8,7 @@ expressions and Spark ML:
 * where to place k taxi stands (k-means over pickup points).
 """
 
+from .plans.answers import write_answers
 from .plans.questions import (
     frequent_routes,
     frequent_routes_index,
@@ -15,6 +16,7 @@ from .plans.questions import (
     profitable_areas_index,
     taxi_stands,
 )
+from .sources import read_trips_csv, read_trips_text
 
 __all__ = [
     "frequent_routes",
@@ -22,4 +24,7 @@ __all__ = [
     "profitable_areas",
     "profitable_areas_index",
     "taxi_stands",
+    "read_trips_csv",
+    "read_trips_text",
+    "write_answers",
 ]
