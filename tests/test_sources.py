@@ -58,3 +58,19 @@ def test_line_outcomes(spark, scratch):
     lines = spark.read.text(path)
     counts = {r.outcome: r["count"] for r in line_outcomes(lines).groupBy("outcome").count().collect()}
     assert counts == {"valid": 2, "empty": 1, "malformed": 3, "outside": 2}
+
+
+def test_text_ignores_quotes_csv_honours_them(spark, scratch):
+    from cabgrid.sources import parse_trip_lines, read_trip_records_text
+
+    quoted = '"m,1",' + GOOD.split(",", 1)[1] + ",extra"
+    os.makedirs(scratch, exist_ok=True)
+    with open(os.path.join(scratch, "q.csv"), "w") as f:
+        f.write(quoted + "\n")
+    text = read_trip_records_text(spark, scratch).first()
+    split = parse_trip_lines(spark.read.text(scratch)).first()
+    # plain comma split, as the original text path: the quote is just a character
+    assert (text.medallion, text.hack_license) == ('"m', '1"') == (split.medallion, split.hack_license)
+    assert text.pickup_longitude == split.pickup_longitude == 0.44  # shifted by one field
+    csv = read_trip_csv(spark, scratch).first()
+    assert csv.medallion == "m,1" and csv.pickup_longitude == -73.956528
