@@ -30,7 +30,12 @@ def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     * ``fmt="pairs"``: the key/list pair form of the original result files,
       ``(('monday', '08'), ['150.160-153.164', ...])``;
     * any other value is a Spark data source (``parquet``, ``json``, ...).
+
+    An index holds at most one row per weekday and hour (168 rows), so it is
+    written as one file.  ``repartition(1)`` moves just those rows; the
+    narrow ``coalesce(1)`` would pull the whole ranking stage into one task.
     """
+    index = index.repartition(1)
     if fmt == "text":
         line = F.concat_ws("\t", "weekday", "hour", F.array_join(_items(index), ","))
     elif fmt == "pairs":

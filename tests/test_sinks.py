@@ -34,6 +34,7 @@ def test_index_formats_round_trip(spark, scratch):
         assert got == want
     got = sorted(tuple(ln.split("\t")) for ln in _text(f"{scratch}/text"))
     assert got == want
+    assert len(glob.glob(f"{scratch}/text/part-*")) == 1
     write_index(index, f"{scratch}/pairs", fmt="pairs")
     pairs = sorted(ast.literal_eval(ln) for ln in _text(f"{scratch}/pairs"))
     assert [(w, h, ",".join(items)) for (w, h), items in pairs] == want
