@@ -53,10 +53,11 @@ def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 def write_stand_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per k (``k=5/``, ...) with ``lat,lon`` lines in stand order.
 
-    The frame holds at most sum(ks) rows, so a single writer task is enough.
+    The frame holds at most sum(ks) rows, so a single writer task is enough
+    (``repartition(1)``, so whatever computed the lines stays parallel).
     """
     (
-        lines.coalesce(1)
+        lines.repartition(1)
         .sortWithinPartitions("k", "stand_id")
         .select("k", "line")
         .write.mode(mode)
