@@ -101,3 +101,15 @@ def test_shared_dir_refuses_a_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_command_line_single_question_from_text(spark, scratch):
+    from cabgrid.sources import read_trips_text
+
+    src = catalog.line_file(spark, SF_SMALL)
+    main([src, f"{scratch}/one", "--format", "text", "--questions", "2", "--index-format", "text"])
+    assert not os.path.exists(f"{scratch}/one/query1") and not os.path.exists(f"{scratch}/one/query3")
+    from cabgrid.plans import profitable_areas_index
+
+    exp = profitable_areas_index(read_trips_text(spark, src), sep=",").collect()
+    assert sorted(_text(f"{scratch}/one/query2")) == sorted(f"{r.weekday}\t{r.hour}\t{r.cells}" for r in exp)
