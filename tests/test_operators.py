@@ -144,3 +144,15 @@ def test_join_form_reuses_the_aggregate_partitioning(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # one exchange per aggregate, none added for the sort-merge join
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_whole_q1_and_q2_do_not_depend_on_partitioning(spark):
+    from cabgrid.plans import frequent_routes, profitable_areas
+
+    trips = trips_from_events(spark.read.parquet(f"{SF_ORACLE}/events.parquet"))
+    base_routes = {tuple(r) for r in frequent_routes(trips).collect()}
+    base_areas = {tuple(r) for r in profitable_areas(trips).collect()}
+    for parts in (2, 4, 8):
+        t = trips.repartition(parts)
+        assert {tuple(r) for r in frequent_routes(t).collect()} == base_routes, parts
+        assert {tuple(r) for r in profitable_areas(t).collect()} == base_areas, parts
