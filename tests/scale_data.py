@@ -1,0 +1,72 @@
+"""Write larger inputs for scale trials (never committed; pick a fresh folder).
+
+    python tests/scale_data.py events <out_dir> [copies]   # copies × sf0.1 events
+    python tests/scale_data.py hot <out_dir> [rows]        # trips, a third on one route
+
+``events``: the sf0.1 ``events`` table repeated ``copies`` times (default
+200) with shifted ids, as ``<out_dir>/events.parquet`` (64 files); run
+``BENCH_SF_DIR=<out_dir> python bench.py`` on it.
+
+``hot``: ``rows`` stored trips (default 20M) in which every third trip has
+the same pickup, drop-off, weekday and hour, so one route and one drop-off
+cell hold a third of all rows; written as ``<out_dir>/trips``.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from cabgrid.session import local_session  # noqa: E402
+
+X0, Y0, DX, DY = -74.913585, 41.474937, 0.005986, 0.004491556
+
+
+def scaled_events(spark, out_dir: str, copies: int = 200) -> None:
+    ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    rep = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("rep")
+    big = ev.select("*", rep).select(
+        (F.col("event_id") + F.col("rep") * 100000).alias("event_id"),
+        "ts",
+        (F.col("user_id") + F.col("rep") * 1500).alias("user_id"),
+        "event_type",
+        "value",
+        "props",
+    )
+    big.repartition(64).write.parquet(f"{out_dir}/events.parquet")
+
+
+def hot_trips(spark, out_dir: str, rows: int = 20_000_000) -> None:
+    ids = spark.range(0, rows, numPartitions=64)
+    hot = F.col("id") % 3 == 0
+    r = F.col("id") % 9973
+    base = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    pick = base + F.make_dt_interval(secs=(F.col("id") % 2419200).cast("decimal(18,6)"))
+    ids.select(
+        F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:50:00"))).otherwise(pick).alias("pickup_ts"),
+        F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:55:00")))
+        .otherwise(pick + F.expr("INTERVAL 600 SECONDS"))
+        .alias("dropoff_ts"),
+        F.when(hot, F.lit(X0 + DX * 150)).otherwise(F.lit(X0) + F.lit(DX) * (F.lit(100) + r % 97)).alias("pickup_longitude"),
+        F.when(hot, F.lit(Y0 - DY * 160)).otherwise(F.lit(Y0) - F.lit(DY) * (F.lit(100) + r % 89)).alias("pickup_latitude"),
+        F.when(hot, F.lit(X0 + DX * 152)).otherwise(F.lit(X0) + F.lit(DX) * (F.lit(120) + r % 61)).alias("dropoff_longitude"),
+        F.when(hot, F.lit(Y0 - DY * 163)).otherwise(F.lit(Y0) - F.lit(DY) * (F.lit(120) + r % 53)).alias("dropoff_latitude"),
+        (F.col("id") % 5000 / 100).cast("decimal(12,2)").alias("fare_amount"),
+        (F.col("id") % 7).cast("decimal(12,2)").alias("tip_amount"),
+    ).write.parquet(f"{out_dir}/trips")
+
+
+if __name__ == "__main__":
+    kind, out = sys.argv[1], sys.argv[2]
+    n = int(sys.argv[3]) if len(sys.argv) > 3 else None
+    spark = local_session(8, 8)
+    if kind == "events":
+        scaled_events(spark, out, n or 200)
+    elif kind == "hot":
+        hot_trips(spark, out, n or 20_000_000)
+    else:
+        raise SystemExit(__doc__)
