@@ -102,3 +102,12 @@ def test_lopsided_partitions_are_spread(spark):
         assert sum(sizes) == 20800 and max(sizes) <= 2 * (sum(sizes) / len(sizes))
     finally:
         spread.unpersist()
+
+
+def test_concurrent_fits_equal_sequential_fits(spark):
+    trips = trips_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+    pts = stand_points(trips)
+    with sweep_stands(pts, ks=(3, 7, 11)) as together, sweep_stands(pts, ks=(3, 7, 11), parallelism=1) as alone:
+        a = sorted(tuple(r) for r in together.centres().collect())
+        b = sorted(tuple(r) for r in alone.centres().collect())
+    assert a == b
