@@ -46,15 +46,21 @@ def hot_trips(spark, out_dir: str, rows: int = 20_000_000) -> None:
     r = F.col("id") % 9973
     base = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     pick = base + F.make_dt_interval(secs=(F.col("id") % 2419200).cast("decimal(18,6)"))
+
+    def lon(hot_cell, cells):  # hot trips at one cell, the rest spread by id
+        return F.when(hot, F.lit(X0 + DX * hot_cell)).otherwise(F.lit(X0) + F.lit(DX) * cells)
+
+    def lat(hot_cell, cells):
+        return F.when(hot, F.lit(Y0 - DY * hot_cell)).otherwise(F.lit(Y0) - F.lit(DY) * cells)
     ids.select(
         F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:50:00"))).otherwise(pick).alias("pickup_ts"),
         F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:55:00")))
         .otherwise(pick + F.expr("INTERVAL 600 SECONDS"))
         .alias("dropoff_ts"),
-        F.when(hot, F.lit(X0 + DX * 150)).otherwise(F.lit(X0) + F.lit(DX) * (F.lit(100) + r % 97)).alias("pickup_longitude"),
-        F.when(hot, F.lit(Y0 - DY * 160)).otherwise(F.lit(Y0) - F.lit(DY) * (F.lit(100) + r % 89)).alias("pickup_latitude"),
-        F.when(hot, F.lit(X0 + DX * 152)).otherwise(F.lit(X0) + F.lit(DX) * (F.lit(120) + r % 61)).alias("dropoff_longitude"),
-        F.when(hot, F.lit(Y0 - DY * 163)).otherwise(F.lit(Y0) - F.lit(DY) * (F.lit(120) + r % 53)).alias("dropoff_latitude"),
+        lon(150, 100 + r % 97).alias("pickup_longitude"),
+        lat(160, 100 + r % 89).alias("pickup_latitude"),
+        lon(152, 120 + r % 61).alias("dropoff_longitude"),
+        lat(163, 120 + r % 53).alias("dropoff_latitude"),
         (F.col("id") % 5000 / 100).cast("decimal(12,2)").alias("fare_amount"),
         (F.col("id") % 7).cast("decimal(12,2)").alias("tip_amount"),
     ).write.parquet(f"{out_dir}/trips")
