@@ -52,6 +52,7 @@ def hot_trips(spark, out_dir: str, rows: int = 20_000_000) -> None:
 
     def lat(hot_cell, cells):
         return F.when(hot, F.lit(Y0 - DY * hot_cell)).otherwise(F.lit(Y0) - F.lit(DY) * cells)
+
     ids.select(
         F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:50:00"))).otherwise(pick).alias("pickup_ts"),
         F.when(hot, F.to_timestamp_ntz(F.lit("2024-01-08 08:55:00")))
