@@ -59,35 +59,37 @@ def main() -> None:
     if os.environ.get("BENCH_EVENT_LOG"):
         extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
     spark = local_session(cpus, shuffle_partitions=cpus, app="cabgrid-bench", extra=extra)
-    spark.read.parquet(f"{sf_dir}/events.parquet").count()  # JVM and file-system warm-up
-    lines = catalog.line_file(spark, sf_dir)
-
-    for run in HEADLINE.values():  # warm-up pass
-        run(spark, sf_dir, lines)
+    try:
+        spark.read.parquet(f"{sf_dir}/events.parquet").count()  # JVM and file-system warm-up
+        lines = catalog.line_file(spark, sf_dir)
 
-    times = {}
-    for name, run in HEADLINE.items():
-        best = None
-        for _ in range(repeat):
-            t0 = time.perf_counter()
+        for run in HEADLINE.values():  # warm-up pass
             run(spark, sf_dir, lines)
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
-
-    m = re.search(r"sf([0-9.]+)$", sf_dir)
-    out = {
-        "metric": "total_query_sec",
-        "value": round(sum(times.values()), 3),
-        "unit": "sec",
-        "queries": times,
-        "sf": float(m.group(1)) if m else sf_dir,
-        "cpus": cpus,
-        "repeat": repeat,
-    }
-    print(json.dumps(out), flush=True)
-    spark.stop()
 
+        times = {}
+        for name, run in HEADLINE.items():
+            best = None
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                run(spark, sf_dir, lines)
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+
+        m = re.search(r"sf([0-9.]+)$", sf_dir)
+        out = {
+            "metric": "total_query_sec",
+            "value": round(sum(times.values()), 3),
+            "unit": "sec",
+            "queries": times,
+            "sf": float(m.group(1)) if m else sf_dir,
+            "cpus": cpus,
+            "repeat": repeat,
+        }
+        print(json.dumps(out), flush=True)
+
+    finally:
+        spark.stop()
 
 if __name__ == "__main__":
     main()
