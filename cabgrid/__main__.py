@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from . import constants as C
 from .plans.answers import write_answers
+from .sinks import preview
 from .sources import read_trips_csv, read_trips_text
 
 
@@ -33,6 +34,11 @@ def main(argv=None) -> None:
         choices=("pairs", "text", "parquet", "json"),
         help="pairs: one (('weekday', 'hour'), ['name', ...]) line per key, as the original result files",
     )
+    p.add_argument(
+        "--preview",
+        action="store_true",
+        help="also print the first 2 Q1 and first 10 Q2 index rows, as the original job did",
+    )
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("cabgrid").getOrCreate()
@@ -41,9 +47,26 @@ def main(argv=None) -> None:
     which = [int(q) for q in a.questions.split(",") if q]
     ks = [int(k) for k in a.ks.split(",") if k]
     result = write_answers(trips, a.out, which, ks, a.index_format)
+    if a.preview:
+        _print_previews(spark, a.out, which, a.index_format)
     for k, sse in result.get("sse", {}).items():
         print(json.dumps({"k": k, "sse": sse}))
 
 
+def _print_previews(spark, out: str, which, index_format: str) -> None:
+    """First rows of the written indexes, in (weekday, hour) order (bounded: 2 and 10)."""
+    for q, n in ((1, 2), (2, 10)):
+        if q not in which:
+            continue
+        path = f"{out.rstrip('/')}/query{q}"
+        if index_format in ("text", "pairs"):
+            lines = spark.read.text(path).orderBy("value").limit(n).collect()
+            for r in lines:
+                print(r.value)
+        else:
+            for r in preview(spark.read.format(index_format).load(path), ["weekday", "hour"], n).collect():
+                print(tuple(r))
+
+
 if __name__ == "__main__":
     main()

@@ -113,3 +113,11 @@ def test_command_line_single_question_from_text(spark, scratch):
 
     exp = profitable_areas_index(read_trips_text(spark, src), sep=",").collect()
     assert sorted(_text(f"{scratch}/one/query2")) == sorted(f"{r.weekday}\t{r.hour}\t{r.cells}" for r in exp)
+
+
+def test_command_line_preview(spark, scratch, capsys):
+    src = catalog.line_file(spark, SF_SMALL)
+    main([src, f"{scratch}/pv", "--questions", "1,2", "--preview"])
+    printed = capsys.readouterr().out.strip().split("\n")
+    assert len(printed) == 2 + 10
+    assert printed[0].startswith("(('friday', '00'), [")
