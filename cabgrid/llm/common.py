@@ -44,12 +44,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != F.lit(""))
 
 
+def n_pieces(text: Column, gap: str) -> Column:
+    """Number of non-empty pieces between runs of the character class ``gap``."""
+    n = F.size(F.split(text, gap + "+"))
+    lead = text.rlike("\\A" + gap).cast("int")
+    trail = text.rlike(gap + "\\z").cast("int")
+    return F.when(text.rlike("[^" + gap[1:]), n - lead - trail).otherwise(F.lit(0)).cast("long")
+
+
 def n_words(text: Column) -> Column:
     """Number of words, without keeping them."""
-    n = F.size(F.split(text, SPACES))
-    lead = text.rlike("^[ \\t-\\r]").cast("int")
-    trail = text.rlike("[ \\t-\\r]\\z").cast("int")
-    return F.when(text.rlike("[^ \\t-\\r]"), n - lead - trail).otherwise(F.lit(0)).cast("long")
+    return n_pieces(text, SPACES[:-1])
 
 
 def text_hash(text: Column) -> Column:
@@ -72,3 +77,18 @@ def left_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     r = right.withColumnsRenamed(names)
     return left.join(r, null_safe(left, r, names), how).drop(*names.values())
 
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A higher-order function's lambda may use a column many times per element;
+    binding it as a lambda variable keeps the optimizer from copying its
+    expression into the lambda, where it would run once per element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def positions(n: Column) -> Column:
+    """0, 1, ... n - 1 (empty for n <= 0)."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
