@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, simhash
+from . import decontaminate, langid, mixing, sharding, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitmask": op2_bitmask,
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_winnowing": op4_winnowing,
+    "op8_hypergeometric": op8_hypergeometric,
     "op9_simhash": op9_simhash,
 }
 
