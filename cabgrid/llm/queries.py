@@ -10,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, langid, mixing, sharding, simhash, substring
 from .common import table
 
 
+def op1_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_relative_lz": op1_relative_lz,
     "op2_bitmask": op2_bitmask,
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_winnowing": op4_winnowing,
