@@ -72,9 +72,14 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Colum
 
 
 def left_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys of equal names where null equals null; the right keys go."""
+    """Join on keys of equal names where null equals null; the right keys go.
+
+    The right side describes rows of the corpus and grows with it, so it is
+    never broadcast: a sort-merge join, whose hot keys adaptive execution
+    splits, at every size.
+    """
     names = {k: f"__r_{k}" for k in keys}
-    r = right.withColumnsRenamed(names)
+    r = right.withColumnsRenamed(names).hint("merge")
     return left.join(r, null_safe(left, r, names), how).drop(*names.values())
 
 
