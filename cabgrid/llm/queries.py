@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, sharding, simhash, substring
+from . import decontaminate, langid, mixing, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitmask": op2_bitmask,
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_winnowing": op4_winnowing,
+    "op7_host_rules": op7_host_rules,
     "op8_hypergeometric": op8_hypergeometric,
     "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {
     "op4_winnowing": decontaminate.ORACLE,
+    "op7_host_rules": quality.ORACLE,
 }
