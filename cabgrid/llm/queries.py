@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, quality, sharding, simhash, substring
+from . import decontaminate, langid, linechunks, mixing, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz": op1_relative_lz,
     "op2_bitmask": op2_bitmask,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_host_rules": op7_host_rules,
     "op8_hypergeometric": op8_hypergeometric,
     "op9_simhash": op9_simhash,
+    "op10_line_chunks": op10_line_chunks,
 }
 
 SQL: dict[str, str] = {
