@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, linechunks, mixing, quality, sharding, simhash, substring
+from . import chat, decontaminate, langid, linechunks, mixing, pii, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitmask": op2_bitmask,
     "op3_entropy_balancing": op3_entropy_balancing,
     "op4_winnowing": op4_winnowing,
+    "op5_weak_supervision": op5_weak_supervision,
     "op6_prefix_tree": op6_prefix_tree,
     "op7_host_rules": op7_host_rules,
     "op8_hypergeometric": op8_hypergeometric,
