@@ -97,3 +97,11 @@ def let(value: Column, body) -> Column:
 def positions(n: Column) -> Column:
     """0, 1, ... n - 1 (empty for n <= 0)."""
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def unpacked(df: DataFrame, row: str, made: list[str]) -> DataFrame:
+    """The fields of struct ``row`` and the columns ``made``; a field whose
+    name one of ``made`` has gives way."""
+    taken = {m.lower() for m in made}
+    fields = [f.name for f in df.schema[row].dataType.fields if f.name.lower() not in taken]
+    return df.select(*[F.col(row).getField(f).alias(f) for f in fields], *made)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import left_lookup, let, positions, text_hash, text_of, written
+from .common import left_lookup, let, positions, text_hash, text_of, unpacked, written
 
 KEY = ["doc_id", "text_hash"]
 SPAN, DIVISOR, MIN_LINES = 2, 4, 2
@@ -153,7 +153,8 @@ def deduplicated(docs: DataFrame, keep=("*",), **how) -> DataFrame:
             F.array_join(out, "\n").alias("kept"),
         )
 
-    return both.select("__row", let(_lines(text_of("__text")), made).alias("__made")).select("__row.*", "__made.*")
+    out = both.select("__row", let(_lines(text_of("__text")), made).alias("__made")).select("__row", "__made.*")
+    return unpacked(out, "__row", ["n_lines", "n_removed", "kept"])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, positions, text_of, written
+from .common import let, positions, text_of, unpacked, written
 
 SEED = 8
 RANK_BITS = 33  # of monotonically_increasing_id: the number inside the partition
@@ -187,8 +187,7 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = SEED, bucket_rows: in
     packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     ranked = _local_ranks(packed, seed, F.col("__id"), F.col("__text")).drop("__id", "__text")
     out = assign(written(ranked, "shard-rows"), shards, seed, bucket_rows)
-    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("shard"), F.col("slot"))
+    return unpacked(out, "__row", ["shard", "slot"])
 
 
 def digest(docs: DataFrame, shards: int = 24) -> DataFrame:

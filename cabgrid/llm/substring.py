@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import left_lookup, text_hash, written
+from .common import left_lookup, text_hash, unpacked, written
 
 WINDOW, GRAM = 35, 8
 PIECE = 1 << 20
@@ -360,8 +360,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, kee
                 names=schema.names,
             )
 
-    out = both.mapInArrow(run, schema)
-    return out.select("__row.*", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    out = both.mapInArrow(run, schema).withColumn("kept", F.col("kept").cast("string"))
+    return unpacked(out, "__row", ["n_words", "n_removed", "kept"])
 
 
 def digest(docs: DataFrame) -> DataFrame:

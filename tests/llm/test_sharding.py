@@ -1,0 +1,86 @@
+import collections
+import zlib
+from math import comb
+
+import pytest
+from fixtures import rows, table
+from pyspark.sql import functions as F
+
+from cabgrid.llm import sharding
+
+
+def check(got, n_shards, n_rows):
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    sizes = [len(by[s]) for s in range(n_shards)]
+    assert sum(sizes) == n_rows == len(got) and max(sizes) - min(sizes) <= 1 and set(by) <= set(range(n_shards))
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_contract_query_on_awkward_rows(spark):
+    got = sharding.digest(table(spark, clashes=True)).collect()
+    check(got, 24, len(rows()))
+    want = collections.Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows())
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
+
+
+@pytest.mark.parametrize("parts,bucket", [(1, 7), (5, 3), (13, 100_000)])
+def test_any_layout_gives_exact_sizes_and_gapless_slots(spark, parts, bucket):
+    docs = spark.range(500).selectExpr("id AS doc_id", "cast(id AS string) AS text").repartition(parts)
+    check(sharding.sharded(docs, 7, bucket_rows=bucket).collect(), 7, 500)
+
+
+def test_copies_of_one_row_spread_over_shards(spark):
+    docs = table(spark, [(1, "same", "en", "a", 1)] * 240)
+    check(sharding.sharded(docs, 24).collect(), 24, 240)
+
+
+def test_rows_keep_their_columns(spark):
+    docs = table(spark, clashes=True)
+    out = sharding.sharded(docs, 5)
+    assert set(out.columns) == set(docs.columns) and len(out.columns) == len(docs.columns)
+    assert sorted(out.select(*sorted(set(docs.columns) - {"shard", "slot"})).collect(), key=str) == sorted(
+        docs.select(*sorted(set(docs.columns) - {"shard", "slot"})).collect(), key=str
+    )
+
+
+def test_fewer_rows_than_shards_and_empty_table(spark):
+    check(sharding.digest(table(spark, [(1, "a", None, None, 0)] * 3)).collect(), 24, 3)
+    assert sharding.digest(table(spark, [])).count() == 0
+    assert sharding.sharded(table(spark, []), 3).count() == 0
+
+
+def test_draws_follow_the_hypergeometric_distribution(spark):
+    n = 20_000
+    x = sharding._hypergeometric(F.lit(30), F.lit(100), F.lit(20), sharding._uniform(F.col("id"), F.lit(3)))
+    got = {r[0]: r[1] for r in spark.range(n).select(x.alias("x")).groupBy("x").count().collect()}
+    chi = 0.0
+    for k in range(2, 12):
+        want = n * comb(30, k) * comb(70, 20 - k) / comb(100, 20)
+        chi += (got.get(k, 0) - want) ** 2 / want
+    assert chi < 35  # 10 cells: above 35 with probability 1e-4
+    sure = [(5, 5, 3, 3), (0, 9, 4, 0), (4, 9, 9, 4), (7, 10, 0, 0)]
+    for good, total, take, want in sure:
+        v = sharding._hypergeometric(F.lit(good), F.lit(total), F.lit(take), F.lit(0.5))
+        assert spark.range(1).select(v).first()[0] == want
+
+
+def test_matrix_has_the_given_sums(spark):
+    counts = [0, 1, 7, 100, 3, 50, 50, 1, 9]
+    df = spark.createDataFrame(list(enumerate(counts)), "__part int, n long")
+    got = {r[0]: r[1] for r in sharding.communication_matrix(df, 6).collect()}
+    assert [sum(got[i]) for i in range(len(counts))] == counts
+    columns = [sum(v[s] for v in got.values()) for s in range(6)]
+    assert max(columns) - min(columns) <= 1 and min(min(v) for v in got.values()) >= 0
+
+
+def test_neighbours_do_not_stay_together(spark):
+    """Rows of one input partition meet every shard about equally often."""
+    docs = spark.range(0, 4800, 1, 4).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    got = sharding.sharded(docs, 4).collect()
+    table_ = collections.Counter((r.doc_id // 1200, r.shard) for r in got)
+    assert all(220 < table_[p, s] < 380 for p in range(4) for s in range(4))  # mean 300, sd about 13
+    ranks = [r.slot for r in got if r.doc_id < 600]
+    assert 540 < sum(ranks) / len(ranks) < 660
