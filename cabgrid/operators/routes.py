@@ -5,7 +5,7 @@ Inputs are trip frames that already passed :func:`cabgrid.functions.valid_trips`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -27,13 +27,14 @@ def route_keys(trips: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def route_counts(trips: DataFrame) -> DataFrame:
-    """Exact number of trips per (weekday, hour, route).
+_INDEX = ("_day", "_hour", "_px", "_py", "_dx", "_dy")
+
+
+def _index_counts(trips: DataFrame) -> DataFrame:
+    """Trips per (day, hour, four cell indices), all small integers.
 
     A plain count: Spark combines map-side, so a hot route costs one row per
-    map task in the shuffle, whatever its size.  Trips are grouped on small
-    integers (day, hour, four cell indices); names are built only for the
-    aggregated rows, so no per-trip string work or string shuffle keys.
+    map task in the shuffle, whatever its size.
     """
     t = trips.where(F.col("pickup_ts").isNotNull())
     keyed = t.select(
@@ -44,15 +45,24 @@ def route_counts(trips: DataFrame) -> DataFrame:
         cell_x("dropoff_longitude").alias("_dx"),
         cell_y("dropoff_latitude").alias("_dy"),
     )
-    counts = keyed.groupBy("_day", "_hour", "_px", "_py", "_dx", "_dy").agg(
-        F.count(F.lit(1)).alias("trip_count")
-    )
-    return counts.select(
-        weekday_from_number("_day").alias("weekday"),
-        hour_number_text("_hour").alias("hour"),
-        route_id(cell_name("_px", "_py"), cell_name("_dx", "_dy")).alias("route"),
-        "trip_count",
-    )
+    return keyed.groupBy(*_INDEX).agg(F.count(F.lit(1)).alias("trip_count"))
+
+
+def _route() -> Column:
+    return route_id(cell_name("_px", "_py"), cell_name("_dx", "_dy")).alias("route")
+
+
+def _named_keys() -> list[Column]:
+    return [weekday_from_number("_day").alias("weekday"), hour_number_text("_hour").alias("hour")]
+
+
+def route_counts(trips: DataFrame) -> DataFrame:
+    """Exact number of trips per (weekday, hour, route).
+
+    Grouped on integers; names are built only for the aggregated rows, so no
+    per-trip string work or string shuffle keys.
+    """
+    return _index_counts(trips).select(*_named_keys(), _route(), "trip_count")
 
 
 def rank_routes(counts: DataFrame, n: int = C.TOP_N) -> DataFrame:
@@ -61,8 +71,14 @@ def rank_routes(counts: DataFrame, n: int = C.TOP_N) -> DataFrame:
 
 
 def top_routes(trips: DataFrame, n: int = C.TOP_N) -> DataFrame:
-    """(weekday, hour, route, trip_count, rank) for the n most frequent routes."""
-    return rank_routes(route_counts(trips), n)
+    """(weekday, hour, route, trip_count, rank) for the n most frequent routes.
+
+    Ranked within (day, hour) as integers; of the names only the route's is
+    needed before the cut, as it breaks ties.
+    """
+    counts = _index_counts(trips).select("_day", "_hour", _route(), "trip_count")
+    best = top_n_per_group(counts, ("_day", "_hour"), [F.desc("trip_count"), F.asc("route")], n)
+    return best.select(*_named_keys(), "route", "trip_count", "rank")
 
 
 def top_routes_index(trips: DataFrame, n: int = C.TOP_N, sep: str | None = None) -> DataFrame:
