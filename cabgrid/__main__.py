@@ -39,6 +39,9 @@ def main(argv=None) -> None:
         action="store_true",
         help="also print the first 2 Q1 and first 10 Q2 index rows, as the original job did",
     )
+    p.add_argument(
+        "--mode", default="overwrite", choices=("overwrite", "error"), help="error: never replace earlier answers"
+    )
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("cabgrid").getOrCreate()
@@ -46,7 +49,7 @@ def main(argv=None) -> None:
     trips = read(spark, a.source)
     which = [int(q) for q in a.questions.split(",") if q]
     ks = [int(k) for k in a.ks.split(",") if k]
-    result = write_answers(trips, a.out, which, ks, a.index_format)
+    result = write_answers(trips, a.out, which, ks, a.index_format, mode=a.mode)
     if a.preview:
         _print_previews(spark, a.out, which, a.index_format)
     for k, sse in result.get("sse", {}).items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,33 +10,21 @@ from pyspark.sql import DataFrame
 from .. import constants as C
 from ..functions.quality import valid_trips
 from ..operators.stands import stand_lines
-from ..session import new_table_path
+from ..session import delete_path
 from ..sinks import write_index, write_stand_lines
+from ..sources.text import NEEDED
 from . import questions
 
-# The only trip columns any question reads.
-QUESTION_COLUMNS = (
-    "pickup_ts",
-    "dropoff_ts",
-    "pickup_longitude",
-    "pickup_latitude",
-    "dropoff_longitude",
-    "dropoff_latitude",
-    "fare_amount",
-    "tip_amount",
-)
 
 
-def stage_trips(trips: DataFrame, path: str | None = None) -> DataFrame:
+def stage_trips(trips: DataFrame, path: str) -> DataFrame:
     """Write the valid trips, with only the columns the questions read, as Parquet.
 
     Raw text or CSV is then parsed once however many questions follow, and
     each question reads back just its columns, with its filters pushed into
-    the Parquet scan.  The table lives in the shared folder, so it survives
-    the loss of any executor (unlike a cached frame).
+    the Parquet scan.  The table outlives any executor (unlike a cached frame).
     """
-    path = path or new_table_path(trips.sparkSession, "trips")
-    valid_trips(trips).select(*QUESTION_COLUMNS).write.parquet(path)
+    valid_trips(trips).select(*NEEDED).write.parquet(path)
     return trips.sparkSession.read.parquet(path)
 
 
@@ -46,34 +35,42 @@ def write_answers(
     ks: Sequence[int] = C.STAND_KS,
     index_format: str = "pairs",
     stage: bool | None = None,
+    mode: str = "overwrite",
 ) -> dict:
     """Write Q1/Q2 indexes and Q3 stand files under ``out_dir``.
 
     Layout: ``query1/``, ``query2/`` (one row per weekday and hour, names in
     rank order), ``query3/k=<k>/`` (``lat,lon`` lines) and ``query3_sse/``
-    (CSV ``k,sse``).  Returns ``{"sse": {k: sse}}`` when Q3 ran; those are
-    len(ks) numbers, so bringing them to the driver is bounded.  With more
-    than one question (or ``stage=True``) the trips are first written once
-    by :func:`stage_trips`.
+    (CSV ``k,sse``).  ``mode="error"`` refuses to replace any of them.
+    Returns ``{"sse": {k: sse}}`` when Q3 ran; those are len(ks) numbers, so
+    bringing them to the driver is bounded.  With more than one question (or
+    ``stage=True``) the trips are first written once under ``out_dir``; that
+    copy is deleted after the last question, also when one fails.
     """
     out = out_dir.rstrip("/")
-    result: dict = {}
+    spark = trips.sparkSession
     if stage is None:
         stage = len(set(which)) > 1
-    if stage:
-        trips = stage_trips(trips)
+    if not stage:
+        return _write(trips, out, which, ks, index_format, mode)
+    staged = f"{out}/_trips-{uuid.uuid4().hex}"
+    try:
+        return _write(stage_trips(trips, staged), out, which, ks, index_format, mode)
+    finally:
+        delete_path(spark, staged)
+
+
+def _write(trips: DataFrame, out: str, which, ks, index_format: str, mode: str) -> dict:
+    result: dict = {}
     if 1 in which:
-        write_index(questions.frequent_routes_index(trips), f"{out}/query1", fmt=index_format)
+        write_index(questions.frequent_routes_index(trips), f"{out}/query1", index_format, mode)
     if 2 in which:
-        write_index(questions.profitable_areas_index(trips), f"{out}/query2", fmt=index_format)
+        write_index(questions.profitable_areas_index(trips), f"{out}/query2", index_format, mode)
     if 3 in which:
-        sweep = questions.taxi_stands(trips, ks)
-        try:
-            write_stand_lines(stand_lines(sweep.centres()), f"{out}/query3")
+        with questions.taxi_stands(trips, ks) as sweep:
+            write_stand_lines(stand_lines(sweep.centres()), f"{out}/query3", mode)
             rows = sweep.sse().orderBy("k").collect()  # len(ks) rows, computed once
-            sse = trips.sparkSession.createDataFrame(rows, "k int, sse double")
-            sse.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/query3_sse")
-            result["sse"] = {r.k: r.sse for r in rows}
-        finally:
-            sweep.release()
+        sse = trips.sparkSession.createDataFrame(rows, "k int, sse double")
+        sse.coalesce(1).write.mode(mode).option("header", "true").csv(f"{out}/query3_sse")
+        result["sse"] = {r.k: r.sse for r in rows}
     return result

@@ -63,12 +63,13 @@ def test_command_line_writes_all_answers(spark, scratch, capsys):
 
 def test_stage_trips_keeps_valid_rows_and_needed_columns(spark, scratch):
     from cabgrid.functions import valid_trips
-    from cabgrid.plans.answers import QUESTION_COLUMNS, stage_trips
+    from cabgrid.plans.answers import stage_trips
+    from cabgrid.sources.text import NEEDED
 
     trips = _trips(spark)
     staged = stage_trips(trips, f"{scratch}/trips")
-    assert tuple(staged.columns) == QUESTION_COLUMNS
-    want = valid_trips(trips).select(*QUESTION_COLUMNS)
+    assert tuple(staged.columns) == NEEDED
+    want = valid_trips(trips).select(*NEEDED)
     assert staged.exceptAll(want).count() == 0 and want.exceptAll(staged).count() == 0
 
 
@@ -121,3 +122,40 @@ def test_command_line_preview(spark, scratch, capsys):
     printed = capsys.readouterr().out.strip().split("\n")
     assert len(printed) == 2 + 10
     assert printed[0].startswith("(('friday', '00'), [")
+
+
+def test_staged_trips_are_deleted(spark, scratch):
+    """After the answers, and after a failure, nothing is left but answers."""
+    import pytest
+
+    from cabgrid.plans.answers import write_answers
+    from cabgrid.session import table_count
+
+    before = table_count(spark)
+    write_answers(_trips(spark), f"{scratch}/all", ks=(2,))
+    assert sorted(os.listdir(f"{scratch}/all")) == ["query1", "query2", "query3", "query3_sse"]
+    with pytest.raises(ValueError):
+        write_answers(_trips(spark), f"{scratch}/bad", ks=(1,))
+    assert sorted(os.listdir(f"{scratch}/bad")) == ["query1", "query2"]
+    assert table_count(spark) == before
+
+
+def test_answers_are_not_replaced_against_the_users_will(spark, scratch):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from cabgrid.plans.answers import write_answers
+
+    write_answers(_trips(spark), f"{scratch}/once", which=(1,), mode="error")
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        write_answers(_trips(spark), f"{scratch}/once", which=(1,), mode="error")
+
+
+def test_helper_tables_are_deleted(spark):
+    from cabgrid.session import delete_tables, table_count
+
+    before = table_count(spark)
+    path = catalog.line_file(spark, SF_SMALL)
+    assert os.path.isdir(path) and table_count(spark) == before + 1
+    delete_tables(spark, since=before)
+    assert not os.path.exists(path) and table_count(spark) == before
