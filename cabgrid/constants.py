@@ -33,12 +33,17 @@ STAND_KS = (5, 31, 75)
 EMPTY_FROM_MINUTE = 30
 PROFIT_FROM_MINUTE = 45
 
-# Text form of the trip time stamps.
-DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Text form of the trip time stamps: yyyy-MM-dd HH:mm:ss, every part in full.
+DATETIME_FORM = "^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
 # Weekday names as reported, in Spark's dayofweek() order (1 = Sunday).
 WEEKDAY_NAMES = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 # ---------------------------------------------------------------------------
 
+# Partitions of the points that k-means is fitted on: fixed, so that stands do
+# not depend on cores or input splits; raise it with the data (it changes the
+# draw of the start, and so the stands).
+STAND_PARTITIONS = 8
+
 # Seed for k-means; the original leaves it to Python's hash of the class name.
 KMEANS_SEED = 42

@@ -16,8 +16,12 @@ from .areas import (
 from .routes import rank_routes, route_counts, route_keys, top_routes, top_routes_index
 from .stands import (
     StandSweep,
-    balanced_points,
+    assignment,
+    busiest_cell_centres,
+    counted_points,
     fit_stands,
+    laid_out_points,
+    sse,
     stand_lines,
     stand_points,
     sweep_stands,
@@ -43,8 +47,12 @@ __all__ = [
     "top_routes",
     "top_routes_index",
     "StandSweep",
-    "balanced_points",
+    "assignment",
+    "busiest_cell_centres",
+    "counted_points",
     "fit_stands",
+    "laid_out_points",
+    "sse",
     "stand_lines",
     "stand_points",
     "sweep_stands",

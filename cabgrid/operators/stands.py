@@ -1,17 +1,22 @@
 """Taxi stands: k-means over pickup points, for several k at once.
 
 Distances are plain Euclidean in degrees on (latitude, longitude), as in the
-original study.  Spark ML trains each model over the whole point set (no
-sampling).  The points are persisted once for the whole k sweep, so the
-source is scanned once, and the models are fitted as concurrent jobs.
-Persisted blocks lost with an executor are recomputed from the short
-scan-filter-project lineage.
-
-Per-point costs for every k come out of one pass: the models' transforms are
-chained, each adding its own prediction column, and each point's centre is
-looked up in a k-element literal array (bounded by k, not by the data), so no
-join or shuffle is needed before the final (k, stand) aggregate, which Spark
-combines map-side into at most sum(ks) rows per task.
+original study.  Every trip counts: trips are reduced to their distinct
+points with a count, and Spark ML minimises the same sum with the count as
+weight, on a point set that no longer grows with repeated places.
+
+k-means|| draws its start per partition, so the points are laid out the same
+way whatever the cluster: a fixed number of partitions by hash of the point,
+sorted inside.  The same trips and seed give the same stands on any number of
+cores and any input split; ``partitions`` is a documented parameter.
+
+The points are persisted once for the whole sweep; the ``row`` solver fits on
+that copy (the ``block`` solver would cache a second one per fit).  Persisted
+partitions lost with an executor are recomputed from their lineage.
+
+Costs come out of one pass: each point's centre is looked up in a k-element
+literal array (bounded by k, not by the data), and sums of a fixed scale do
+not depend on their order.
 """
 
 from __future__ import annotations
@@ -24,25 +29,41 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from .. import constants as C
+from ..functions.geo import cell_name, cell_x, cell_y
 
 FEATURES = "features"
+WEIGHT = "trips"
 POINT_COLS = ("pickup_latitude", "pickup_longitude")
 CENTRE_SCHEMA = "k int, stand_id int, latitude double, longitude double"
+MICRO = 1_000_000.0  # coordinates are averaged in whole millionths of a degree
+COST_UNIT = 1e12  # squared distances are summed in whole units of 1e-12
+
+
+def _assembled(points: DataFrame, *keep: str) -> DataFrame:
+    assembler = VectorAssembler(inputCols=list(POINT_COLS), outputCol=FEATURES)
+    return assembler.transform(points).select(*keep, FEATURES)
 
 
 def stand_points(trips: DataFrame, keep=()) -> DataFrame:
-    """Pickup (latitude, longitude) of valid trips as an ML feature vector.
+    """Pickup (latitude, longitude) of valid trips as an ML feature vector."""
+    return _assembled(trips.select(*keep, *POINT_COLS), *keep)
+
+
+def counted_points(trips: DataFrame) -> DataFrame:
+    """(pickup_latitude, pickup_longitude, trips): the distinct pickup points."""
+    return trips.groupBy(*POINT_COLS).agg(F.count(F.lit(1)).alias(WEIGHT))
 
-    Only ``keep`` and ``features`` are kept, so a persisted point set holds
-    one copy of the coordinates.
-    """
-    assembler = VectorAssembler(inputCols=list(POINT_COLS), outputCol=FEATURES)
-    return assembler.transform(trips.select(*keep, *POINT_COLS)).select(*keep, FEATURES)
+
+def laid_out_points(trips: DataFrame, partitions: int = C.STAND_PARTITIONS) -> DataFrame:
+    """(trips, features) of the distinct points in ``partitions`` partitions,
+    dealt by hash of the point and sorted inside."""
+    placed = counted_points(trips).repartition(partitions, *POINT_COLS).sortWithinPartitions(*POINT_COLS)
+    return _assembled(placed, WEIGHT)
 
 
 def unpack_points(points: DataFrame, keep=()) -> DataFrame:
@@ -51,22 +72,116 @@ def unpack_points(points: DataFrame, keep=()) -> DataFrame:
     return points.select(*keep, arr[0].alias("latitude"), arr[1].alias("longitude"))
 
 
-def fit_stands(
-    points: DataFrame, k: int, seed: int = C.KMEANS_SEED, solver: str = "block", **params
-) -> KMeansModel:
-    """One k-means model (k-means|| start, Spark ML defaults otherwise).
+def fit_stands(points: DataFrame, k: int, seed: int = C.KMEANS_SEED, **params) -> KMeansModel:
+    """One k-means model on (trips, features): k-means|| start, Spark ML
+    defaults, ``row`` solver (it fits on the persisted points themselves)."""
+    km = KMeans(
+        k=k, seed=seed, featuresCol=FEATURES, predictionCol="stand_id", weightCol=WEIGHT, solver="row", **params
+    )
+    return km.fit(points)
+
+
+# --- assignment and cost against given centres ----------------------------------
+
+
+def _square(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Column:
+    """Squared distance, in this order of operations."""
+    return (lat - to_lat) * (lat - to_lat) + (lon - to_lon) * (lon - to_lon)
+
+
+def _centres_of(centres: DataFrame) -> dict[int, list[tuple[int, float, float]]]:
+    """Centres by k, on the driver: sum(ks) rows, whatever the data."""
+    out: dict[int, list[tuple[int, float, float]]] = {}
+    for r in centres.select("k", "stand_id", "latitude", "longitude").orderBy("k", "stand_id").collect():
+        out.setdefault(r.k, []).append((r.stand_id, r.latitude, r.longitude))
+    return out
+
+
+def _nearest(stands: list[tuple[int, float, float]], lat: Column, lon: Column) -> Column:
+    """struct<sq, stand_id>: the nearest stand; ties go to the smaller id."""
+    known = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.lit(y).alias("y"), F.lit(x).alias("x")) for i, y, x in stands]
+    )
+    return F.array_min(
+        F.transform(known, lambda c: F.struct(_square(lat, lon, c["y"], c["x"]).alias("sq"), c["i"].alias("stand_id")))
+    )
+
+
+def _cost(sq: Column) -> Column:
+    """A point's cost, times its trips, in whole units: exact to add up."""
+    return F.floor(sq * COST_UNIT).cast("decimal(18,0)") * F.col(WEIGHT).cast("decimal(18,0)")
+
+
+def _as_degrees(units: Column) -> Column:
+    return units.cast("double") / COST_UNIT
+
+
+def assignment(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(k, stand_id, trips, sse): load and spread of every stand that has any.
 
-    The ``block`` solver runs the same Lloyd iterations over blocks of
-    points with matrix products; on 20M two-dimensional points it gave the
-    same centres as ``row`` (the ``auto`` choice there), about 20% faster.
+    ``points(latitude, longitude, trips)``, ``centres(k, stand_id, latitude,
+    longitude)``.
     """
-    km = KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol="stand_id", solver=solver, **params)
-    return km.fit(points)
+    per_k = [
+        F.struct(F.lit(k).alias("k"), _nearest(stands, F.col("latitude"), F.col("longitude")).alias("at"))
+        for k, stands in _centres_of(centres).items()
+    ]
+    if not per_k:
+        return points.sparkSession.createDataFrame([], "k int, stand_id int, trips long, sse double")
+    near = points.select(WEIGHT, F.inline(F.array(*per_k)))
+    return near.groupBy("k", "at.stand_id").agg(
+        F.sum(WEIGHT).alias("trips"), _as_degrees(F.sum(_cost(F.col("at.sq")))).alias("sse")
+    )
+
+
+def sse(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(k, sse): one column per k in a single aggregate, then one row per k."""
+    known = _centres_of(centres)
+    if not known:
+        return points.sparkSession.createDataFrame([], "k int, sse double")
+    sums = points.agg(
+        *[
+            F.sum(_cost(_nearest(stands, F.col("latitude"), F.col("longitude"))["sq"])).alias(f"k{k}")
+            for k, stands in known.items()
+        ]
+    )
+    rows = [F.struct(F.lit(k).alias("k"), _as_degrees(F.col(f"k{k}")).alias("sse")) for k in known]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def busiest_cell_centres(trips: DataFrame, ks: Sequence[int] = C.STAND_KS) -> DataFrame:
+    """(k, stand_id, latitude, longitude): the mean pickup point of the k
+    cells with the most pickups (ties by cell name), for each k.
+
+    A plain choice of stands from the data, to compare a fit with.  Means are
+    of whole millionths of a degree, so they do not depend on order.
+    """
+    micro = lambda c: F.sum(F.floor(F.col(c) * MICRO))
+    cells = (
+        trips.groupBy(cell_x("pickup_longitude").alias("x"), cell_y("pickup_latitude").alias("y"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), micro("pickup_latitude").alias("lat"), micro("pickup_longitude").alias("lon")
+        )
+        .withColumn("cell", cell_name("x", "y"))
+    )
+    best = cells.orderBy(F.desc("n"), "cell").limit(max(ks))  # a top-k, at most max(ks) rows
+    order = Window.orderBy(F.desc("n"), "cell")
+    ranked = best.withColumn("stand_id", (F.row_number().over(order) - 1).cast("int"))
+    mean = lambda c: F.col(c).cast("double") / F.col("n") / MICRO
+    return (
+        ranked.select("stand_id", mean("lat").alias("latitude"), mean("lon").alias("longitude"),
+                      F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+        .filter(F.col("stand_id") < F.col("k"))
+        .select("k", "stand_id", "latitude", "longitude")
+    )
+
+
+# --- the fitted sweep ------------------------------------------------------------
 
 
 @dataclass
 class StandSweep:
-    """Models of a k sweep over one persisted point set.
+    """Models of a k sweep over one persisted point set (trips, features).
 
     Use as a context manager (or call :meth:`release`) to drop the cache.
     """
@@ -87,37 +202,47 @@ class StandSweep:
         ]
         return self.spark.createDataFrame(rows, CENTRE_SCHEMA)
 
-    def point_costs(self, keep=()) -> DataFrame:
-        """(keep..., k, stand_id, sq_dist): each point's stand for every k.
+    def unpacked(self) -> DataFrame:
+        """(trips, latitude, longitude) of the distinct points."""
+        return unpack_points(self.points, keep=[WEIGHT])
 
-        ``keep`` may name point-set columns and ``latitude`` / ``longitude``.
-        """
-        arr = vector_to_array(F.col(FEATURES))
-        df = self.points.withColumns({"latitude": arr[0], "longitude": arr[1]})
-        per_k = []
-        for k, m in self.models.items():
-            pred = f"_stand_{k}"
-            df = m.transform(df, {m.predictionCol: pred})
-            lat_c = F.array(*[F.lit(float(c[0])) for c in m.clusterCenters()])
-            lon_c = F.array(*[F.lit(float(c[1])) for c in m.clusterCenters()])
-            idx = F.col(pred) + 1
-            sq = (F.col("latitude") - F.element_at(lat_c, idx)) ** 2 + (
-                F.col("longitude") - F.element_at(lon_c, idx)
-            ) ** 2
-            per_k.append(
-                F.struct(F.lit(k).alias("k"), F.col(pred).alias("stand_id"), sq.alias("sq_dist"))
-            )
-        return df.select(*keep, F.inline(F.array(*per_k)))
+    def predicted(self, k: int) -> DataFrame:
+        """(trips, latitude, longitude, stand_id): the model's own assignment."""
+        m = self.models[k]
+        return unpack_points(m.transform(self.points), keep=[WEIGHT, m.getPredictionCol()])
 
     def assignment(self) -> DataFrame:
         """(k, stand_id, trips, sse): load and spread of every stand."""
-        return self.point_costs().groupBy("k", "stand_id").agg(
-            F.count(F.lit(1)).alias("trips"), F.sum("sq_dist").alias("sse")
-        )
+        return assignment(self.unpacked(), self.centres())
 
     def sse(self) -> DataFrame:
-        """(k, sse): sum of squared distances of all points to their stand."""
-        return self.point_costs().groupBy("k").agg(F.sum("sq_dist").alias("sse"))
+        """(k, sse): sum of squared distances of all trips to their stand."""
+        return sse(self.unpacked(), self.centres())
+
+    def facts(self) -> DataFrame:
+        """(k, stands, trips, all_nearest, no_worse_than_one) of every fit.
+
+        ``trips``: trips the model assigns; ``all_nearest``: every point's
+        predicted stand is as near as its nearest one; ``no_worse_than_one``:
+        the cost does not exceed that of all trips' mean point.
+        """
+        lat, lon = F.col("latitude"), F.col("longitude")
+        n = F.col(WEIGHT)
+        mean = self.unpacked().agg((F.sum(lat * n) / F.sum(n)).alias("y"), (F.sum(lon * n) / F.sum(n)).alias("x")).first()
+        out = None
+        for k, stands in _centres_of(self.centres()).items():
+            at = F.element_at(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for _, y, x in stands]),
+                              F.col("stand_id") + 1)
+            own = _square(lat, lon, at["y"], at["x"])
+            one = _square(lat, lon, F.lit(mean.y), F.lit(mean.x))
+            row = self.predicted(k).agg(
+                F.lit(len(stands)).cast("long").alias("stands"),
+                F.coalesce(F.sum(WEIGHT), F.lit(0)).cast("long").alias("trips"),
+                F.coalesce(F.max(own - _nearest(stands, lat, lon)["sq"]) <= 1e-12, F.lit(True)).alias("all_nearest"),
+                F.coalesce(F.sum(own * n) <= F.sum(one * n) * (1 + 1e-9), F.lit(True)).alias("no_worse_than_one"),
+            ).select(F.lit(k).alias("k"), "*")
+            out = row if out is None else out.union(row)
+        return out
 
     def release(self) -> None:
         self.points.unpersist()
@@ -129,56 +254,35 @@ class StandSweep:
         self.release()
 
 
-def balanced_points(points: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Persist the point set with evenly filled partitions.
-
-    Every k-means pass scans all persisted partitions, so one oversized
-    partition (a huge unsplittable input file, say) would slow each of the
-    ~60 passes of a sweep.  Fewer partitions than cores (seen in the plan)
-    are spread round-robin straight away.  Otherwise the job that fills the
-    cache also counts rows per partition (a partial aggregate: one row per
-    partition leaves the tasks), and only when the largest holds more than
-    twice the mean are the points spread once and the lopsided copy
-    released.
-    """
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    planned = points.rdd.getNumPartitions()  # from the plan, no job
-    if planned < cores:
-        return points.repartition(cores).persist(storage)
-    points = points.persist(storage)
-    sizes = points.groupBy(F.spark_partition_id().alias("part")).count()
-    parts, largest, mean = sizes.agg(F.count(F.lit(1)), F.max("count"), F.avg("count")).first()
-    if parts and (parts < cores or largest > 2 * mean):
-        spread = points.repartition(max(parts, cores)).persist(storage)
-        spread.count()
-        points.unpersist()
-        return spread
-    return points
-
-
 def sweep_stands(
-    points: DataFrame,
+    trips: DataFrame,
     ks: Sequence[int] = C.STAND_KS,
     seed: int = C.KMEANS_SEED,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
     parallelism: int | None = None,
+    partitions: int = C.STAND_PARTITIONS,
     **params,
 ) -> StandSweep:
-    """Persist the points once (see :func:`balanced_points`) and fit one model per k.
+    """Persist the trips' distinct points once and fit one model per k.
 
     The fits are independent, so up to ``parallelism`` (default: all ks) run
     as concurrent Spark jobs, as Spark ML's tuning classes do; each fit
-    gives the same model as when run alone.
+    gives the same model as when run alone.  If one fails, the points are
+    released.
     """
     ks = [int(k) for k in ks]
     if not ks or any(k < 2 for k in ks):
         raise ValueError("every k must be at least 2 (Spark ML's lower bound)")
-    points = balanced_points(points, storage)
+    points = laid_out_points(trips, partitions).persist(storage)
     sweep = StandSweep(points)
-    fit = inheritable_thread_target(points.sparkSession)(lambda k: fit_stands(points, k, seed, **params))
-    with ThreadPoolExecutor(max_workers=max(1, parallelism or len(ks))) as pool:
-        for k, model in zip(ks, pool.map(fit, ks)):
-            sweep.models[k] = model
+    try:
+        fit = inheritable_thread_target(points.sparkSession)(lambda k: fit_stands(points, k, seed, **params))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism or len(ks))) as pool:
+            for k, model in zip(ks, pool.map(fit, ks)):
+                sweep.models[k] = model
+    except BaseException:
+        sweep.release()
+        raise
     return sweep
 
 

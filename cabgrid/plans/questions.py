@@ -43,8 +43,7 @@ def taxi_stands(
 ) -> stands.StandSweep:
     """Q3: one k-means model per k over the pickup points of valid trips.
 
-    The returned sweep gives ``centres()``, ``sse()`` and ``assignment()``;
+    The returned sweep gives ``centres()``, ``sse()``, ``assignment()`` and ``facts()``;
     call ``release()`` when done with it.
     """
-    points = stands.stand_points(valid_trips(trips))
-    return stands.sweep_stands(points, ks, seed, **params)
+    return stands.sweep_stands(valid_trips(trips), ks, seed, **params)

@@ -5,7 +5,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from cabgrid.operators import balanced_points, stand_lines, stand_points, sweep_stands, unpack_points
+import pytest
+
+from cabgrid.functions import valid_trips
+from cabgrid.operators import fit_stands, laid_out_points, stand_lines, sweep_stands
+from cabgrid.operators import stands as stands_module
 from cabgrid.plans import taxi_stands
 from cabgrid.sinks import write_stand_lines
 from cabgrid.sources import trips_from_events
@@ -24,7 +28,7 @@ def _groups(spark):
 
 
 def test_three_groups_found(spark):
-    with sweep_stands(stand_points(_groups(spark)), ks=(3,)) as sweep:
+    with sweep_stands(_groups(spark), ks=(3,)) as sweep:
         centres = sorted((round(r.latitude, 2), round(r.longitude, 2)) for r in sweep.centres().collect())
         assert centres == sorted(GROUPS)
         load = sorted(r.trips for r in sweep.assignment().collect())
@@ -38,29 +42,29 @@ def test_points_go_to_nearest_centre_and_sse_matches(spark):
     try:
         centres = {(r.k, r.stand_id): (r.latitude, r.longitude) for r in sweep.centres().collect()}
         assert sum(1 for k, _ in centres if k == 5) == 5
-        costs = sweep.point_costs(keep=["latitude", "longitude"]).where("k = 5").collect()
-        for r in costs[:200]:
-            d = {
-                s: (r.latitude - c[0]) ** 2 + (r.longitude - c[1]) ** 2
-                for (k, s), c in centres.items()
-                if k == 5
-            }
+        own = sweep.predicted(5).collect()
+        total = 0.0
+        for r in own:
+            d = {i: (r.latitude - c[0]) ** 2 + (r.longitude - c[1]) ** 2 for (k, i), c in centres.items() if k == 5}
             assert math.isclose(d[r.stand_id], min(d.values()), rel_tol=1e-9, abs_tol=1e-15)
-            assert math.isclose(r.sq_dist, d[r.stand_id], rel_tol=1e-9, abs_tol=1e-15)
+            total += d[r.stand_id] * r.trips
         sse = {r.k: r.sse for r in sweep.sse().collect()}
-        pts = unpack_points(sweep.points)
-        one = pts.agg((F.var_pop("latitude") + F.var_pop("longitude")) * F.count(F.lit(1))).first()[0]
-        assert sse[5] <= one
-        direct = sum(r.sq_dist for r in costs)
-        assert math.isclose(sse[5], direct, rel_tol=1e-9)
+        assert math.isclose(sse[5], total, rel_tol=1e-6)
+        n = sum(r.trips for r in own)
+        lat = sum(r.latitude * r.trips for r in own) / n
+        lon = sum(r.longitude * r.trips for r in own) / n
+        assert sse[5] <= sum(((r.latitude - lat) ** 2 + (r.longitude - lon) ** 2) * r.trips for r in own)
         per_stand = sweep.assignment().where("k = 5").agg(F.sum("trips"), F.sum("sse")).first()
-        assert per_stand[0] == len(costs) and math.isclose(per_stand[1], sse[5], rel_tol=1e-9)
+        assert per_stand[0] == n == valid_trips(trips).count()
+        assert math.isclose(per_stand[1], sse[5], rel_tol=1e-9)
+        facts = sweep.facts().first()
+        assert (facts.k, facts.stands, facts.trips, facts.all_nearest, facts.no_worse_than_one) == (5, 5, n, True, True)
     finally:
         sweep.release()
 
 
 def test_same_seed_same_centres(spark):
-    pts = stand_points(_groups(spark).repartition(2))
+    pts = _groups(spark).repartition(2)
     a = sweep_stands(pts, ks=(4,), seed=7)
     b = sweep_stands(pts, ks=(4,), seed=7)
     try:
@@ -73,7 +77,7 @@ def test_same_seed_same_centres(spark):
 
 
 def test_stand_files(spark, scratch):
-    sweep = sweep_stands(stand_points(_groups(spark)), ks=(2, 3))
+    sweep = sweep_stands(_groups(spark), ks=(2, 3))
     try:
         lines = stand_lines(sweep.centres())
         write_stand_lines(lines, scratch)
@@ -89,24 +93,105 @@ def test_stand_files(spark, scratch):
             assert len(lat.split(".")[1]) == 8 and len(lon.split(".")[1]) == 8
 
 
-def test_lopsided_partitions_are_spread(spark):
-    big = spark.range(0, 20000, numPartitions=1)
-    small = spark.range(20000, 20800, numPartitions=8)
-    pts = big.union(small).select(
-        (F.lit(40.7) + F.col("id") % 100 * 1e-4).alias("pickup_latitude"),
-        (F.lit(-74.0) + F.col("id") % 77 * 1e-4).alias("pickup_longitude"),
+def _events(spark):
+    return valid_trips(trips_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet")))
+
+
+def _result(trips, **how):
+    with sweep_stands(trips, ks=(5, 31), **how) as sweep:
+        centres = sorted(tuple(r) for r in sweep.centres().collect())
+        return centres, sorted(tuple(r) for r in sweep.sse().collect())
+
+
+def _close(a, b):
+    return len(a) == len(b) and all(
+        x[:-2] == y[:-2] and all(math.isclose(u, v, rel_tol=1e-9) for u, v in zip(x[-2:], y[-2:])) for x, y in zip(a, b)
     )
-    spread = balanced_points(stand_points(pts))
+
+
+def test_stands_do_not_depend_on_the_input_split(spark):
+    """Also not on the shuffle's own partition count (as on another cluster)."""
+    base = _result(_events(spark))
+    for parts in (1, 4, 16):
+        got = _result(_events(spark).repartition(parts))
+        assert _close(base[0], got[0]) and _close(base[1], got[1]), parts
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
-        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(sizes) == 20800 and max(sizes) <= 2 * (sum(sizes) / len(sizes))
+        got = _result(_events(spark), parallelism=1)
     finally:
-        spread.unpersist()
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert _close(base[0], got[0]) and _close(base[1], got[1])
+
+
+CORES = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from cabgrid.functions import valid_trips
+from cabgrid.operators import sweep_stands
+from cabgrid.session import local_session
+from cabgrid.sources import trips_from_events
+spark = local_session(sys.argv[2], 4)
+with sweep_stands(valid_trips(trips_from_events(spark.read.parquet(sys.argv[3]))), ks=(5,)) as s:
+    for r in sorted(tuple(r) for r in s.centres().collect()):
+        print("STAND", *r)
+spark.stop()
+"""
+
+
+def test_stands_do_not_depend_on_cores():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    seen = []
+    for cores in ("2", "5"):
+        args = [sys.executable, "-c", CORES, ROOT, cores, f"{SF_SMALL}/events.parquet"]
+        out = subprocess.run(args, capture_output=True, text=True, timeout=300).stdout
+        seen.append([tuple(map(float, x.split()[1:])) for x in out.split("\n") if x.startswith("STAND")])
+    assert len(seen[0]) == 5 and _close(seen[0], seen[1])
+
+
+def test_one_copy_of_the_points_is_cached(spark, monkeypatch):
+    """Storage during the fits: the shared points, and no blocks beside them."""
+    seen = []
+
+    def watched(points, k, seed, **params):
+        model = fit_stands(points, k, seed, **params)
+        infos = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        seen.append([(i.numCachedPartitions(), i.name()) for i in infos if "features" in i.name() or i.memSize() > 10_000])
+        return model
+
+    monkeypatch.setattr(stands_module, "fit_stands", watched)
+    with sweep_stands(_events(spark), ks=(3, 5), parallelism=1, partitions=4):
+        pass
+    assert all(len(x) == 1 and x[0][0] == 4 for x in seen), seen
+
+
+def test_points_are_released_when_a_fit_fails(spark, monkeypatch):
+    kept = []
+
+    def fails(points, k, seed, **params):
+        kept.append(points)
+        raise RuntimeError("no fit")
+
+    monkeypatch.setattr(stands_module, "fit_stands", fails)
+    with pytest.raises(RuntimeError, match="no fit"):
+        sweep_stands(_groups(spark), ks=(3,))
+    assert kept and not kept[0].is_cached
+
+
+def test_layout_is_fixed_and_weights_count_every_trip(spark):
+    trips = _groups(spark).union(_groups(spark))
+    pts = laid_out_points(trips, 5)
+    assert pts.rdd.getNumPartitions() == 5
+    assert pts.count() == 90 and pts.agg(F.sum("trips")).first()[0] == 180
 
 
 def test_concurrent_fits_equal_sequential_fits(spark):
     trips = trips_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
-    pts = stand_points(trips)
+    pts = valid_trips(trips)
     with sweep_stands(pts, ks=(3, 7, 11)) as together, sweep_stands(pts, ks=(3, 7, 11), parallelism=1) as alone:
         a = sorted(tuple(r) for r in together.centres().collect())
         b = sorted(tuple(r) for r in alone.centres().collect())

@@ -8,7 +8,7 @@ from cabgrid.streaming import stream_trips
 
 
 def test_k_below_two_is_rejected(spark):
-    pts = spark.createDataFrame([(1.0,)], "x double")
+    pts = spark.createDataFrame([(1.0, 2.0)], "pickup_latitude double, pickup_longitude double")
     with pytest.raises(ValueError, match="at least 2"):
         sweep_stands(pts, ks=(1, 5))
 
