@@ -4,9 +4,7 @@ from .geo import cell_id, cell_x, cell_y, route_id, with_cells
 from .quality import in_box, non_empty_line, on_grid, valid_trip, valid_trips
 from .timeparts import (
     hour_text,
-    in_last_half_hour,
     in_last_minutes,
-    in_last_quarter_hour,
     minute_of,
     parse_datetime,
     weekday_name,
@@ -24,9 +22,7 @@ __all__ = [
     "valid_trip",
     "valid_trips",
     "hour_text",
-    "in_last_half_hour",
     "in_last_minutes",
-    "in_last_quarter_hour",
     "minute_of",
     "parse_datetime",
     "weekday_name",

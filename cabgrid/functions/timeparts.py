@@ -16,8 +16,12 @@ from .._cols import as_col
 
 
 def parse_datetime(text) -> Column:
-    """Text ``yyyy-MM-dd HH:mm:ss`` to ``timestamp_ntz``; NULL when malformed."""
-    return as_col(text).try_cast("timestamp_ntz")
+    """Text ``yyyy-MM-dd HH:mm:ss`` to ``timestamp_ntz``; NULL when malformed.
+
+    The cast alone would also take a date without a time, one-digit parts
+    and zone offsets (and drop the offset), so the form is checked first.
+    """
+    return F.when(as_col(text).rlike(C.DATETIME_FORM), as_col(text).try_cast("timestamp_ntz"))
 
 
 def weekday_name(ts) -> Column:
@@ -54,10 +58,3 @@ def in_last_minutes(ts, from_minute: int) -> Column:
     """True when the time stamp lies at or after ``from_minute`` of its hour."""
     return minute_of(ts) >= F.lit(from_minute)
 
-
-def in_last_half_hour(ts) -> Column:
-    return in_last_minutes(ts, C.EMPTY_FROM_MINUTE)
-
-
-def in_last_quarter_hour(ts) -> Column:
-    return in_last_minutes(ts, C.PROFIT_FROM_MINUTE)

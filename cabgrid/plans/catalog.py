@@ -26,6 +26,7 @@ from ..sources import (
     read_trip_lines,
     read_trips_text,
     trip_lines_from_events,
+    trip_rows,
     trips_from_events,
     trips_from_records,
 )
@@ -64,17 +65,15 @@ def _lines(spark, sf_dir):
     return trip_lines_from_events(_events(spark, sf_dir))
 
 
-def line_file(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
-    """Write the derived raw lines as text (``files`` files) in the shared folder.
+def line_file(spark: SparkSession, sf_dir: str) -> str:
+    """Write the derived raw lines as text in the shared folder, a file per
+    partition of the source.
 
-    Queries on raw lines then start from a text file, like any text source,
+    Queries on raw lines then start from text files, like any text source,
     instead of carrying the line-building expression in their plan.
     """
     path = new_table_path(spark, "lines")
-    lines = _lines(spark, sf_dir).select("value")
-    if files > 1:
-        lines = lines.repartition(files)
-    lines.write.text(path)
+    _lines(spark, sf_dir).select("value").write.text(path)
     return path
 
 
@@ -222,13 +221,54 @@ def stand_assignment(spark, sf_dir):
         sweep.release()
 
 
-def stand_files_roundtrip(spark, sf_dir):
+def _stand_files(spark, lines):
     """Stand files written one folder per k, read back as (k, line)."""
     path = new_table_path(spark, "stands")
-    write_stand_lines(stand_lines(spark, sf_dir), path)
+    write_stand_lines(lines, path)
     return spark.read.text(path).select("k", F.col("value").alias("line"))
 
 
+def stand_files_roundtrip(spark, sf_dir):
+    return _stand_files(spark, stand_lines(spark, sf_dir))
+
+
+def stand_sweep_facts(spark, sf_dir):
+    sweep = _sweep(spark, sf_dir)
+    try:
+        return _written(sweep.facts(), "stand-facts")
+    finally:
+        sweep.release()
+
+
+# The same assignment, cost, text and files for stands that follow from the
+# data without a fit, so that SQL can state them.
+
+
+def fixed_stand_centres(spark, sf_dir):
+    return stands.busiest_cell_centres(_valid(spark, sf_dir))
+
+
+def _pickups(spark, sf_dir):
+    names = {"pickup_latitude": "latitude", "pickup_longitude": "longitude"}
+    return stands.counted_points(_valid(spark, sf_dir)).withColumnsRenamed(names)
+
+
+def fixed_stand_assignment(spark, sf_dir):
+    return stands.assignment(_pickups(spark, sf_dir), fixed_stand_centres(spark, sf_dir))
+
+
+def fixed_stand_sse(spark, sf_dir):
+    return stands.sse(_pickups(spark, sf_dir), fixed_stand_centres(spark, sf_dir))
+
+
+def fixed_stand_lines(spark, sf_dir):
+    return stands.stand_lines(fixed_stand_centres(spark, sf_dir))
+
+
+def fixed_stand_files(spark, sf_dir):
+    return _stand_files(spark, fixed_stand_lines(spark, sf_dir))
+
+
 # --- raw text lines -------------------------------------------------------------
 
 
@@ -237,6 +277,10 @@ def parse_trip_lines_q(spark, sf_dir):
     return trips_from_records(parse_trip_lines(lines))
 
 
+def trip_rows_from_lines(spark, sf_dir):
+    return trip_rows(read_trip_lines(spark, line_file(spark, sf_dir)))
+
+
 def filter_trip_lines(spark, sf_dir):
     return quality.valid_trips(_line_trips(spark, sf_dir))
 
@@ -258,13 +302,13 @@ def profitable_areas_from_lines(spark, sf_dir):
 
 
 def top_routes_streaming(spark, sf_dir):
-    src = line_file(spark, sf_dir, files=4)
+    src = line_file(spark, sf_dir)
     totals, _ = incremental.route_totals_stream(incremental.stream_trips(spark, src, "text", max_files=1))
     return incremental.top_routes_from_totals(totals)
 
 
 def profitable_areas_streaming(spark, sf_dir):
-    src = line_file(spark, sf_dir, files=4)
+    src = line_file(spark, sf_dir)
     totals, _ = incremental.area_totals_stream(incremental.stream_trips(spark, src, "text", max_files=1))
     return incremental.profitable_areas_from_totals(totals)
 
@@ -322,7 +366,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stand_sse": stand_sse,
     "stand_assignment": stand_assignment,
     "stand_files_roundtrip": stand_files_roundtrip,
+    "stand_sweep_facts": stand_sweep_facts,
+    "fixed_stand_centres": fixed_stand_centres,
+    "fixed_stand_assignment": fixed_stand_assignment,
+    "fixed_stand_sse": fixed_stand_sse,
+    "fixed_stand_lines": fixed_stand_lines,
+    "fixed_stand_files": fixed_stand_files,
     "parse_trip_lines": parse_trip_lines_q,
+    "trip_rows_from_lines": trip_rows_from_lines,
     "filter_trip_lines": filter_trip_lines,
     "trip_line_outcomes": trip_line_outcomes,
     "top_routes_from_lines": top_routes_from_lines,
@@ -335,5 +386,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "area_index_roundtrip": area_index_roundtrip,
 }
 
-# k-means results depend on the iterative fit; no SQL states them.
+# The centres of an iterative fit; no SQL states them (what follows from given
+# centres is checked by the fixed_stand queries).
 NO_ORACLE = ("taxi_stands", "stand_lines", "stand_sse", "stand_assignment", "stand_files_roundtrip")

@@ -31,6 +31,17 @@ def _lat(base: str, mult: int) -> str:
     )
 
 
+def _edge(n: int) -> str:
+    return f"(CAST(60 + event_id % {n} AS DOUBLE) - CAST(0.5 AS DOUBLE))"
+
+
+_BESIDE = "CAST(event_id % 3 - 1 AS DOUBLE) * CAST(1e-9 AS DOUBLE)"
+
+
+def _bound(every: int, low: float, high: float, turn: int) -> str:
+    return f"CASE WHEN (event_id // {every * turn}) % 2 = 0 THEN {_d(low)} ELSE {_d(high)} END"
+
+
 _TRIP_TIME = "CAST(60 + (event_id * 37) % 2400 AS INTEGER)"
 _DROPOFF = f"ts + INTERVAL '1' SECOND * {_TRIP_TIME}"
 
@@ -42,13 +53,21 @@ TRIPS = f"""trips AS (
     {_TRIP_TIME} AS trip_time_in_secs,
     CASE WHEN event_id % 50 = 0 THEN CAST(0 AS DOUBLE)
          WHEN event_id % 47 = 0 THEN CAST(-75.5 AS DOUBLE)
-         ELSE {_lon("149 + user_id % 2", 13)} END AS pickup_longitude,
+         WHEN event_id % 41 = 0 THEN {_bound(41, C.LON_MIN, C.LON_MAX, 1)}
+         WHEN event_id % 43 = 0 THEN {_d(C.GRID_X0)} + {_d(LON_STEP)} * {_edge(170)} + {_BESIDE}
+         ELSE {_lon("CASE WHEN event_id % 4 = 0 THEN 150 ELSE 100 + (user_id * 37) % 101 END", 13)} END AS pickup_longitude,
     CASE WHEN event_id % 50 = 0 THEN CAST(0 AS DOUBLE)
-         ELSE {_lat("159 + user_id % 3", 29)} END AS pickup_latitude,
+         WHEN event_id % 41 = 0 THEN {_bound(41, C.LAT_MIN, C.LAT_MAX, 2)}
+         WHEN event_id % 43 = 0 THEN {_d(C.GRID_Y0)} - {_d(LAT_STEP)} * {_edge(190)} + {_BESIDE}
+         ELSE {_lat("CASE WHEN event_id % 4 = 0 THEN 160 ELSE 110 + (user_id * 53) % 83 END", 29)} END AS pickup_latitude,
     CASE WHEN event_id % 53 = 0 THEN CAST(0 AS DOUBLE)
-         ELSE {_lon("152 + event_id % 5", 17)} END AS dropoff_longitude,
+         WHEN event_id % 61 = 0 THEN {_bound(61, C.LON_MIN, C.LON_MAX, 1)}
+         WHEN event_id % 67 = 0 THEN {_d(C.GRID_X0)} + {_d(LON_STEP)} * {_edge(150)} + {_BESIDE}
+         ELSE {_lon("CASE WHEN event_id % 4 = 0 THEN 153 ELSE 120 + (user_id * 11 + event_id % 5) % 97 END", 17)} END AS dropoff_longitude,
     CASE WHEN event_id % 59 = 0 THEN CAST(42.5 AS DOUBLE)
-         ELSE {_lat("163 + event_id % 3", 31)} END AS dropoff_latitude,
+         WHEN event_id % 61 = 0 THEN {_bound(61, C.LAT_MIN, C.LAT_MAX, 2)}
+         WHEN event_id % 67 = 0 THEN {_d(C.GRID_Y0)} - {_d(LAT_STEP)} * {_edge(160)} + {_BESIDE}
+         ELSE {_lat("CASE WHEN event_id % 4 = 0 THEN 164 ELSE 130 + (user_id * 7 + event_id % 3) % 71 END", 31)} END AS dropoff_latitude,
     CAST(value AS DECIMAL(12,2)) AS fare_amount,
     CAST(CAST(event_id % 7 AS INTEGER) AS DECIMAL(12,2)) AS tip_amount
   FROM events)"""
@@ -60,15 +79,22 @@ LINES = f"""lines AS (
     CASE WHEN event_id % 61 = 0 THEN ''
          WHEN event_id % 67 = 0 THEN 'short,row'
          ELSE concat('m', CAST(user_id AS VARCHAR), ',h', CAST(user_id AS VARCHAR), ',',
-           {_TS19.format("ts")}, ',', {_TS19.format(_DROPOFF)}, ',',
+           CASE WHEN event_id % 101 = 0 THEN substring(CAST(ts AS VARCHAR), 1, 10)
+                WHEN event_id % 103 = 0 THEN concat({_TS19.format("ts")}, '+05:00')
+                WHEN event_id % 107 = 0 THEN '2013-1-1 5:50:00'
+                ELSE {_TS19.format("ts")} END, ',', {_TS19.format(_DROPOFF)}, ',',
            CAST({_TRIP_TIME} AS VARCHAR), ',1.50,',
            CASE WHEN event_id % 50 = 0 THEN '0.000000' WHEN event_id % 71 = 0 THEN 'bad'
+                WHEN event_id % 89 = 0 THEN concat(' -73.98', CAST(1000 + event_id % 9000 AS VARCHAR))
                 ELSE concat('-73.98', CAST(1000 + event_id % 9000 AS VARCHAR)) END, ',',
            concat('40.75', CAST(1000 + user_id AS VARCHAR)), ',',
            CASE WHEN event_id % 53 = 0 THEN '0.000000'
                 ELSE concat('-73.96', CAST(1000 + event_id % 7000 AS VARCHAR)) END, ',',
            concat('40.76', CAST(1000 + event_id % 5000 AS VARCHAR)), ',CSH,',
-           CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), ',0.50,0.50,',
+           CASE WHEN event_id % 73 = 0 THEN concat('  ', CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), ' ')
+                WHEN event_id % 79 = 0 THEN '12.345'
+                WHEN event_id % 83 = 0 THEN '12345678901.00'
+                ELSE CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) END, ',0.50,0.50,',
            CAST(event_id % 7 AS VARCHAR), '.00,0.00,',
            CAST(CAST(value AS DECIMAL(12,2)) + 1 AS VARCHAR)) END AS line
   FROM events)"""
@@ -85,12 +111,19 @@ def _fields(line: str) -> str:
     out = []
     for i, (name, dtype) in enumerate(RAW_FIELDS):
         part = f"string_split({line}, ',')[{i + 1}]"
-        if dtype.typeName() != "string":
-            part = f"TRY_CAST({part} AS {_duck_type(dtype)})"
+        if dtype.typeName() == "string":
+            part = f"nullif({part}, '')"
+        else:
+            part = f"TRY_CAST(trim({part}) AS {_duck_type(dtype)})"
         out.append(f"{part} AS {name}")
     return ",\n    ".join(out)
 
 
+def _datetime(text: str) -> str:
+    form = "[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}"
+    return f"CASE WHEN regexp_full_match({text}, '{form}') THEN TRY_CAST({text} AS TIMESTAMP) END"
+
+
 RAW_NAMES = ", ".join(n for n, _ in RAW_FIELDS)
 
 PARSED = f"""parsed AS (
@@ -98,8 +131,7 @@ PARSED = f"""parsed AS (
     {_fields("line")}
   FROM lines WHERE length(line) > 0),
 line_trips AS (
-  SELECT *, TRY_CAST(pickup_datetime AS TIMESTAMP) AS pickup_ts,
-         TRY_CAST(dropoff_datetime AS TIMESTAMP) AS dropoff_ts
+  SELECT *, {_datetime("pickup_datetime")} AS pickup_ts, {_datetime("dropoff_datetime")} AS dropoff_ts
   FROM parsed)"""
 
 
@@ -223,6 +255,32 @@ LINE_OUTCOME = f"""CASE WHEN length(line) = 0 THEN 'empty'
        ELSE 'valid' END"""
 
 
+# --- Q3 against fixed stands: the mean point of the busiest cells ----------------
+
+_KS = "(SELECT CAST(unnest([" + ", ".join(map(str, C.STAND_KS)) + "]) AS INTEGER) AS k)"
+
+FIXED_CENTRES = f"""cells AS (
+  SELECT {cell_sql('pickup_latitude', 'pickup_longitude')} AS cell, count(*) AS n,
+    CAST(sum(CAST(floor(pickup_latitude * CAST(1000000 AS DOUBLE)) AS BIGINT)) AS DOUBLE) AS lat,
+    CAST(sum(CAST(floor(pickup_longitude * CAST(1000000 AS DOUBLE)) AS BIGINT)) AS DOUBLE) AS lon
+  FROM valid GROUP BY 1),
+ranked AS (
+  SELECT CAST(row_number() OVER (ORDER BY n DESC, cell) - 1 AS INTEGER) AS stand_id,
+    lat / n / CAST(1000000 AS DOUBLE) AS latitude, lon / n / CAST(1000000 AS DOUBLE) AS longitude
+  FROM cells),
+centres AS (SELECT k, stand_id, latitude, longitude FROM ranked, {_KS} WHERE stand_id < k)"""
+
+NEAREST = """costs AS (
+  SELECT event_id, k, stand_id,
+    (pickup_latitude - latitude) * (pickup_latitude - latitude)
+      + (pickup_longitude - longitude) * (pickup_longitude - longitude) AS sq
+  FROM valid, centres),
+nearest AS (
+  SELECT event_id, k, min(sq) AS sq, min_by(stand_id, (sq, stand_id)) AS stand_id FROM costs GROUP BY event_id, k)"""
+
+SUM_COST = "CAST(sum(CAST(floor(sq * CAST(1e12 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e12 AS DOUBLE)"
+
+
 def statements() -> dict[str, str]:
     """Oracle SQL keyed like :func:`cabgrid.plans.catalog.queries`."""
     ev = _with(TRIPS, valid_cte())
@@ -266,10 +324,33 @@ def statements() -> dict[str, str]:
         "SELECT event_id, pickup_latitude AS latitude, pickup_longitude AS longitude FROM valid"
     )
 
+    fixed = _with(TRIPS, valid_cte(), FIXED_CENTRES)
+    q["fixed_stand_centres"] = fixed + "SELECT k, stand_id, latitude, longitude FROM centres"
+    near = _with(TRIPS, valid_cte(), FIXED_CENTRES, NEAREST)
+    q["fixed_stand_assignment"] = near + (
+        f"SELECT k, stand_id, count(*) AS trips, {SUM_COST} AS sse FROM nearest GROUP BY k, stand_id"
+    )
+    q["fixed_stand_sse"] = near + f"SELECT k, {SUM_COST} AS sse FROM nearest GROUP BY k"
+    line = "printf('%.8f,%.8f', latitude, longitude) AS line"
+    q["fixed_stand_lines"] = fixed + f"SELECT k, stand_id, {line} FROM centres"
+    q["fixed_stand_files"] = fixed + f"SELECT k, {line} FROM centres"
+    q["stand_sweep_facts"] = ev + (
+        f"SELECT k, CAST(k AS BIGINT) AS stands, (SELECT count(*) FROM valid) AS trips, true AS all_nearest, "
+        f"true AS no_worse_than_one FROM {_KS}"
+    )
+
     # Raw text lines.
     lines = _with(LINES, PARSED)
     line_cols = RAW_NAMES + ", pickup_ts, dropoff_ts"
     q["parse_trip_lines"] = lines + f"SELECT {line_cols} FROM line_trips"
+    cell = "CASE WHEN {0}_latitude IS NOT NULL AND {0}_longitude IS NOT NULL THEN {1} END AS {0}_cell"
+    q["trip_rows_from_lines"] = lines + (
+        "SELECT pickup_datetime, dropoff_datetime, trip_time_in_secs, trip_distance, pickup_longitude, "
+        "pickup_latitude, dropoff_longitude, dropoff_latitude, fare_amount, tip_amount, total_amount, "
+        + cell.format("pickup", cell_sql("pickup_latitude", "pickup_longitude")) + ", "
+        + cell.format("dropoff", cell_sql("dropoff_latitude", "dropoff_longitude"))
+        + ", medallion AS taxi_id FROM parsed"
+    )
     q["filter_trip_lines"] = lines + f"SELECT {line_cols} FROM line_trips WHERE {VALID_PREDICATE}"
     q["trip_line_outcomes"] = _with(
         LINES,

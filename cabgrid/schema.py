@@ -1,8 +1,12 @@
-"""Schemas of the raw trip records and of the parsed trip frame."""
+"""Schemas of the raw trip records."""
 
 from pyspark.sql import types as T
 
-# Raw trip record: 17 comma-separated fields, no header, in this order.
+# Money is kept exactly as written, to six decimals.
+MONEY = T.DecimalType(20, 6)
+
+# --- fixed values: the 17 comma-separated fields of a raw trip record, no
+# header, in this order (must stay exactly as written) ----------------------
 RAW_FIELDS = (
     ("medallion", T.StringType()),
     ("hack_license", T.StringType()),
@@ -15,25 +19,17 @@ RAW_FIELDS = (
     ("dropoff_longitude", T.DoubleType()),
     ("dropoff_latitude", T.DoubleType()),
     ("payment_type", T.StringType()),
-    ("fare_amount", T.DecimalType(12, 2)),
-    ("surcharge", T.DecimalType(12, 2)),
-    ("mta_tax", T.DecimalType(12, 2)),
-    ("tip_amount", T.DecimalType(12, 2)),
-    ("tolls_amount", T.DecimalType(12, 2)),
-    ("total_amount", T.DecimalType(12, 2)),
+    ("fare_amount", MONEY),
+    ("surcharge", MONEY),
+    ("mta_tax", MONEY),
+    ("tip_amount", MONEY),
+    ("tolls_amount", MONEY),
+    ("total_amount", MONEY),
 )
+# ---------------------------------------------------------------------------
 
-RAW_TRIP_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in RAW_FIELDS])
 RAW_COLUMNS = tuple(n for n, _ in RAW_FIELDS)
-RAW_POSITION = {n: i for i, n in enumerate(RAW_COLUMNS)}
 
-# Parsed trip frame used by every query.  Coordinates are doubles, money is
-# exact decimal, and the two time stamps are zone-free (wall-clock) values.
-PICKUP_TS = "pickup_ts"
-DROPOFF_TS = "dropoff_ts"
-PICKUP_LON = "pickup_longitude"
-PICKUP_LAT = "pickup_latitude"
-DROPOFF_LON = "dropoff_longitude"
-DROPOFF_LAT = "dropoff_latitude"
-FARE = "fare_amount"
-TIP = "tip_amount"
+# Readers take every field as text; sources.records gives the types above, so
+# that all readers parse a field the same way.
+RAW_TEXT_SCHEMA = T.StructType([T.StructField(n, T.StringType(), True) for n in RAW_COLUMNS])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import cell_id
 from ..functions.quality import non_empty_line, valid_trip
-from ..schema import RAW_TRIP_SCHEMA
-from .records import trips_from_records, typed_fields
+from ..schema import RAW_TEXT_SCHEMA
+from .records import fields_of_array, trips_from_records, typed_records
 
 
 def read_trip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,9 +23,40 @@ def parse_trip_lines(lines: DataFrame, line_col: str = "value", keep=()) -> Data
     NULL fields rather than an error.
     """
     parts = F.split(F.col(line_col), ",")
-    return lines.where(non_empty_line(line_col)).select(*keep, *typed_fields(parts))
+    return lines.where(non_empty_line(line_col)).select(*keep, *fields_of_array(parts))
 
 
+TRIP_ROW = (
+    "pickup_datetime",
+    "dropoff_datetime",
+    "trip_time_in_secs",
+    "trip_distance",
+    "pickup_longitude",
+    "pickup_latitude",
+    "dropoff_longitude",
+    "dropoff_latitude",
+    "fare_amount",
+    "tip_amount",
+    "total_amount",
+)
+
+
+def trip_rows(lines: DataFrame, line_col: str = "value", keep=()) -> DataFrame:
+    """Non-empty lines → the 14-field trip row: the 11 fields of ``TRIP_ROW``,
+    ``pickup_cell``, ``dropoff_cell`` and ``taxi_id``.
+
+    A cell is NULL where a coordinate of it is missing or malformed.
+    """
+
+    def cell(end: str):
+        lat, lon = F.col(f"{end}_latitude"), F.col(f"{end}_longitude")
+        return F.when(lat.isNotNull() & lon.isNotNull(), cell_id(lat, lon)).alias(f"{end}_cell")
+
+    raw = parse_trip_lines(lines, line_col, keep)
+    return raw.select(*keep, *TRIP_ROW, cell("pickup"), cell("dropoff"), F.col("medallion").alias("taxi_id"))
+
+
+# The only trip columns any question reads.
 NEEDED = (
     "pickup_ts",
     "dropoff_ts",
@@ -44,7 +76,7 @@ def line_outcomes(lines: DataFrame, line_col: str = "value", keep=()) -> DataFra
     ``outside`` a zero or out-of-area coordinate.
     """
     parts = F.split(F.col(line_col), ",")
-    parsed = trips_from_records(lines.select(*keep, F.col(line_col), *typed_fields(parts)))
+    parsed = trips_from_records(lines.select(*keep, F.col(line_col), *fields_of_array(parts)))
     missing = F.lit(False)
     for c in NEEDED:
         missing = missing | F.col(c).isNull()
@@ -61,21 +93,13 @@ def read_trip_records_text(spark: SparkSession, path: str) -> DataFrame:
     """The 17 raw fields of plain comma-separated text files (no quoting).
 
     Spark's delimited-text reader with quoting turned off splits on every
-    comma, like :func:`parse_trip_lines`, but parses each line once inside
-    the scan and evaluates pushed-down filters right there.  Parsing a string
-    column instead lets Catalyst inline the split into every term of a later
-    filter: about 2.5x the scan cost on 2M lines.  Blank lines are skipped
-    and an empty field reads as NULL; no question reads a field where that
-    differs.
+    comma, like :func:`parse_trip_lines`, but splits each line once inside
+    the scan; splitting a string column instead lets Catalyst inline the
+    split into every term of a later filter.  Both type the fields with
+    :mod:`cabgrid.sources.records`.  Blank lines are skipped.
     """
-    return (
-        spark.read.schema(RAW_TRIP_SCHEMA)
-        .option("sep", ",")
-        .option("quote", "")
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    reader = spark.read.schema(RAW_TEXT_SCHEMA).option("sep", ",").option("quote", "").option("header", "false")
+    return typed_records(reader.option("mode", "PERMISSIVE").csv(path))
 
 
 def read_trips_text(spark: SparkSession, path: str) -> DataFrame:

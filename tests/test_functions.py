@@ -7,8 +7,7 @@ from conftest import plan_text
 from cabgrid.functions import (
     cell_id,
     hour_text,
-    in_last_half_hour,
-    in_last_quarter_hour,
+    in_last_minutes,
     minute_of,
     route_id,
     valid_trips,
@@ -55,8 +54,8 @@ def test_time_parts_ignore_session_zone(spark):
 def test_minute_windows(spark):
     minutes = [29, 30, 44, 45, 59]
     df = spark.createDataFrame([(dt.datetime(2013, 1, 1, 10, m),) for m in minutes], "dropoff_ts timestamp_ntz")
-    assert df.where(in_last_half_hour("dropoff_ts")).count() == 4
-    assert df.where(in_last_quarter_hour("dropoff_ts")).count() == 2
+    assert df.where(in_last_minutes("dropoff_ts", 30)).count() == 4
+    assert df.where(in_last_minutes("dropoff_ts", 45)).count() == 2
 
 
 def test_valid_trip_predicate(spark):

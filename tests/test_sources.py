@@ -44,7 +44,7 @@ def test_csv_and_text_agree_on_valid_trips(spark, scratch):
         kept = valid_trips(read(spark, path)).orderBy("trip_time_in_secs").collect()
         assert len(kept) == 2, read.__name__
         assert kept[0].trip_time_in_secs is None and kept[1].trip_time_in_secs == 120
-        assert str(kept[1].fare_amount) == "3.50"
+        assert str(kept[1].fare_amount) == "3.500000"
 
 
 def test_route_of_the_good_line(spark, scratch):
@@ -74,3 +74,51 @@ def test_text_ignores_quotes_csv_honours_them(spark, scratch):
     assert text.pickup_longitude == split.pickup_longitude == 0.44  # shifted by one field
     csv = read_trip_csv(spark, scratch).first()
     assert csv.medallion == "m,1" and csv.pickup_longitude == -73.956528
+
+
+ODD = [
+    GOOD.replace(",3.50,", ",  3.50 ,").replace(",-73.956528,", ", -73.956528  ,").replace(",120,", ", 120 ,"),
+    GOOD.replace(",3.50,", ",12.345,"),
+    GOOD.replace(",3.50,", ",12345678901.00,"),
+    GOOD.replace(",3.50,", ",1" + "0" * 20 + ","),
+    GOOD.replace("2013-01-01 00:00:00", "2013-01-01"),
+    GOOD.replace("2013-01-01 00:00:00", "2013-01-01 00:00:00+05:00"),
+    GOOD.replace("2013-01-01 00:00:00", "2013-1-1 5:50:00"),
+    GOOD.replace("2013-01-01 00:00:00", "2013-13-01 00:00:00"),
+    GOOD.replace("a,b,", ",,"),
+    GOOD.replace(",3.50,", ",,"),
+]
+
+
+def test_all_readers_agree_on_odd_fields(spark, scratch):
+    from cabgrid.sources import parse_trip_lines, trips_from_records
+    from cabgrid.streaming import stream_trips
+
+    os.makedirs(scratch, exist_ok=True)
+    with open(os.path.join(scratch, "odd.csv"), "w") as f:
+        f.write("\n".join(ODD) + "\n")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    split = rows(trips_from_records(parse_trip_lines(spark.read.text(scratch))))
+    assert rows(read_trips_text(spark, scratch)) == split == rows(read_trips_csv(spark, scratch))
+    got = []
+    for fmt in ("text", "csv"):
+        query = stream_trips(spark, scratch, fmt).writeStream.format("memory").queryName(f"odd_{fmt}")
+        query.trigger(availableNow=True).start().awaitTermination()
+        got.append(rows(spark.table(f"odd_{fmt}")))
+    assert got == [split, split]
+
+    fares = {str(r.fare_amount) for r in read_trips_text(spark, scratch).collect()}
+    assert fares == {"3.500000", "12.345000", "12345678901.000000", "None"}
+    assert read_trips_text(spark, scratch).where("pickup_ts IS NULL").count() == 4
+    counts = {r.outcome: r["count"] for r in line_outcomes(spark.read.text(scratch)).groupBy("outcome").count().collect()}
+    assert counts == {"valid": 4, "malformed": 6}
+
+
+def test_trip_rows_have_cells_and_taxi(spark, scratch):
+    from cabgrid.sources import trip_rows
+
+    got = trip_rows(spark.read.text(_write(scratch))).collect()
+    assert len(got[0]) == 14 and got[0].taxi_id == "a"
+    assert got[0].pickup_cell == "161.170" and got[0].dropoff_cell == "160.170"
+    bad = [r for r in got if r.pickup_longitude is None]
+    assert bad and all(r.pickup_cell is None for r in bad)
