@@ -20,7 +20,8 @@ A pack holds its text and its nodes (turns): ``start`` and ``end`` in the text,
 of its own conversation), ``parent``, the loss interval (the text of an
 assistant turn) and ``attends``, the intervals of its ancestors, which together
 with the node's own earlier characters are all it may attend to.  ``convs``
-names the conversations that end at a node.  Units are code points.
+names the conversations that end at a node.  Units are code points;
+:func:`tokenized` gives the same packs in the tokens of a vocabulary file.
 
 Defined results: null role or text is empty; a null turn number sorts first,
 ties by role and text; a null conv_id is one conversation; repeated rows are
@@ -82,6 +83,27 @@ def parse_turn(turn: str) -> tuple[str, str]:
     return re.sub(r"\\.", lambda m: _ROLE_BACK[m[0]], role), unescape(text)
 
 
+def _placed(nodes: list[dict], parent: int, start: int, length: int, loss: tuple[int, int]) -> dict:
+    """The node of a turn that begins at ``start`` and follows ``parent``."""
+    up = nodes[parent] if parent >= 0 else None
+    attends = []
+    if up:
+        attends = list(up["attends"])
+        if attends and attends[-1]["end"] == up["start"]:  # neighbours in the sequence are one interval
+            attends[-1] = {"start": attends[-1]["start"], "end": up["end"]}
+        else:
+            attends.append({"start": up["start"], "end": up["end"]})
+    return {
+        "start": start,
+        "end": start + length,
+        "position": up["position"] + up["end"] - up["start"] if up else 0,
+        "parent": parent,
+        "loss_start": start + loss[0],
+        "loss_end": start + loss[1],
+        "attends": attends,
+    }
+
+
 class Pack:
     """One packed sequence under construction."""
 
@@ -104,27 +126,8 @@ class Pack:
 
     def _emit(self, turn: tuple[str, str], parent: int) -> int:
         text, a, b = format_turn(*turn)
-        start = self.size
-        up = self.nodes[parent] if parent >= 0 else None
-        attends = []
-        if up:
-            attends = list(up["attends"])
-            if attends and attends[-1]["end"] == up["start"]:  # neighbours in the text are one interval
-                attends[-1] = {"start": attends[-1]["start"], "end": up["end"]}
-            else:
-                attends.append({"start": up["start"], "end": up["end"]})
-        loss = (start + a, start + b) if turn[0] == TRAINED else (start, start)
-        self.nodes.append(
-            {
-                "start": start,
-                "end": start + len(text),
-                "position": up["position"] + up["end"] - up["start"] if up else 0,
-                "parent": parent,
-                "loss_start": loss[0],
-                "loss_end": loss[1],
-                "attends": attends,
-            }
-        )
+        loss = (a, b) if turn[0] == TRAINED else (0, 0)
+        self.nodes.append(_placed(self.nodes, parent, self.size, len(text), loss))
         self.parts.append(text)
         self.size += len(text)
         return len(self.nodes) - 1
@@ -176,6 +179,49 @@ def packs(convs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     return ordered.mapInArrow(run, PACKS)
 
 
+def tokenized(packed: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Packs in tokens: (ids, positions, nodes, convs), nodes in token units.
+
+    ``tokenizer_file``: a JSON file of the ``tokenizers`` library, read by the
+    driver and sent to the tasks once (a vocabulary of some MB, whatever the
+    corpus).  A turn's text is encoded apart from its frame, so no token
+    crosses a turn or the edge of its loss interval, and shared turns have the
+    same tokens in every pack.
+    """
+    with open(tokenizer_file, encoding="utf-8") as f:
+        vocabulary = packed.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(vocabulary.value)
+        tokenizer.encode_special_tokens = True  # control strings are ordinary text
+        for b in batches:
+            for text, nodes, convs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                ids, positions, out = [], [], []
+                cuts = [(n["start"], n["loss_start"], n["loss_end"], n["end"]) for n in nodes]
+                parts = [text[x:y] for c in cuts for x, y in zip(c, c[1:])]
+                codes = [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+                for i, n in enumerate(nodes):
+                    own = codes[3 * i : 3 * i + 3]
+                    size = [len(x) for x in own]
+                    loss = (size[0], size[0] + size[1])
+                    out.append(_placed(out, n["parent"], len(ids), sum(size), loss))
+                    ids += own[0] + own[1] + own[2]
+                    positions += range(out[-1]["position"], out[-1]["position"] + sum(size))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids], pa.list_(pa.int32())),
+                        pa.array([positions], pa.list_(pa.int32())),
+                        pa.array([out], pa.list_(_NODE)),
+                        pa.array([convs], pa.list_(_CONV)),
+                    ],
+                    names=["ids", "positions", "nodes", "convs"],
+                )
+
+    return packed.mapInArrow(run, f"ids array<int>, positions array<int>, {PACKS.split(', ', 1)[1]}")
+
+
 def read_back(packed: DataFrame) -> DataFrame:
     """Digests of every conversation, from packs alone."""
 

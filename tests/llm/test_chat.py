@@ -79,3 +79,31 @@ def test_packs_are_bounded(spark):
 def test_empty_table(spark):
     assert chat.packs(chat.conversations(spark.createDataFrame([], SCHEMA))).count() == 0
     same(chat.digest(spark.createDataFrame([], SCHEMA)).collect(), brute([]))
+
+
+def test_tokens_spell_every_conversation_and_its_loss(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    data = [r for r in awkward() if r[0] is None or r[0] < 500]
+    convs = chat.conversations(spark.createDataFrame(data, SCHEMA))
+    want = {r.conv_key: [(t.role, t.text) for t in r.turns] for r in convs.collect()}
+    seen = set()
+    for p in chat.tokenized(chat.packs(convs, 2000), path).collect():
+        for c in p.convs:
+            nodes, at = [], c.node
+            while at >= 0:
+                nodes.insert(0, p.nodes[at])
+                at = p.nodes[at].parent
+            ids = [i for n in nodes for i in p.ids[n.start : n.end]]
+            turns = want[c.conv_key]
+            spelt = tokenizer.decode(ids, skip_special_tokens=False)
+            assert spelt == "".join(chat.format_turn(*t)[0] for t in turns)
+            positions = [i for n in nodes for i in p.positions[n.start : n.end]]
+            assert positions == list(range(len(ids)))
+            learnt = [tokenizer.decode(p.ids[n.loss_start : n.loss_end], skip_special_tokens=False) for n in nodes]
+            assert [chat.unescape(x) for x in learnt if x] == [t for r, t in turns if r == chat.TRAINED and t]
+            seen.add(c.conv_key)
+    assert seen == set(want)
