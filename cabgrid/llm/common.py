@@ -99,6 +99,33 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+def running(items: Column, state: Column, step, row_type: str, chunk: int = 256) -> Column:
+    """One row per item, in order, where ``step(state, item)`` gives the next
+    state and the item's row.
+
+    Appending to an array copies it, so rows are gathered in chunks: the cost
+    is about ``chunk`` copies an item, not one per item before it.
+    """
+    none = F.array().cast(f"array<{row_type}>")
+
+    def one(s, x):
+        after, row = step(s["state"], x)
+        return F.struct(after.alias("state"), F.concat(s["rows"], F.array(row)).alias("rows"))
+
+    def many(s, part):
+        done = F.aggregate(part, F.struct(s["state"].alias("state"), none.alias("rows")), one)
+        return let(
+            done,
+            lambda r: F.struct(r["state"].alias("state"), F.concat(s["rows"], F.array(r["rows"])).alias("rows")),
+        )
+
+    parts = F.transform(
+        positions(F.ceil(F.size(items) / chunk).cast("int")), lambda c: F.slice(items, c * chunk + 1, chunk)
+    )
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{row_type}>>").alias("rows"))
+    return F.aggregate(parts, start, many, lambda s: F.flatten(s["rows"]))
+
+
 def unpacked(df: DataFrame, row: str, made: list[str]) -> DataFrame:
     """The fields of struct ``row`` and the columns ``made``; a field whose
     name one of ``made`` has gives way."""

@@ -17,8 +17,8 @@ language in code-point order); it is the score.
 Bounds: the model learns from about ``sample_docs`` labelled documents per
 language, chosen by a hash of the doc_id (a documented bound, all of them
 where there are fewer); the filter has ``2**slot_bits`` slots, whatever the
-corpus, and that is what is collected and broadcast.  Texts are read in slabs
-of ``SLAB`` characters, so memory does not grow with a text.
+corpus, and that is what is collected and broadcast.  N-grams are made in
+slabs of ``SLAB`` characters: of a long text only its code points are held.
 
 Defined results: null text or a text without a letter: ``und``, score 0; a
 text whose n-grams no language has: the first language, score 0; without
@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 ORDERS = (2, 3, 4)
 SLAB = 1 << 18
 UNKNOWN = "und"
@@ -200,8 +202,6 @@ def learn(
         F.col("number").alias("lang"), "text"
     )  # plan: a row per language, at most MAX_LANGS
     counts = _counted(sample).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    from .common import written
-
     counts = written(counts, "grams")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     rate = F.col("n") / F.element_at(

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, text_hash, text_of, written
+from .common import n_words, running, text_hash, text_of, written
 
 WEIGHTS = (3, 1, 2)
 BINS = 1 << 16
@@ -187,28 +187,25 @@ def cells(hist: DataFrame, plan: DataFrame, ceiling: float = 2.0) -> DataFrame:
     rate = F.when(F.col("full"), F.lit(float(ceiling))).otherwise(F.least(tilted, F.lit(float(ceiling))))
     rated = _by_source(hist, plan).withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
     cell = F.struct("size", "docs", "rate", "base")
-    start = F.struct(
-        F.lit(0.0).alias("owed"),
-        F.array().cast("array<struct<size:bigint,docs:bigint,rate:double,base:bigint,extra:bigint>>").alias("done"),
-    )
 
-    def add(s, c):
-        owed = s["owed"] + c["docs"] * c["size"] * (c["rate"] - c["base"])
+    def add(owed, c):
+        owed = owed + c["docs"] * c["size"] * (c["rate"] - c["base"])
         fits = F.greatest(F.least(F.round(owed / F.greatest(c["size"], F.lit(1))).cast("long"), c["docs"]), F.lit(0))
         extra = F.when((c["size"] > 0) & (c["base"] < ceiling), fits).otherwise(F.lit(0)).cast("long")
         row = F.struct(
             c["size"].alias("size"), c["docs"].alias("docs"), c["rate"].alias("rate"), c["base"].alias("base"),
             extra.alias("extra"),
-        )
-        return F.struct((owed - extra * c["size"]).alias("owed"), F.concat(s["done"], F.array(row)).alias("done"))
+        )
+        return owed - extra * c["size"], row
 
+    row_type = "struct<size:bigint,docs:bigint,rate:double,base:bigint,extra:bigint>"
     by_source = rated.groupBy("source").agg(
         F.first("words").alias("words"),
         F.first("target").alias("target"),
         F.sort_array(F.collect_list(cell), asc=False).alias("cells"),
     )
     return by_source.select(
-        "source", "words", "target", F.inline(F.aggregate("cells", start, add, lambda s: s["done"]))
+        "source", "words", "target", F.inline(running(F.col("cells"), F.lit(0.0), add, row_type))
     )
 
 

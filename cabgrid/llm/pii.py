@@ -37,7 +37,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import left_lookup, let, positions, text_hash, text_of, written
+from .common import left_lookup, let, positions, running, text_hash, text_of, written
 
 KEY = ["doc_id", "text_hash"]
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -71,14 +71,12 @@ AGAINST = r"(?i)(?:version|v\.|section|isbn|issn|order|release|chapter|page|figu
 def _found(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value, left, right>> of the matches, in order."""
     rx = F.lit(pattern)
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string,left:string,right:string>>")
+    row_type = "struct<start:int,stop:int,value:string,left:string,right:string>"
 
     def placed(parts, hits):
-        start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-
-        def add(s, i):
+        def step(pos, i):
             value = F.get(hits, i)
-            begin = s["pos"] + F.char_length(F.get(parts, i))
+            begin = pos + F.char_length(F.get(parts, i))
             stop = begin + F.char_length(value)
             row = F.struct(
                 begin.alias("start"),
@@ -87,15 +85,15 @@ def _found(text: Column, pattern: str) -> Column:
                 F.right(F.get(parts, i), F.lit(24)).alias("left"),
                 F.left(F.get(parts, i + 1), F.lit(1)).alias("right"),
             )
-            return F.struct(stop.alias("pos"), F.concat(s["out"], F.array(row)).alias("out"))
+            return stop, row
 
-        return F.aggregate(positions(F.size(hits)), start, add, lambda s: s["out"])
+        return running(positions(F.size(hits)), F.lit(0), step, row_type)
 
     hits = let(
         F.split(text, pattern, -1),
         lambda parts: let(F.regexp_extract_all(text, rx, F.lit(0)), lambda hits: placed(parts, hits)),
     )
-    return F.when(text.rlike(pattern), hits).otherwise(empty)
+    return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(f"array<{row_type}>"))
 
 
 def _digits(value: Column) -> Column:
