@@ -20,8 +20,9 @@ size in one source form a cell.  Every document gets ``floor(rate)`` copies;
 how many of a cell get one more is rounded from the largest size to the
 smallest, each cell taking over the words that the ones before missed, so a
 source misses its target by about its smallest document.  Which of a cell:
-those whose hashed uniform number lies below the cell's cut, found from its
-``BINS`` bins.  A rerun takes the same copies.
+those whose hashed uniform number lies below the cell's cut, found from
+counts in ``STEP`` coarse bins and then in ``STEP`` fine bins of one of them.
+A rerun takes the same copies.
 
 Defined results: null text has size 0 (its copies cost nothing: its rate is
 ceiling / 2); repeated rows are told apart only by what they hold, so equal
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import n_words, running, text_hash, text_of, written
 
 WEIGHTS = (3, 1, 2)
-BINS = 1 << 16
+STEP = 256
+BINS = STEP * STEP
 SEED = 20240613
 
 
@@ -225,14 +227,22 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, budget: float = 1.5, ceiling: flo
     found = written(cells(hist, tilts(hist, goal, ceiling), ceiling), "mix-cells")
 
     some = found.filter((F.col("extra") > 0) & (F.col("extra") < F.col("docs"))).select("source", "size", "extra")
-    bins = _by_source(rows, some, "size").groupBy("source", "size", "extra", _bin().alias("bin")).count()
-    run = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    # at most BINS rows a cell; the edge nearest to the number wanted
-    edges = bins.withColumn("upto", F.sum("count").over(run))
-    near = F.min(F.struct(F.abs(F.col("upto") - F.col("extra")).alias("off"), F.col("bin").alias("bin")))
-    cut = written(
-        edges.groupBy("source", "size").agg((near["bin"] + 1).alias("cut")), "mix-cuts"
-    ).withColumnsRenamed({"source": "__s", "size": "__size"})
+    drawn = _by_source(rows, some, "size").select("source", "size", "extra", _bin().alias("bin"))
+    run = Window.partitionBy("source", "size").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # a cell has at most STEP coarse bins, and a coarse bin at most STEP fine ones
+    coarse = drawn.groupBy("source", "size", "extra", F.floor(F.col("bin") / STEP).alias("at")).count()
+    coarse = coarse.withColumn("upto", F.sum("count").over(run)).filter("upto >= extra")
+    edge = F.min(F.struct("at", (F.col("extra") - F.col("upto") + F.col("count")).alias("need"))).alias("edge")
+    edge = coarse.groupBy("source", "size").agg(edge).select("source", "size", "edge.at", "edge.need")
+    near = _by_source(drawn, written(edge, "mix-edges"), "size").filter(F.floor(F.col("bin") / STEP) == F.col("at"))
+    fine = near.groupBy("source", "size", "need", F.col("bin").alias("at")).count()
+    fine = fine.withColumn("upto", F.sum("count").over(run))
+    # the cut before or after a bin, whichever comes nearest to the number wanted
+    after = F.struct(F.abs(F.col("upto") - F.col("need")).alias("off"), (F.col("at") + 1).alias("cut"))
+    before = F.struct(F.abs(F.col("upto") - F.col("count") - F.col("need")).alias("off"), F.col("at").alias("cut"))
+    best = F.min(F.least(after, before))["cut"].alias("cut")
+    cut = written(fine.groupBy("source", "size").agg(best), "mix-cuts")
+    cut = cut.withColumnsRenamed({"source": "__s", "size": "__size"})
     whole = F.when(F.col("extra") == 0, 0).when(F.col("extra") == F.col("docs"), BINS).otherwise(F.col("cut"))
     out = found.join(cut, found["source"].eqNullSafe(cut["__s"]) & (found["size"] == cut["__size"]), "left")
     return written(
