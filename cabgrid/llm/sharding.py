@@ -153,7 +153,7 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
     return nodes.select(F.element_at("parts", 1)["__part"].alias("__part"), "cells")
 
 
-def assign(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = 100_000) -> DataFrame:
+def assign(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = 5_000) -> DataFrame:
     """``rows`` (written, with __part and __rank) plus shard and slot."""
     counts = written(rows.groupBy("__part").agg(F.count("*").alias("n")), "shard-counts")
     matrix = communication_matrix(counts, shards, seed)
@@ -181,7 +181,7 @@ def assign(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = 10
     )
 
 
-def sharded(docs: DataFrame, shards: int = 24, seed: int = SEED, bucket_rows: int = 100_000) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, seed: int = SEED, bucket_rows: int = 5_000) -> DataFrame:
     """Whole rows with ``shard`` and ``slot`` (columns of these names in
     ``docs`` are replaced)."""
     packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
