@@ -70,17 +70,20 @@ def rank_routes(counts: DataFrame, n: int = C.TOP_N) -> DataFrame:
     return top_n_per_group(counts, KEYS, [F.desc("trip_count"), F.asc("route")], n)
 
 
-def top_routes(trips: DataFrame, n: int = C.TOP_N) -> DataFrame:
-    """(weekday, hour, route, trip_count, rank) for the n most frequent routes.
-
-    Ranked within (day, hour) as integers; of the names only the route's is
-    needed before the cut, as it breaks ties.
-    """
+def _best(trips: DataFrame, n: int) -> DataFrame:
+    """(_day, _hour, route, trip_count, rank): ranked within integer keys; of
+    the names only the route's is needed before the cut, as it breaks ties."""
     counts = _index_counts(trips).select("_day", "_hour", _route(), "trip_count")
-    best = top_n_per_group(counts, ("_day", "_hour"), [F.desc("trip_count"), F.asc("route")], n)
-    return best.select(*_named_keys(), "route", "trip_count", "rank")
+    return top_n_per_group(counts, ("_day", "_hour"), [F.desc("trip_count"), F.asc("route")], n)
+
+
+def top_routes(trips: DataFrame, n: int = C.TOP_N) -> DataFrame:
+    """(weekday, hour, route, trip_count, rank) for the n most frequent routes."""
+    return _best(trips, n).select(*_named_keys(), "route", "trip_count", "rank")
 
 
 def top_routes_index(trips: DataFrame, n: int = C.TOP_N, sep: str | None = None) -> DataFrame:
-    """(weekday, hour, routes): route names in rank order."""
-    return ranked_index(top_routes(trips, n), KEYS, "route", "routes", sep=sep)
+    """(weekday, hour, routes): route names in rank order, gathered on the
+    ranking's own partitioning."""
+    index = ranked_index(_best(trips, n), ("_day", "_hour"), "route", "routes", sep=sep)
+    return index.select(*_named_keys(), "routes")

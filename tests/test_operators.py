@@ -109,14 +109,16 @@ def _plan(df):
 
 
 def test_top_k_limits_before_the_exchange(spark):
-    from cabgrid.plans import frequent_routes
+    from cabgrid.plans import frequent_routes, frequent_routes_index
 
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         trips = trips_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
         plan = _plan(frequent_routes(trips))
+        index = _plan(frequent_routes_index(trips))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert index.count("Exchange hashpartitioning") == 2  # the index adds none
     # partial top-k on the map side, final after the (weekday, hour) exchange
     assert "Partial" in plan and "WindowGroupLimit" in plan
     assert plan.count("Exchange hashpartitioning") == 2
