@@ -17,8 +17,8 @@ language in code-point order); it is the score.
 Bounds: the model learns from about ``sample_docs`` labelled documents per
 language, chosen by a hash of the doc_id (a documented bound, all of them
 where there are fewer); the filter has ``2**slot_bits`` slots, whatever the
-corpus, and that is what is collected and broadcast.  N-grams are made in
-slabs of ``SLAB`` characters: of a long text only its code points are held.
+corpus, and that is what is collected and broadcast.  Texts are read in slabs
+of ``SLAB`` characters, so the arrays do not grow with a text.
 
 Defined results: null text or a text without a letter: ``und``, score 0; a
 text whose n-grams no language has: the first language, score 0; without
@@ -54,40 +54,47 @@ def _alpha() -> np.ndarray:
     return _ALPHA[0]
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-case letters with one blank before, between and after their runs;
-    empty if there is no letter."""
-    raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _alpha()[raw]
-    if not letter.any():
-        return raw[:0].astype(np.uint64)
-    cp = np.where(letter, raw, 32).astype(np.uint64)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first blank after a run
-    blank = np.array([32], dtype=np.uint64)
-    out = np.concatenate([blank, cp[keep]])
-    return out if out[-1] == 32 else np.concatenate([out, blank])
+def code_points(text: str):
+    """Lower-case letters with one blank after each run of them, slab by slab."""
+    before = False
+    for at in range(0, len(text), SLAB):
+        raw = np.frombuffer(text[at : at + SLAB].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = _alpha()[raw]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the first other character after a run: its blank
+        keep[0] |= before
+        before = bool(letter[-1])
+        yield np.where(letter, raw, 32).astype(np.uint64)[keep]
+
+
+def _grams(cp: np.ndarray, starts: int) -> np.ndarray:
+    """Hashes of the n-grams of all orders that begin at the first ``starts`` places."""
+    h, done, out = cp.copy(), 1, []
+    for order in ORDERS:
+        while done < order:
+            h = h[:-1] * _MULT + cp[done:] + np.uint64(done)
+            done += 1
+        x = h[:starts]
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        out.append(x ^ (x >> np.uint64(29)))
+    return np.concatenate(out)
 
 
 def gram_hashes(text: str):
-    """Arrays of 64-bit n-gram hashes, slab by slab, of all orders."""
+    """Arrays of 64-bit n-gram hashes of all orders; nothing without a letter."""
     last = max(ORDERS) - 1
-    cp = code_points(text)
-    for at in range(0, max(len(cp) - 1, 0), SLAB):
-        part = cp[at : at + SLAB + last]
-        here = min(SLAB, len(cp) - at)
-        h, done, out = part.copy(), 1, []
-        for order in ORDERS:
-            while done < order:
-                h = h[:-1] * _MULT + part[done:] + np.uint64(done)
-                done += 1
-            if len(h) == 0:
-                break
-            x = h[:here]
-            x = (x ^ (x >> np.uint64(32))) * _MIX
-            out.append(x ^ (x >> np.uint64(29)))
-        if out:
-            yield np.concatenate(out)
+    blank = np.array([32], dtype=np.uint64)
+    held, some = blank, False
+    for part in code_points(text):
+        if not len(part):
+            continue
+        held, some = np.concatenate([held, part]), True
+        if len(held) > last:
+            yield _grams(held, len(held) - last)
+            held = held[-last:]
+    if some:
+        held = held if held[-1] == 32 else np.concatenate([held, blank])
+        yield _grams(held, len(held))
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,7 @@ extra columns are ignored by :func:`fingerprints` and kept by
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -41,30 +42,49 @@ from .components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+PIECE, SLAB = 1 << 20, 1 << 14  # SLAB: below what 16-bit bit counts hold
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def simhash(text: bytes | None, shingle: int) -> int:
-    """Unsigned 64-bit fingerprint of one UTF-8 text; memory grows with
-    ``slab`` shingles, not with the text's shingle count times 64."""
+def _word_lists(text: bytes):
+    """Lower-cased words in order, a piece of the text at a time."""
+    at = 0
+    while at < len(text):
+        gap = _BLANK.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].translate(LOWER).split()
+        at = end
+
+
+def _count_bits(ones: np.ndarray, ws: list[bytes], k: int) -> int:
+    """Add the bits of the hashes of all k-word shingles; their number."""
     from xxhash import xxh64_intdigest
 
-    ws = (text or b"").translate(LOWER).split()
-    if not ws:
-        return 0
-    k = min(shingle, len(ws))
-    ends = np.cumsum([len(w) + 1 for w in ws])
-    starts = (ends - [len(w) + 1 for w in ws]).tolist()
     line = b" ".join(ws)
-    n = len(ws) - k + 1
-    stops = (ends[k - 1 :] - 1).tolist()
-    ones = np.zeros(64, dtype=np.int64)
-    slab = 1 << 14
-    for at in range(0, n, slab):
+    size = np.array([len(w) + 1 for w in ws])
+    end = np.cumsum(size)
+    first, last = (end - size)[: len(ws) - k + 1].tolist(), (end - 1)[k - 1 :].tolist()
+    for at in range(0, len(first), SLAB):
         h = np.array(
-            [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + slab], stops[at : at + slab])],
-            dtype="<u8",
+            [xxh64_intdigest(line[a:b], SEED) for a, b in zip(first[at : at + SLAB], last[at : at + SLAB])], dtype="<u8"
         )
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return len(first)
+
+
+def simhash(text: bytes | None, shingle: int) -> int:
+    """Unsigned 64-bit fingerprint of one UTF-8 text, read in pieces of
+    ``PIECE`` bytes that share ``shingle`` - 1 words."""
+    ones, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for ws in _word_lists(text or b""):
+        held = held + ws
+        if len(held) >= shingle:
+            n += _count_bits(ones, held, shingle)
+            held = held[len(held) - shingle + 1 :]
+    if not n:
+        if not held:
+            return 0
+        n = _count_bits(ones, held, len(held))
     return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
 
 

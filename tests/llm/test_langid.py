@@ -39,12 +39,15 @@ def test_filter_has_every_language_and_grams_do_not_depend_on_slabs():
     text = "Der schnelle Fuchs, é 12 Zwölf. " * 40
     whole = np.sort(np.concatenate(list(langid.gram_hashes(text))))
     old = langid.SLAB
-    langid.SLAB = 37
     try:
-        parts = np.sort(np.concatenate(list(langid.gram_hashes(text))))
+        for langid.SLAB in (1, 2, 5, 37):
+            parts = np.sort(np.concatenate(list(langid.gram_hashes(text))))
+            assert len(parts) == len(whole) and (whole == parts).all()
     finally:
         langid.SLAB = old
-    assert (whole == parts).all()
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    assert len(whole) == sum(len(letters) + 2 - order + 1 for order in langid.ORDERS)
+    assert not list(langid.gram_hashes("12 !")) and not list(langid.gram_hashes(""))
 
 
 def test_more_than_eight_and_more_than_sixty_four_languages(spark):

@@ -93,3 +93,12 @@ def test_empty_table_and_odd_distance(spark):
     assert simhash.keep_one(table(spark, [])).count() == 0
     with pytest.raises(ValueError, match="even"):
         simhash.links(spark.createDataFrame([], "node long, fp long"), 3)
+
+
+def test_pieces_give_the_same_fingerprint(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("ABcd"[rng.randrange(4)] * rng.randrange(1, 9) for _ in range(n)) for n in (0, 1, 2, 3, 4, 50, 400)]
+    texts += ["", " ", "x" * 500, " a\t\nb  " * 60]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert [simhash.simhash(t.encode(), 3) for t in texts] == [fingerprint(t) for t in texts]
