@@ -117,7 +117,8 @@ def repeated(docs: DataFrame, span: int = SPAN, divisor: int = DIVISOR, min_line
     )
     copies = written(copies, "chunk-bytes")
     first = F.min(F.struct(*KEY, "at")).alias("first")
-    kinds = written(copies.groupBy("hash", "bytes").agg(F.count("*").alias("c"), first).filter("c > 1").drop("c"), "chunk-kinds")
+    kinds = copies.groupBy("hash", "bytes").agg(F.count("*").alias("c"), first).filter("c > 1").drop("c")
+    kinds = written(kinds, "chunk-kinds")
     k = kinds.withColumnsRenamed({"hash": "__h", "bytes": "__b"}).hint("merge")
     same = copies.join(k, (copies["hash"] == k["__h"]) & (copies["bytes"] == k["__b"]))
     later = same.filter(~F.struct(*KEY, "at").eqNullSafe(F.col("first")))

@@ -112,7 +112,8 @@ def luhn(digits: Column) -> Column:
 
 def _octets(value: Column) -> Column:
     """Every part at most 255, however many leading zeros."""
-    return value.rlike(r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})){3}$")
+    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
+    return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
 
 
 def _base(kind: Column, value: Column) -> Column:
@@ -291,7 +292,9 @@ def spans(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     scored = soft.withColumn("score", (score + F.col("p")) / 2)
     chosen = scored.filter(F.col("base") | (F.col("score") >= min_score))
     by = chosen.groupBy(*KEY).agg(
-        F.sort_array(F.collect_set(F.struct("number", "start", "stop", "base", F.round("score", 6).alias("score")))).alias("s")
+        F.sort_array(
+            F.collect_set(F.struct("number", "start", "stop", "base", F.round("score", 6).alias("score")))
+        ).alias("s")
     )
     # an added span gives way to a base span and to one before it in the list
     free = F.filter(

@@ -99,9 +99,8 @@ def features(docs: DataFrame) -> DataFrame:
         ),
     )
     symbols = F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("long")
-    return docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), made.alias("w"), lined.alias("l"), symbols.alias("n_symbols")
-    ).select(
+    source = F.col("source").cast("string").alias("source")
+    return docs.select("doc_id", source, made.alias("w"), lined.alias("l"), symbols.alias("n_symbols")).select(
         "doc_id", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "l.n_lines", "w.n_repeat_words"
     )
 

@@ -71,24 +71,22 @@ def _hypergeometric(good: Column, total: Column, take: Column, u: Column) -> Col
         return (g - x) * (k - x) / ((x + 1) * (n - g - k + x + 1))
 
     def walk(lo):
+        """Running sums of weights from ``lo`` on, the first weight being 1."""
         span = F.sequence(lo, F.greatest(high, lo))
-        first = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("w"))
-        whole = F.aggregate(
-            span,
-            first,
-            lambda s, x: F.struct((s["sum"] + s["w"]).alias("sum"), (s["w"] * F.greatest(ratio(x), F.lit(0.0))).alias("w")),
-            lambda s: s["sum"],
-        )
 
-        def pick(goal):
-            begin = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("w"), lo.alias("at"))
-            return F.aggregate(
-                span,
-                begin,
-                lambda s, x: F.when(s["sum"] + s["w"] >= goal, F.struct(F.lit(float("inf")).alias("sum"), s["w"].alias("w"), F.when(s["sum"] == float("inf"), s["at"]).otherwise(x).alias("at")))
-                .otherwise(F.struct((s["sum"] + s["w"]).alias("sum"), (s["w"] * F.greatest(ratio(x), F.lit(0.0))).alias("w"), x.alias("at"))),
-                lambda s: s["at"],
-            )
+        def add(s, x):
+            weight = s["w"] * F.greatest(ratio(x), F.lit(0.0))
+            return (s["sum"] + s["w"]).alias("sum"), weight.alias("w")
+
+        start = F.lit(0.0).alias("sum"), F.lit(1.0).alias("w")
+        whole = F.aggregate(span, F.struct(*start), lambda s, x: F.struct(*add(s, x)), lambda s: s["sum"])
+
+        def pick(goal):  # as many steps as there are sums below the goal
+            def step(s, x):
+                at = s["at"] + F.when(s["sum"] + s["w"] < goal, 1).otherwise(0)
+                return F.struct(*add(s, x), at.alias("at"))
+
+            return F.aggregate(span, F.struct(*start, lo.alias("at")), step, lambda s: s["at"])
 
         return let(whole * u, pick)
 
@@ -102,7 +100,7 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
     partitions' counts in one row (eight bytes a partition); every step
     halves that and doubles the rows.
     """
-    spark_counts = counts.agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("parts"))
+    one = counts.agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("parts"))
     parts = counts.count()
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["n"])
     quota = F.transform(
@@ -110,9 +108,9 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
         lambda s: (F.floor(F.col("total") / shards) + F.when(s < F.col("total") % shards, 1).otherwise(0)).cast("long"),
     )
     nodes = (
-        spark_counts.filter(F.size("parts") > 0)
+        one.filter(F.size("parts") > 0)
         .withColumn("total", total)
-        .select("parts", F.transform(quota, lambda q: q).alias("cells"), F.lit(1).cast("long").alias("node"))
+        .select("parts", quota.alias("cells"), F.lit(1).cast("long").alias("node"))
     )
     for _ in range(ceil(log2(parts)) if parts > 1 else 0):
         half = F.ceil(F.size("parts") / 2).cast("int")
@@ -125,7 +123,9 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
         take = F.aggregate("left", F.lit(0).cast("long"), lambda s, p: s + p["n"])
         rest = F.aggregate("right", F.lit(0).cast("long"), lambda s, p: s + p["n"])
         start = F.struct(
-            F.col("take").alias("take"), (F.col("take") + F.col("rest")).alias("total"), F.array().cast(ARRAY).alias("got")
+            F.col("take").alias("take"),
+            (F.col("take") + F.col("rest")).alias("total"),
+            F.array().cast(ARRAY).alias("got"),
         )
 
         def draw(s, i):
@@ -134,7 +134,9 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
             return let(
                 x,
                 lambda v: F.struct(
-                    (s["take"] - v).alias("take"), (s["total"] - good).alias("total"), F.concat(s["got"], F.array(v)).alias("got")
+                    (s["take"] - v).alias("take"),
+                    (s["total"] - good).alias("total"),
+                    F.concat(s["got"], F.array(v)).alias("got"),
                 ),
             )
 
