@@ -1,7 +1,5 @@
 """A hot key holding a third of all trips gives exact results on many partitions."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from cabgrid.plans import frequent_routes, profitable_areas
