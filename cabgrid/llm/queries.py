@@ -51,7 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linechunks.digest(table(spark, sf_dir, "documents"))
+    return linechunks.whole_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
