@@ -161,14 +161,15 @@ class Parse:
         self.loops = self._loops(grams, np.where(whole, least, U(0)), owner, span)
 
     def _loops(self, grams, least, owner, span) -> np.ndarray:
-        """Phrases whose anchor gram stands in one of their windows twice."""
+        """Phrases whose anchor gram stands in them twice, at most ``span``
+        apart: in one window, or (exactly ``span``) in neighbouring ones."""
         pad = np.zeros(span - 1, dtype=U)
         top = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
         at = np.flatnonzero((top[: len(grams)] == grams) & (grams > 0))
         x, y = at[:-1], at[1:]
-        twice = (grams[x] == grams[y]) & (owner[x] == owner[y]) & (y - x < span)
+        twice = (grams[x] == grams[y]) & (owner[x] == owner[y]) & (y - x <= span)
         mark = np.zeros(len(least) + 1, dtype=np.int64)
-        np.add.at(mark, np.minimum(np.maximum(y[twice] - span + 1, 0), len(least)), 1)
+        np.add.at(mark, np.minimum(np.clip(y[twice] - span + 1, 0, x[twice]), len(least)), 1)
         np.add.at(mark, np.minimum(x[twice] + 1, len(least)), -1)
         hit = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
         return hit[self.last + 1] > hit[self.first]

@@ -45,6 +45,20 @@ def test_repetitive_texts(spark, window, gram):
     same(found(df, window, gram), brute(data, window))
 
 
+@pytest.mark.parametrize("window,gram", [(35, 8), (9, 4), (5, 5)])
+def test_every_period_up_to_a_window(spark, window, gram):
+    """Each text repeats its own words only, so only its own windows are equal."""
+    data = []
+    for period in range(1, window + 2):
+        for n in (window + period - 1, window + period, window + 2 * period + 3, 10 * period + window):
+            for lead in (0, 3):
+                i = len(data)
+                own = [f"d{i}w{j}" for j in range(period)]
+                data.append((i, " ".join([f"d{i}l{j}" for j in range(lead)] + [own[j % period] for j in range(n)])))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    same(found(df, window, gram), brute(data, window))
+
+
 def test_pieces_of_a_long_text_share_all_but_one_word_of_a_window():
     rng = random.Random(1)
     raw = " ".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(500)).encode()
