@@ -1,23 +1,25 @@
-"""Substring dedup by Relative Lempel-Ziv parsing against anchored blocks.
+"""Substring dedup by counting repeated windows in content-keyed blocks.
 
-All documents are the reference, and every document is parsed against it: a
-stretch of ``window`` or more words that also stands elsewhere is a factor,
-and its words are duplicate spans.  A single index of the reference does not
-fit one machine, and parsing every document against every block of it would
-be quadratic, so the reference is cut by content:
+This stands in place of Relative Lempel-Ziv parsing: there is no greedy
+factorisation, no longest match and no comparison of texts.  A stretch of
+``window`` or more words that also stands elsewhere is found by counting, and
+its words are duplicate spans.  Parsing every document against every block of
+a reference that does not fit one machine would be quadratic, and greedy
+factors alone do not say which windows stand twice, so all documents are cut
+by content:
 
 1. *Blocks.*  Each window of ``window`` words has an anchor, the smallest
    hash among its ``gram``-word grams.  Equal windows have equal anchors, so
    the block of an anchor indexes everything that a window with this anchor
-   can match, and a document meets only blocks that can hold a factor of it.
+   can match, and a document meets only blocks that can hold a repeat of it.
    A *phrase* is a longest run of neighbouring windows with one anchor, so
    phrase edges depend on content alone and shift with it.
-2. *Greedy factors.*  A phrase that its block holds twice or more is copied
-   whole; neighbouring whole phrases overlap and merge into one long factor.
-3. *Factor boundaries.*  Where a document differs, the phrases around the
-   edge are unique, though parts of them may repeat.  In blocks that hold
-   different phrases (or one that repeats itself), each different phrase is
-   checked window by window: once, however often it is copied.
+2. *Whole phrases.*  A phrase that its block holds twice or more is repeated
+   whole; spans of neighbouring whole phrases overlap and merge.
+3. *Edges.*  Where a document differs, the phrases around the edge are unique,
+   though parts of them may repeat.  In blocks that hold different phrases (or
+   one that repeats itself), each different phrase is checked window by window:
+   once, however often it is copied.
 
 Blocks are keys of Spark aggregates and joins, never tasks of their own:
 counts combine before the shuffle and the joins read plain written tables,
