@@ -53,17 +53,17 @@ PATTERNS = (
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}(?:\(at\)|\[at\])[A-Za-z0-9-]{{1,63}}(?:\(dot\)|\[dot\]|\.)[A-Za-z]{{2,24}}"),
-    ("secret", r"(?<![A-Za-z0-9_])(?:password|passwd|token|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_-]{8,256}"),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64}(?![A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_-]{8,}+"),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}+"),
 )
-ANY = r"[0-9@]|\(at\)|\[at\]|password|passwd|token|secret|api_?key"  # every pattern needs one of these
+ANY = r"[0-9@]|\(at\)|\[at\]|AKIA|ghp_|sk-|(?i:password|passwd|token|secret|api_?key)"  # every pattern needs one of these
 
 # fixed values of the gazetteers and context words
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at|be|us|ca"
 RESERVED_NETS = r"^(?:0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
 COUNTRY_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[ (.0-9-]"
-KEY_PREFIX = r"^(?:AKIA|ghp_|sk-|token|password|passwd|secret|api)"
+KEY_PREFIX = r"^(?:AKIA|ghp_|sk-|(?i:token|password|passwd|secret|api))"
 FOR_IT = r"(?i)(?:e-?mail|contact|write to|phone|tel|call|fax|mobile|ip|server|host|card|visa|pay|credit|login|user|key|token|password)[ :=.\"']*$"
 AGAINST = r"(?i)(?:version|v\.|section|isbn|issn|order|release|chapter|page|figure|§)[ :=.]*$"
 

@@ -64,6 +64,18 @@ def test_secrets_are_added_and_failing_numbers_are_not(spark):
     assert sum("card:" in got[i] for i in range(40)) == sum(luhn(f"123456789012345{i % 10}") for i in range(40))
 
 
+def test_keys_of_any_length_and_keywords_of_any_case(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz" * 20
+    values = ["AKIA" + letters[:16].upper(), "ghp_" + letters[:36], "sk-" + letters[:65], "sk-" + letters, "token=" + letters,
+              "API_KEY=" + letters[:20], "Password: " + letters[:20], "apikey = '" + letters * 200]
+    data = [(i, f"so {v} it is", None, None, 0) for i, v in enumerate(values)]
+    data += [(100, "sk-" + letters[:15] + " TOKENS ghp_ tokens=" + letters[:7], None, None, 0)]
+    got = pii.candidates(table(spark, data)).filter("number = 4").select("doc_id", "start", "stop").collect()
+    same(got, [(i, 3, 3 + len(v)) for i, v in enumerate(values)])
+    got = {r.doc_id: r.spans for r in pii.digest(table(spark, data)).collect()}
+    assert got == {i: f"secret:3:{3 + len(v)}" for i, v in enumerate(values)} | {100: ""}
+
+
 def test_long_runs_need_no_stack_and_no_square_time(spark):
     data = [(1, "1" * 100_000, None, None, 0), (2, "a" * 100_000 + "@", None, None, 0), (3, "a@" + "b." * 20_000 + "c", None, None, 0),
             (4, "1-" * 50_000, None, None, 0), (5, "+1" + " " * 50_000, None, None, 0)]
