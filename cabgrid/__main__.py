@@ -42,6 +42,11 @@ def main(argv=None) -> None:
     p.add_argument(
         "--mode", default="overwrite", choices=("overwrite", "error"), help="error: never replace earlier answers"
     )
+    p.add_argument(
+        "--stand-partitions",
+        type=int,
+        help="partitions of question 3's points (by default from their number); the stands depend on it",
+    )
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("cabgrid").getOrCreate()
@@ -49,7 +54,7 @@ def main(argv=None) -> None:
     trips = read(spark, a.source)
     which = [int(q) for q in a.questions.split(",") if q]
     ks = [int(k) for k in a.ks.split(",") if k]
-    result = write_answers(trips, a.out, which, ks, a.index_format, mode=a.mode)
+    result = write_answers(trips, a.out, which, ks, a.index_format, mode=a.mode, stand_partitions=a.stand_partitions)
     if a.preview:
         _print_previews(spark, a.out, which, a.index_format)
     for k, sse in result.get("sse", {}).items():

@@ -40,9 +40,10 @@ DATETIME_FORM = "^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
 WEEKDAY_NAMES = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 # ---------------------------------------------------------------------------
 
-# Partitions of the points that k-means is fitted on: fixed, so that stands do
-# not depend on cores or input splits; raise it with the data (it changes the
-# draw of the start, and so the stands).
+# Layout of the points that k-means is fitted on, where the caller sets none:
+# so many points a partition, and no fewer partitions than this.  It follows
+# from the points alone, so that stands do not depend on cores or input splits.
+POINTS_PER_PARTITION = 250_000
 STAND_PARTITIONS = 8
 
 # Seed for k-means; the original leaves it to Python's hash of the class name.

@@ -5,18 +5,20 @@ original study.  Every trip counts: trips are reduced to their distinct
 points with a count, and Spark ML minimises the same sum with the count as
 weight, on a point set that no longer grows with repeated places.
 
-k-means|| draws its start per partition, so the points are laid out the same
-way whatever the cluster: a fixed number of partitions by hash of the point,
-sorted inside.  The same trips and seed give the same stands on any number of
-cores and any input split; ``partitions`` is a documented parameter.
+k-means|| draws its start per partition (Spark ML takes no start from the
+caller), so the points are laid out the same way whatever the cluster: a
+number of partitions that the caller sets or that follows from the number of
+distinct points (:func:`layout_size`), by hash of the point, sorted inside.
+The same trips, seed and layout give the same stands on any number of cores
+and any input split.
 
 The points are persisted once for the whole sweep; the ``row`` solver fits on
 that copy (the ``block`` solver would cache a second one per fit).  Persisted
 partitions lost with an executor are recomputed from their lineage.
 
-Costs come out of one pass: each point's centre is looked up in a k-element
-literal array (bounded by k, not by the data), and sums of a fixed scale do
-not depend on their order.
+Costs come out of one pass: a point's stand is the models' own prediction (or
+for given centres the nearest in a k-element literal array, bounded by k, not
+by the data), and sums of a fixed scale do not depend on their order.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ WEIGHT = "trips"
 POINT_COLS = ("pickup_latitude", "pickup_longitude")
 CENTRE_SCHEMA = "k int, stand_id int, latitude double, longitude double"
 MICRO = 1_000_000.0  # coordinates are averaged in whole millionths of a degree
+EIGHT_DECIMALS = "0.00000000"
 COST_UNIT = 1e12  # squared distances are summed in whole units of 1e-12
 
 
@@ -59,13 +62,40 @@ def counted_points(trips: DataFrame) -> DataFrame:
     return trips.groupBy(*POINT_COLS).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
-def laid_out_points(trips: DataFrame, partitions: int = C.STAND_PARTITIONS) -> DataFrame:
+def layout_size(distinct_points: int) -> int:
+    """Partitions for so many points: a function of the data alone."""
+    return max(C.STAND_PARTITIONS, -(-distinct_points // C.POINTS_PER_PARTITION))
+
+
+def laid_out_points(trips: DataFrame, partitions: int) -> DataFrame:
     """(trips, features) of the distinct points in ``partitions`` partitions,
     dealt by hash of the point and sorted inside."""
-    placed = counted_points(trips).repartition(partitions, *POINT_COLS).sortWithinPartitions(*POINT_COLS)
+    return _laid_out(counted_points(trips), partitions)
+
+
+def _laid_out(counted: DataFrame, partitions: int) -> DataFrame:
+    placed = counted.repartition(partitions, *POINT_COLS).sortWithinPartitions(*POINT_COLS)
     return _assembled(placed, WEIGHT)
 
 
+def _persisted_points(trips: DataFrame, partitions: int | None, storage: StorageLevel) -> DataFrame:
+    """The laid-out points, persisted; without ``partitions`` the distinct
+    points are counted first (once, from a copy dropped again)."""
+    if partitions is not None:
+        return laid_out_points(trips, partitions).persist(storage)
+    counted = counted_points(trips).persist(storage)
+    try:
+        points = _laid_out(counted, layout_size(counted.count())).persist(storage)
+        try:
+            points.count()  # filled while the counted copy is there
+        except BaseException:
+            points.unpersist()
+            raise
+        return points
+    finally:
+        counted.unpersist()
+
+
 def unpack_points(points: DataFrame, keep=()) -> DataFrame:
     """Feature vectors back to ``latitude`` / ``longitude`` columns."""
     arr = vector_to_array(F.col(FEATURES))
@@ -211,13 +241,35 @@ class StandSweep:
         m = self.models[k]
         return unpack_points(m.transform(self.points), keep=[WEIGHT, m.getPredictionCol()])
 
+    def _costs(self) -> DataFrame:
+        """(trips, at<k>, sq<k> ...): every point's predicted stand and its
+        squared distance, for all ks in one pass."""
+        rows = self.points
+        for k, m in self.models.items():
+            rows = m.copy({m.predictionCol: f"at{k}"}).transform(rows)
+        rows = unpack_points(rows, keep=[WEIGHT, *[f"at{k}" for k in self.models]])
+        for k, m in self.models.items():
+            known = [F.struct(F.lit(float(c[0])).alias("y"), F.lit(float(c[1])).alias("x")) for c in m.clusterCenters()]
+            to = F.element_at(F.array(*known), F.col(f"at{k}") + 1)
+            rows = rows.withColumn(f"sq{k}", _square(F.col("latitude"), F.col("longitude"), to["y"], to["x"]))
+        return rows
+
     def assignment(self) -> DataFrame:
         """(k, stand_id, trips, sse): load and spread of every stand."""
-        return assignment(self.unpacked(), self.centres())
+        each = [
+            F.struct(F.lit(k).alias("k"), F.col(f"at{k}").alias("stand_id"), F.col(f"sq{k}").alias("sq"))
+            for k in self.models
+        ]
+        return (
+            self._costs().select(WEIGHT, F.inline(F.array(*each))).groupBy("k", "stand_id")
+            .agg(F.sum(WEIGHT).alias("trips"), _as_degrees(F.sum(_cost(F.col("sq")))).alias("sse"))
+        )
 
     def sse(self) -> DataFrame:
         """(k, sse): sum of squared distances of all trips to their stand."""
-        return sse(self.unpacked(), self.centres())
+        sums = self._costs().agg(*[F.sum(_cost(F.col(f"sq{k}"))).alias(f"k{k}") for k in self.models])
+        rows = [F.struct(F.lit(k).alias("k"), _as_degrees(F.col(f"k{k}")).alias("sse")) for k in self.models]
+        return sums.select(F.inline(F.array(*rows)))
 
     def facts(self) -> DataFrame:
         """(k, stands, trips, all_nearest, no_worse_than_one) of every fit.
@@ -260,11 +312,14 @@ def sweep_stands(
     seed: int = C.KMEANS_SEED,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
     parallelism: int | None = None,
-    partitions: int = C.STAND_PARTITIONS,
+    partitions: int | None = None,
     **params,
 ) -> StandSweep:
     """Persist the trips' distinct points once and fit one model per k.
 
+    ``partitions``: the points' layout, on which the start and so the stands
+    depend; by default it follows from their number (:func:`layout_size`).
+
     The fits are independent, so up to ``parallelism`` (default: all ks) run
     as concurrent Spark jobs, as Spark ML's tuning classes do; each fit
     gives the same model as when run alone.  If one fails, the points are
@@ -273,7 +328,7 @@ def sweep_stands(
     ks = [int(k) for k in ks]
     if not ks or any(k < 2 for k in ks):
         raise ValueError("every k must be at least 2 (Spark ML's lower bound)")
-    points = laid_out_points(trips, partitions).persist(storage)
+    points = _persisted_points(trips, partitions, storage)
     sweep = StandSweep(points)
     try:
         fit = inheritable_thread_target(points.sparkSession)(lambda k: fit_stands(points, k, seed, **params))
@@ -287,9 +342,16 @@ def sweep_stands(
 
 
 def stand_lines(centres: DataFrame) -> DataFrame:
-    """(k, stand_id, line) with ``line`` = ``"lat,lon"`` at 8 decimals."""
-    return centres.select(
-        "k",
-        "stand_id",
-        F.format_string("%.8f,%.8f", F.col("latitude"), F.col("longitude")).alias("line"),
-    )
+    """(k, stand_id, line) with ``line`` = ``"lat,lon"`` at 8 decimals.
+
+    A coordinate is rounded by the exact binary value of its double, an exact
+    tie to the even digit.  (``format_string`` rounds the shortest decimal
+    that reads back as the double, half up, so 40.827956875, a little less
+    than it looks, would end in 88 instead of 87.)  Within 1e-8 degrees of zero,
+    far outside the study area, Java's formatter may round the other way.
+    """
+
+    def text(c: str) -> Column:
+        return F.call_function("format_number", F.col(c), F.lit(EIGHT_DECIMALS))
+
+    return centres.select("k", "stand_id", F.concat_ws(",", text("latitude"), text("longitude")).alias("line"))

@@ -36,12 +36,14 @@ def write_answers(
     index_format: str = "pairs",
     stage: bool | None = None,
     mode: str = "overwrite",
+    stand_partitions: int | None = None,
 ) -> dict:
     """Write Q1/Q2 indexes and Q3 stand files under ``out_dir``.
 
     Layout: ``query1/``, ``query2/`` (one row per weekday and hour, names in
     rank order), ``query3/k=<k>/`` (``lat,lon`` lines) and ``query3_sse/``
     (CSV ``k,sse``).  ``mode="error"`` refuses to replace any of them.
+    ``stand_partitions``: layout of Q3's points (see ``sweep_stands``).
     Returns ``{"sse": {k: sse}}`` when Q3 ran; those are len(ks) numbers, so
     bringing them to the driver is bounded.  With more than one question (or
     ``stage=True``) the trips are first written once under ``out_dir``; that
@@ -52,22 +54,22 @@ def write_answers(
     if stage is None:
         stage = len(set(which)) > 1
     if not stage:
-        return _write(trips, out, which, ks, index_format, mode)
+        return _write(trips, out, which, ks, index_format, mode, stand_partitions)
     staged = f"{out}/_trips-{uuid.uuid4().hex}"
     try:
-        return _write(stage_trips(trips, staged), out, which, ks, index_format, mode)
+        return _write(stage_trips(trips, staged), out, which, ks, index_format, mode, stand_partitions)
     finally:
         delete_path(spark, staged)
 
 
-def _write(trips: DataFrame, out: str, which, ks, index_format: str, mode: str) -> dict:
+def _write(trips: DataFrame, out: str, which, ks, index_format: str, mode: str, stand_partitions: int | None) -> dict:
     result: dict = {}
     if 1 in which:
         write_index(questions.frequent_routes_index(trips), f"{out}/query1", index_format, mode)
     if 2 in which:
         write_index(questions.profitable_areas_index(trips), f"{out}/query2", index_format, mode)
     if 3 in which:
-        with questions.taxi_stands(trips, ks) as sweep:
+        with questions.taxi_stands(trips, ks, partitions=stand_partitions) as sweep:
             write_stand_lines(stand_lines(sweep.centres()), f"{out}/query3", mode)
             rows = sweep.sse().orderBy("k").collect()  # len(ks) rows, computed once
         sse = trips.sparkSession.createDataFrame(rows, "k int, sse double")

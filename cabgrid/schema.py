@@ -30,6 +30,10 @@ RAW_FIELDS = (
 
 RAW_COLUMNS = tuple(n for n, _ in RAW_FIELDS)
 
-# Readers take every field as text; sources.records gives the types above, so
-# that all readers parse a field the same way.
-RAW_TEXT_SCHEMA = T.StructType([T.StructField(n, T.StringType(), True) for n in RAW_COLUMNS])
+# What delimited readers are asked for.  The coordinates, which every filter
+# tests, are parsed inside the scan: once per record, and the scan itself can
+# drop the record.  Both Spark's reader and its cast hand a number's text to
+# the same parser, blanks around it included.  All other fields are text that
+# sources.records types.
+IN_SCAN = ("pickup_longitude", "pickup_latitude", "dropoff_longitude", "dropoff_latitude")
+RAW_TEXT_SCHEMA = T.StructType([T.StructField(n, t if n in IN_SCAN else T.StringType(), True) for n, t in RAW_FIELDS])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import parse_datetime
-from ..schema import RAW_FIELDS
+from ..schema import IN_SCAN, RAW_COLUMNS, RAW_FIELDS
 
 
 def typed_fields(field: Callable[[int, str], Column]) -> list[Column]:
@@ -37,8 +37,9 @@ def fields_of_array(parts: Column) -> list[Column]:
 
 
 def typed_records(raw: DataFrame, keep=()) -> DataFrame:
-    """A frame of 17 text columns with the raw fields' types."""
-    return raw.select(*keep, *typed_fields(lambda _, name: F.col(name)))
+    """A frame read with ``RAW_TEXT_SCHEMA`` with the raw fields' types."""
+    typed = typed_fields(lambda _, name: F.col(name))
+    return raw.select(*keep, *[F.col(n) if n in IN_SCAN else c for n, c in zip(RAW_COLUMNS, typed)])
 
 
 def trips_from_records(raw: DataFrame) -> DataFrame:

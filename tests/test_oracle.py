@@ -29,6 +29,15 @@ def test_query_matches_oracle(spark, con, name):
     assert r["values"], r["first_diff"]
 
 
+@pytest.mark.parametrize("name", ["fixed_stand_lines", "fixed_stand_files"])
+def test_stand_text_matches_oracle_at_sf001(spark, name):
+    """sf0.01 holds a coordinate whose ninth decimal is a rounded 5."""
+    at = "/root/testdata/sf0.01"
+    r = compare(E.queries()[name](spark, at), duck(at), SQL[name])
+    assert r["rows"] == (111, 111) or r["rows"] == [111, 111]
+    assert r["values"], r["first_diff"]
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["weekday", "hour", "route", "trip_count", "rank"]

@@ -114,6 +114,35 @@ def test_all_readers_agree_on_odd_fields(spark, scratch):
     assert counts == {"valid": 4, "malformed": 6}
 
 
+def test_coordinates_are_parsed_in_the_scan_once(spark, scratch):
+    """Odd spellings of numbers mean the same in the scan and in split lines."""
+    from cabgrid.sources import parse_trip_lines
+
+    odd = ["1e2", " 1.5", "1.5 ", "\t1.5", "+1.5", "1.5d", "1.5f", ".5", "5.", "0x1p3", "1,5", "--1", "1 5", " ", "-73.956528"]
+    os.makedirs(scratch, exist_ok=True)
+    with open(os.path.join(scratch, "odd.csv"), "w") as f:
+        f.write("\n".join(GOOD.replace("-73.956528", v) for v in odd) + "\n")
+    seen = lambda df: sorted((r.pickup_longitude for r in df.select("pickup_longitude").collect()), key=str)
+    split = seen(parse_trip_lines(spark.read.text(scratch)))
+    assert seen(read_trips_text(spark, scratch)) == split == seen(read_trips_csv(spark, scratch))
+    assert 1.5 in split and None in split
+
+    plan = valid_trips(read_trips_text(spark, scratch)).select("pickup_longitude")._jdf.queryExecution().toString()
+    optimized = plan[plan.index("== Optimized") :]
+    assert "try_cast" not in optimized and "IsNotNull(pickup_longitude)" in optimized
+
+
+def test_numbers_that_are_not_finite_are_outside(spark, scratch):
+    from cabgrid.sources import parse_trip_lines
+
+    lines = [GOOD.replace("-73.956528", v) for v in ("inf", "Inf", "-Infinity", "NaN", "nan")] + [GOOD]
+    os.makedirs(scratch, exist_ok=True)
+    with open(os.path.join(scratch, "odd.csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    for df in (parse_trip_lines(spark.read.text(scratch)), read_trips_text(spark, scratch), read_trips_csv(spark, scratch)):
+        assert [r.pickup_longitude for r in valid_trips(df).collect()] == [-73.956528]
+
+
 def test_trip_rows_have_cells_and_taxi(spark, scratch):
     from cabgrid.sources import trip_rows
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,49 @@ def test_concurrent_fits_equal_sequential_fits(spark):
         a = sorted(tuple(r) for r in together.centres().collect())
         b = sorted(tuple(r) for r in alone.centres().collect())
     assert a == b
+
+
+def test_layout_follows_the_number_of_points():
+    assert [stands_module.layout_size(n) for n in (0, 1, 2_000_000, 2_000_001, 10**9)] == [8, 8, 8, 9, 4000]
+
+
+def test_default_layout_equals_the_same_count_given(spark):
+    with sweep_stands(_events(spark), ks=(5,)) as a, sweep_stands(_events(spark), ks=(5,), partitions=8) as b:
+        assert a.points.rdd.getNumPartitions() == 8
+        assert sorted(tuple(r) for r in a.centres().collect()) == sorted(tuple(r) for r in b.centres().collect())
+
+
+def test_layout_is_reachable_from_answers_and_command_line(spark, scratch, monkeypatch):
+    from cabgrid import __main__ as cli
+    from cabgrid.plans import answers, questions
+
+    seen = []
+    real = questions.taxi_stands
+    monkeypatch.setattr(questions, "taxi_stands", lambda *a, **b: seen.append(b.get("partitions")) or real(*a, **b))
+    answers.write_answers(_events(spark), f"{scratch}/out", which=(3,), ks=(2,), stand_partitions=3)
+    line = "a,b,2013-01-01 00:00:00,2013-01-01 00:02:00,1,0.4,-73.9{},40.7{},-73.96,40.71,CSH,3.50,0,0,0,0,4"
+    os.makedirs(f"{scratch}/in")
+    with open(f"{scratch}/in/trips.csv", "w") as f:
+        f.write("\n".join(line.format(i, i) for i in range(10, 30)))
+    cli.main([f"{scratch}/in", f"{scratch}/cli", "--questions", "3", "--ks", "2", "--stand-partitions", "5"])
+    assert seen == [3, 5]
+
+
+def test_costs_by_prediction_equal_costs_of_the_nearest_stand(spark):
+    with sweep_stands(_events(spark), ks=(5, 31)) as sweep:
+        own = {r.k: r.sse for r in sweep.sse().collect()}
+        near = {r.k: r.sse for r in stands_module.sse(sweep.unpacked(), sweep.centres()).collect()}
+        parts = {r.k: r.s for r in sweep.assignment().groupBy("k").agg(F.sum("sse").alias("s")).collect()}
+    assert own.keys() == near.keys() == {5, 31}
+    assert all(math.isclose(own[k], near[k], rel_tol=1e-9) and math.isclose(own[k], parts[k], rel_tol=1e-9) for k in own)
+
+
+def test_lines_round_by_the_exact_binary_value(spark):
+    """Also where the ninth decimal is 5: exact ties go to the even digit."""
+    rnd = random.Random(1)
+    values = [40.827956875, 0.1 + 0.2, -74.913585, 2.0**-9, 3 * 2.0**-9, -5e-10, 0.125, 1.000000015, -73.999999995]
+    values += [40 + i / 10**9 for i in range(5, 2000, 10)] + [rnd.randrange(10**10, 10**12) / 10**10 for _ in range(2000)]
+    values += [rnd.randrange(10**9) / 10**9 - 74 for _ in range(2000)]
+    centres = spark.createDataFrame([(1, i, v, -v) for i, v in enumerate(values)], "k int, stand_id int, latitude double, longitude double")
+    got = {r.stand_id: r.line for r in stand_lines(centres).collect()}
+    assert got == {i: f"{v:.8f},{-v:.8f}" for i, v in enumerate(values)}
