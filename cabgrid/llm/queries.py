@@ -10,7 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, linechunks, mixing, pii, quality, sharding, simhash, substring
+from . import (
+    chat,
+    decontaminate,
+    langid,
+    linechunks,
+    mixing,
+    pii,
+    quality,
+    search,
+    sharding,
+    simhash,
+    substring,
+    tokens,
+    whitening,
+)
 from .common import table
 
 
@@ -54,6 +68,18 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.whole_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_overlap_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bidiagonal_qd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_relative_lz": op1_relative_lz,
     "op2_bitmask": op2_bitmask,
@@ -65,9 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hypergeometric": op8_hypergeometric,
     "op9_simhash": op9_simhash,
     "op10_line_chunks": op10_line_chunks,
+    "op11_overlap_resync": op11_overlap_resync,
+    "op12_dual_tree": op12_dual_tree,
+    "op13_bidiagonal_qd": op13_bidiagonal_qd,
 }
 
 SQL: dict[str, str] = {
     "op4_winnowing": decontaminate.ORACLE,
     "op7_host_rules": quality.ORACLE,
+    "op12_dual_tree": search.ORACLE,
 }

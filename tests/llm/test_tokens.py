@@ -1,0 +1,86 @@
+"""Counts against the library's own encoding of whole texts."""
+
+import random
+
+import pytest
+from fixtures import rows, same, table
+
+from cabgrid.llm import tokens
+
+PATH = tokens.vocabulary_path()
+
+
+def whole(text):
+    return len(tokens.encoder(PATH).encode(text or "", add_special_tokens=False).ids)
+
+
+def brute(data):
+    return [(r[0], len((r[1] or "").encode()), whole(r[1])) for r in data]
+
+
+def awkward(rng, n):
+    """Texts whose token boundaries are hard to find: runs without white
+    space, special strings and combining marks across cuts."""
+    bits = ["the ", "of ", "'s", "!'", "don't", "12", "é", "é", "각", "漢", "😀", "<|endoftext|>", "\n", " ", "--"]
+    kinds = [
+        "a" * n,
+        "aaab" * (n // 4),
+        "'s" * (n // 2),
+        "́" * n,
+        "".join(rng.choice("abcdefgh") for _ in range(n)),
+        "".join(rng.choice(bits) for _ in range(n // 3)),
+        "ABC dEf" * (n // 7),
+    ]
+    return rng.choice(kinds)
+
+
+def long_texts(rng, n, size):
+    return ["".join(awkward(rng, rng.randrange(5, size)) for _ in range(rng.randrange(1, 6))) for _ in range(n)]
+
+
+def test_contract_query_on_awkward_rows(spark):
+    got = tokens.digest(table(spark, clashes=True))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    same(got.collect(), [(*r, r[2] > 2048) for r in brute(rows())])
+
+
+@pytest.mark.parametrize("chunk,overlap", [(40, 8), (64, 16), (400, 20)])
+def test_pieces_give_the_library_s_counts(spark, chunk, overlap):
+    rng = random.Random(chunk)
+    texts = long_texts(rng, 60, 300) + ["x" * (chunk + overlap), "x" * (chunk + overlap + 1), "é" * 999, "", None]
+    data = [(i % 50, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)] * 2
+    same(tokens.counts(table(spark, data), PATH, chunk, overlap).collect(), brute(data))
+
+
+def test_in_order_equals_whole_and_widens():
+    """One letter for ever: no cut is stable until the next piece starts on a token."""
+    rng = random.Random(4)
+    for text in ["a" * 5000, "ab" * 3000, "b" + "a" * 3001, *long_texts(rng, 150, 400)]:
+        assert tokens.count_in_order(PATH, text, 40, 8) == whole(text)
+
+
+def test_seam_needs_the_same_tokens_on_both_sides():
+    """The lone common boundary of "!'sfoo bar" cut in "'s" is before nothing:
+    the pieces read the apostrophe differently, so only later ones count."""
+    text = "!'sfoo bar baz qux"
+    left, right = tokens.encoded(PATH, text[:14], 0), tokens.encoded(PATH, text[1:], 1)
+    i, j = tokens.seam(left, right, text.__getitem__)
+    assert (left[i] == right[j]).all() and (left[i - 1] == right[j - 1]).all()
+    assert i + len(right) - j == whole(text)
+    unlike = tokens.encoded(PATH, "zzz zzz", 0)
+    assert tokens.seam(left, unlike, text.__getitem__) is None
+
+
+def test_tokenizers_the_proof_does_not_cover_are_never_cut(spark):
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    assert tokens.can_cut(PATH) and not tokens.can_cut(path)
+    text = "a lot of words " * 40
+    got = tokens.counts(table(spark, [(1, text, None, None, None)]), path, 40, 8).collect()
+    want = len(tokens.encoder(path).encode(text, add_special_tokens=False).ids)
+    assert [tuple(r) for r in got] == [(1, len(text), want)]
+
+
+def test_empty_table_and_parameters(spark):
+    assert tokens.digest(table(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="overlap"):
+        tokens.counts(table(spark, []), PATH, 40, 20)

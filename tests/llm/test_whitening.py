@@ -1,0 +1,141 @@
+"""Whitening against numpy's own decompositions and exact integers."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from cabgrid.llm import whitening as w
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def matrices():
+    rng = np.random.default_rng(1)
+    q = np.linalg.qr(rng.normal(size=(300, 50)))[0]
+    u = np.linalg.qr(rng.normal(size=(50, 50)))[0]
+    yield "random", rng.normal(size=(500, 64))
+    yield "graded", rng.normal(size=(500, 40)) * np.logspace(0, -7, 40)
+    yield "rank 8 of 64", rng.normal(size=(500, 8)) @ rng.normal(size=(8, 64))
+    yield "fewer rows than columns", rng.normal(size=(5, 30))
+    yield "equal values", np.repeat(np.eye(40), 3, axis=0)
+    yield "clusters of ten", q @ np.diag(np.repeat([3, 2, 1, 1 + 1e-9, 0.5], 10)) @ u
+    yield "all close", q @ np.diag(1 + np.arange(50) * 1e-7) @ u
+    yield "all equal", q @ u
+    yield "one column", rng.normal(size=(5, 1))
+    yield "constant columns", np.hstack([np.zeros((20, 3)), rng.normal(size=(20, 4))])
+    yield "zero", np.zeros((6, 5))
+    k = np.abs(np.arange(-10, 11)).astype(float)
+    yield "close pairs of a tridiagonal", np.diag(k) + np.diag(np.ones(20), 1) + np.diag(np.ones(20), -1)
+
+
+@pytest.mark.parametrize("name,a", list(matrices()), ids=[n for n, _ in matrices()])
+def test_solver_against_svd(name, a):
+    d = a.shape[1]
+    r = None
+    for at in range(0, len(a), 7):
+        r = w.reduce_rows(r, a[at : at + 7])
+    s, v = w.right_singular(r)
+    want = np.zeros(d)
+    want[: min(a.shape)] = np.linalg.svd(a, compute_uv=False)
+    top = max(want[0], 1e-300)
+    assert np.abs(s - want).max() <= 1e-13 * top
+    assert np.abs(v.T @ v - np.eye(d)).max() < 1e-10
+    assert np.abs(a.T @ (a @ v) - v * s**2).max() <= 1e-12 * top**2
+
+
+def test_dqds_is_accurate_for_tiny_values():
+    """A graded bidiagonal: values down to 1e-30 keep their relative accuracy."""
+    q = np.logspace(0, -30, 16)
+    e = q[:-1] * 0.5
+    s = w.dqds(q, e)
+    det = np.prod(s / q)
+    assert math.isclose(det, 1.0, rel_tol=1e-12)  # the product of the values is that of the diagonal
+    assert (np.diff(s) < 0).all() and s[-1] < 1e-29
+
+
+def brute(vectors, top=16):
+    """Per vec_id and component: n, deviation, |whitened|, explained."""
+    ok = [(i, v) for i, v in vectors if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = [(i, [math.floor(64 * float(np.float32(c))) + 1000000 for c in v]) for i, v in ok]
+    fit = np.array(sorted({tuple(v) for _, v in x}), dtype=object)
+    n, sums = len(fit), fit.sum(axis=0)
+    a = ((n * fit - sums) / n).astype(float)
+    e, v = np.linalg.eigh(a.T @ a / n)
+    e, v = e[::-1], v[:, ::-1]
+    out = {}
+    for i, row in x:
+        z = [n * c - s for c, s in zip(row, sums)]
+        y = (np.array(z, dtype=float) / n) @ v
+        for k in range(min(top, int((e > 1e-9 * e[0]).sum()))):
+            out.setdefault((i, k + 1), []).append((n, sum(c * c for c in z), abs(y[k]) / math.sqrt(e[k]), e[k] / e.sum()))
+    return out
+
+
+def check(got, want):
+    seen = {}
+    for r in got:
+        seen.setdefault((r.vec_id, r.component), []).append((r.n, r.deviation, abs(r.whitened), r.explained))
+        assert r.identity_error < 1e-9
+    assert seen.keys() == want.keys()
+    for key, rows in seen.items():
+        assert len(rows) == len(want[key])
+        for a, b in zip(sorted(rows), sorted(want[key])):
+            assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-7, abs_tol=1e-8)
+            assert math.isclose(a[3], b[3], rel_tol=1e-10)
+
+
+def vectors(seed, n, d):
+    rng = random.Random(seed)
+    rows = [(i, [rng.gauss(0, 1 / (1 + k)) for k in range(d)]) for i in range(n)]
+    return [(i, [float(np.float32(c)) for c in v]) for i, v in rows]
+
+
+def frame(spark, rows, parts=4):
+    return spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS).selectExpr("*", "'x' AS x", "1 AS n").repartition(parts)
+
+
+def test_awkward_rows_against_brute_force(spark):
+    rows = vectors(5, 150, 20)
+    rows += [(i + 500, rows[i % 3][1]) for i in range(60)]  # copies
+    rows += [(7, rows[9][1]), (None, rows[8][1]), (None, rows[8][1])]  # repeated and null ids
+    good = list(rows)
+    rows += [(900, None), (901, [None] + [0.5] * 19), (902, [math.nan] * 20), (903, [math.inf] + [0.0] * 19)]
+    rows += [(904, [0.1] * 3), (905, [])]  # of another length
+    got = w.digest(frame(spark, rows))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    check(got.collect(), brute(good))
+
+
+def test_narrow_and_constant_vectors(spark):
+    rows = [(i, [1.0, float(i), -2.0 * i + (i % 3)]) for i in range(30)]
+    got = w.digest(frame(spark, rows)).collect()
+    assert {r.component for r in got} == {1, 2}
+    check(got, brute(rows))
+    assert w.digest(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0  # one distinct vector
+    assert w.digest(frame(spark, [(1, None)])).count() == 0
+    assert w.digest(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_triangles_reduce_in_rounds(spark):
+    """The triangle does not depend on the number of tasks or the fan."""
+    rows = vectors(6, 300, 10)
+    fit = w.integer_rows(frame(spark, rows, 9)).select("x").distinct().repartition(9).cache()
+    n, sums = w._fit_sums(fit, 10)
+    x = np.array([r.x for r in fit.collect()], dtype=object)
+    assert n == len(x) and sums == x.sum(axis=0).tolist()
+    a = ((n * x - sums) / n).astype(float)
+    for fan in (2, 16):
+        r = w.triangle(fit, 10, n, sums, fan)
+        assert np.allclose(r.T @ r, a.T @ a, rtol=1e-12, atol=1e-9)
+    fit.unpersist()
+
+
+def test_huge_entries_stay_exact(spark):
+    """Sums beyond a long are kept as integers; a deviation beyond one is null."""
+    rows = [(i, [3e38 if i == 3 else float(i), float(i * i % 7)]) for i in range(20)]
+    got = w.digest(frame(spark, rows)).collect()
+    assert {r.deviation for r in got} == {None} and all(math.isfinite(r.whitened) for r in got)
+    big = [(i, [float(i) * 2.0**10, float(i * i % 7)]) for i in range(20)]
+    check(w.digest(frame(spark, big)).collect(), brute(big))
