@@ -1,7 +1,9 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of at most ``chunk + overlap`` code points is encoded whole by the
-tokenizer's library.  A longer one is cut every ``chunk`` code points; each
+A text of at most ``chunk + overlap`` code points is counted in one task: its
+pieces between white space (a boundary that every encoding has, as no token
+holds white space) are encoded by the tokenizer's library, each distinct piece
+once while it is remembered.  A longer text is cut every ``chunk`` code points; each
 piece is encoded with ``overlap`` more code points on both sides, as a row of
 its own, so that one giant text spreads over many tasks.  At every cut the two
 encodings that cover it are spliced at a *stable common boundary*: a position
@@ -54,7 +56,8 @@ from .common import text_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP = 1 << 15, 1 << 10
-BATCH = 1 << 18  # code points handed to the library at once
+BATCH = 1 << 20  # bytes of texts counted together
+KNOWN = 1 << 18  # pieces a task remembers before it starts anew
 LIMIT = 2048
 
 
@@ -80,8 +83,8 @@ def encoder(path: str):
 def can_cut(path: str) -> bool:
     """Does the proof above hold for this tokenizer file?
 
-    Plain BPE with word ends, a pattern without lookaround whose matches hold
-    no white space, special strings taken as they stand.
+    Plain BPE with word ends, white space made equal and then dropped, a
+    pattern without lookaround, special strings taken as they stand.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -90,9 +93,11 @@ def can_cut(path: str) -> bool:
     words = bool(model.get("end_of_word_suffix")) and not model.get("continuing_subword_prefix")
     patterns = re.findall(r'"Regex": "((?:[^"\\]|\\.)*)"', json.dumps(spec.get("pre_tokenizer")))
     scans = bool(patterns) and not any("(?" in p for p in patterns)
-    steps = {n["type"] for n in _steps(spec.get("normalizer"), "normalizers")}
+    normal = _steps(spec.get("normalizer"), "normalizers")
+    spaces = any(n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in normal)
+    steps = {n["type"] for n in normal}
     return (
-        plain and words and scans and not model.get("ignore_merges") and steps <= {"NFC", "Replace", "Lowercase"}
+        plain and words and scans and spaces and not model.get("ignore_merges") and steps <= {"NFC", "Replace", "Lowercase"}
         and spec.get("post_processor") is None
         and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
     )
@@ -170,18 +175,32 @@ def _text(value: pa.Scalar) -> str:
     return value.as_py() or ""
 
 
+def _count_all(path: str, texts: list[bytes], known: dict[bytes, int]) -> list[int]:
+    """Tokens of each text, from its pieces between white space."""
+    if not can_cut(path):
+        got = encoder(path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [len(e) for e in got]
+    split = [t.split() for t in texts]
+    new = list({w for ws in split for w in ws if w not in known})
+    got = encoder(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+    known.update(zip(new, map(len, got)))
+    return [sum([known[w] for w in ws]) for ws in split]
+
+
 def _whole(path: str):
     def run(batches):
-        t = encoder(path)
+        known: dict[bytes, int] = {}
         for b in batches:
             texts, counts, at = b.column("text"), [], 0
             while at < len(texts):
                 part, size = [], 0
                 while at < len(texts) and size < BATCH:
-                    part.append(_text(texts[at]))
+                    part.append(texts[at].as_buffer().to_pybytes())
                     size += len(part[-1])
                     at += 1
-                counts += [len(e) for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                counts += _count_all(path, part, known)
+                if len(known) > KNOWN:
+                    known.clear()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
@@ -289,10 +308,12 @@ def counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     path = path or vocabulary_path()
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    schema = "doc_id long, n_bytes long, n_tokens long"
+    raw = F.col("text").cast("binary").alias("text")
     if not can_cut(path):
-        return rows.mapInArrow(_whole(path), "doc_id long, n_bytes long, n_tokens long")
+        return rows.select("doc_id", "n_bytes", raw).mapInArrow(_whole(path), schema)
     huge = F.length("text") > chunk + overlap
-    short = rows.filter(~huge).mapInArrow(_whole(path), "doc_id long, n_bytes long, n_tokens long")
+    short = rows.filter(~huge).select("doc_id", "n_bytes", raw).mapInArrow(_whole(path), schema)
 
     # written once, so that the row numbers stand for good
     pieces = written(

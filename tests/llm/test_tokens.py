@@ -59,6 +59,16 @@ def test_in_order_equals_whole_and_widens():
         assert tokens.count_in_order(PATH, text, 40, 8) == whole(text)
 
 
+def test_pieces_between_white_space_add_up(monkeypatch):
+    """All white space of the rule, marks after it, special strings, and a
+    memory that is full at once."""
+    rng = random.Random(5)
+    texts = ["a ́b", "a\t\x0b\x0c\r\nb", "x\x85y\xa0z\u2003w\x1cv\u3000", " <|endoftext|> <|endoftext|>a ", "", *long_texts(rng, 40, 200)]
+    monkeypatch.setattr(tokens, "KNOWN", 3)
+    known = {}
+    assert [tokens._count_all(PATH, [t.encode()], known)[0] for t in texts] == [whole(t) for t in texts]
+
+
 def test_seam_needs_the_same_tokens_on_both_sides():
     """The lone common boundary of "!'sfoo bar" cut in "'s" is before nothing:
     the pieces read the apostrophe differently, so only later ones count."""
