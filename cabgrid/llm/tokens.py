@@ -57,7 +57,7 @@ from .common import text_of, written
 VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 BATCH = 1 << 20  # bytes of texts counted together
-KNOWN = 1 << 18  # pieces a task remembers before it starts anew
+KNOWN = 1 << 20  # pieces a worker remembers before it starts anew
 LIMIT = 2048
 
 
@@ -187,9 +187,15 @@ def _count_all(path: str, texts: list[bytes], known: dict[bytes, int]) -> list[i
     return [sum([known[w] for w in ws]) for ws in split]
 
 
+@cache
+def _known(path: str) -> dict[bytes, int]:
+    """What this worker process has counted so far, over its tasks."""
+    return {}
+
+
 def _whole(path: str):
     def run(batches):
-        known: dict[bytes, int] = {}
+        known = _known(path)
         for b in batches:
             texts, counts, at = b.column("text"), [], 0
             while at < len(texts):
@@ -321,7 +327,8 @@ def counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
         .mapInArrow(_cut(chunk, overlap), "row long, doc_id long, n_bytes long, no long, first long, text string"),
         "token-pieces",
     )
-    spread = pieces.select("row", "no", "first", "text").repartition("row", "no")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pieces.select("row", "no", "first", "text").repartition(parts, "row", "no")
     ends = written(
         spread.mapInArrow(
             _ends(path, chunk, overlap), "row long, no long, n long, head binary, tail binary, around string"
