@@ -174,29 +174,35 @@ def links(nodes: DataFrame, max_bits: int = 2, bucket_pairs: int = 64) -> DataFr
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket_pairs: int = 64
 ) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of ``docs``."""
+    """(doc_id, text_hash, fp, component, component_id) for every row of ``docs``."""
     fps = written(fingerprints(docs, shingle), "simhash")
     return join_components(fps, max_bits, bucket_pairs)
 
 
 def join_components(fps: DataFrame, max_bits: int = 2, bucket_pairs: int = 64) -> DataFrame:
-    """Components of a written (doc_id, text_hash, fp) table."""
+    """Components of a written (doc_id, text_hash, fp) table.
+
+    ``component`` is the component's own key, its smallest fingerprint;
+    ``component_id`` its smallest doc_id.  That one is a name, not a key: with
+    repeated or missing doc_ids unconnected components may share it.
+    """
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     near = links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, bucket_pairs)
     comp = components(near)
     named = left_lookup(nodes, comp.withColumnRenamed("node", "fp"), ["fp"])
     named = named.withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = written(named.join(ids, "component").select("fp", "component_id"), "components")
-    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    by_fp = written(named.join(ids, "component").select("fp", "component", "component_id"), "components")
+    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id
-    (then text hash); of exact repeats of that row, one stays."""
+    (null last, then text hash); of exact repeats of that row, one stays.
+    Components that share a doc_id, or have none, each keep their own row."""
     found = near_duplicates(docs, shingle, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    stay = found.groupBy("component_id").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
+    stay = found.groupBy("component").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
     stay = written(stay.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}).distinct(), "stay")
     rows = docs.select(
         F.struct("*").alias("__row"),

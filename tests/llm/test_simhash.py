@@ -79,13 +79,43 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def kept_brute(data):
+    """Of each component (by brute force over fingerprints) the (doc_id, text)
+    rows that may stay: those of its smallest doc_id, null last."""
+    comp = closure(sorted({fingerprint(r[1]) for r in data}), lambda a, b: (a ^ b).bit_count() <= 2)
+    members = {}
+    for r in data:
+        members.setdefault(comp[fingerprint(r[1])], set()).add((r[0], r[1]))
+    out = []
+    for rows_ in members.values():
+        least = min((i is None, i or 0) for i, _ in rows_)
+        out.append({r for r in rows_ if (r[0] is None, r[0] or 0) == least})
+    return out
+
+
+def one_of_each(got, data):
+    """Every component keeps exactly one row, one of those that may stay."""
+    may = kept_brute(data)
+    got = [tuple(r)[:2] for r in got]
+    assert len(got) == len(may)
+    assert all(sum(r in rows_ for r in got) == 1 for rows_ in may)
+
+
 def test_one_row_of_each_component_stays(spark):
     docs = table(spark, clashes=True)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {c for _, _, c in brute(rows())}
-    got = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    one_of_each(kept.collect(), rows())
+
+
+def test_unlike_texts_that_share_or_lack_an_id_all_stay(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(50)) for _ in range(8)]
+    data = [(i, t, None, None, None) for i, t in zip((7, 7, 8, None, None, None, 8, 7), texts)]
+    data += [(7, texts[0], None, None, None), (None, texts[3], "en", None, None), (9, texts[4], None, None, None)]
+    kept = simhash.keep_one(table(spark, data)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    one_of_each(kept, data)
 
 
 def test_empty_table_and_odd_distance(spark):
