@@ -26,7 +26,8 @@ A rerun takes the same copies.
 
 Defined results: null text has size 0 (its copies cost nothing: its rate is
 ceiling / 2); repeated rows are told apart only by what they hold, so equal
-rows get equal copies; an empty table gives no rows; other columns are
+rows get equal copies; tilts that don't converge raise ``ArithmeticError``
+instead of giving a mix off its targets; an empty table gives no rows; other columns are
 ignored (or kept by :func:`mixed`).
 """
 
@@ -108,7 +109,8 @@ def tilts(hist: DataFrame, goal: DataFrame, ceiling: float = 2.0, rounds: int =
     step stays inside a bracket that every step tightens (the constraint is
     monotone in the tilt) and falls back to its middle, so it converges for
     any sizes.  ``full`` sources are at their ceiling and need none.
-    ``chain`` steps run in one job, then the state is written.
+    ``chain`` steps run in one job, then the state is written.  Sources that
+    are not balanced after ``rounds`` steps are an error.
     """
     limit = 60.0  # far beyond where every rate has reached its bound
     kept = ["words", "target", "mean", "full"]
@@ -129,8 +131,8 @@ def tilts(hist: DataFrame, goal: DataFrame, ceiling: float = 2.0, rounds: int =
             state = _newton(state, hist, kept, ceiling)
         state = written(state, "mix-tilts")
         if state.filter(~F.col("close")).isEmpty():
-            break
-    return state.select("source", *kept, "tilt")
+            return state.select("source", *kept, "tilt")
+    raise ArithmeticError(f"tilts did not meet their targets in {rounds} Newton steps")
 
 
 def _newton(state: DataFrame, hist: DataFrame, kept: list[str], ceiling: float) -> DataFrame:

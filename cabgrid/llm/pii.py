@@ -15,7 +15,9 @@ says so:
    kind; the posterior of a pattern is the soft label of its candidates.
 3. A naive-Bayes classifier over the span's own features (kind, length,
    share of digits, neighbouring characters, context word class) is trained
-   on the soft labels by one aggregate over all candidates and scores them.
+   on the soft labels by one aggregate over all candidates; its score decides.
+4. Base spans stay.  An added span that overlaps one goes, and of added spans
+   that overlap the first stays: linear sweeps over a text's spans in order.
 
 Only sums over patterns and feature values reach the driver; their number is
 bounded by the labelers and features, not by the data.
@@ -52,7 +54,7 @@ PATTERNS = (
     ("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}(?:\(at\)|\[at\])[A-Za-z0-9-]{{1,63}}(?:\(dot\)|\[dot\]|\.)[A-Za-z]{{2,24}}"),
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:\(at\)|\[at\])[A-Za-z0-9-]++(?:(?:\(dot\)|\[dot\]|\.)[A-Za-z0-9-]++)++"),
     ("secret", r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_key|apikey)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_-]{8,}+"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}+"),
 )
@@ -149,14 +151,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = F.col("ruled") & _base(kind, value)
     digits = F.length(_digits(value))
     proper = (
-        F.when(kind == "email", value.rlike(r"\.[A-Za-z]{2,24}$"))
+        F.when(kind == "email", value.rlike(r"(?:\.|\(dot\)|\[dot\])[A-Za-z]{2,24}$"))
         .when(kind == "ip", _octets(value))
         .when(kind == "card", luhn(F.substring(_digits(value), 1, 20)))
         .when(kind == "phone", (digits >= 8) & (digits <= 15))
         .otherwise(value.rlike("[0-9]") & (F.length(value) >= 16))
     )
     known = (
-        F.when(kind == "email", value.rlike(rf"\.(?:{DOMAINS})$"))
+        F.when(kind == "email", value.rlike(rf"(?:\.|\(dot\)|\[dot\])(?:{DOMAINS})$"))
         .when(kind == "ip", F.lit(False))
         .when(kind == "card", value.rlike(ISSUERS))
         .when(kind == "phone", value.rlike(COUNTRY_CODES))
@@ -287,27 +289,51 @@ def spans(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
             logit = logit + F.coalesce(
                 F.try_element_at(F.create_map(*pairs), F.element_at("features", j + 1)), F.lit(0.0)
             )
-    # the classifier's view of the span joins the labelers' view of it
-    score = 1 / (1 + F.exp(-logit))
-    scored = soft.withColumn("score", (score + F.col("p")) / 2)
+    scored = soft.withColumn("score", 1 / (1 + F.exp(-logit)))
     chosen = scored.filter(F.col("base") | (F.col("score") >= min_score))
     by = chosen.groupBy(*KEY).agg(
-        F.sort_array(
-            F.collect_set(F.struct("number", "start", "stop", "base", F.round("score", 6).alias("score")))
-        ).alias("s")
+        F.collect_set(F.struct("start", (~F.col("base")).alias("added"), "number", "stop", F.round("score", 6).alias("score"))).alias("s")
     )
-    # an added span gives way to a base span and to one before it in the list
-    free = F.filter(
-        "s",
-        lambda a, i: a["base"]
-        | ~F.exists(
-            F.col("s"),
-            lambda b: (b["start"] < a["stop"])
-            & (a["start"] < b["stop"])
-            & (b["base"] | (F.struct(b["number"], b["start"], b["stop"]) < F.struct(a["number"], a["start"], a["stop"]))),
+    return written(by.select(*KEY, _disjoint(F.col("s")).alias("spans")), "pii-spans")
+
+
+def _disjoint(found: Column) -> Column:
+    """All base spans, and the added ones that overlap no base span and no
+    added one kept before (by start, kind, stop); in order of kind and start.
+
+    Three sweeps over the spans in order of their start: the last stop of the
+    base spans so far, their next start from behind, and the last stop kept.
+    """
+    row = "struct<start:int,added:boolean,number:int,stop:int,score:double,free:boolean>"
+    named = ("start", "added", "number", "stop", "score")
+
+    def with_free(x, free):
+        return F.struct(*[x[n].alias(n) for n in named], free.alias("free"))
+
+    def before(last, x):
+        return F.when(x["added"], last).otherwise(F.greatest(last, x["stop"])), with_free(x, last <= x["start"])
+
+    def behind(first, x):
+        after = F.when(x["added"], first).otherwise(F.least(first, x["start"]))
+        return after, with_free(x, x["free"] & (first >= x["stop"]))
+
+    def kept(last, x):
+        stay = x["free"] & (last <= x["start"])
+        after = F.when(x["added"] & stay, F.greatest(last, x["stop"])).otherwise(last)
+        return after, with_free(x, ~x["added"] | stay)
+
+    far = F.lit(2**31 - 1)
+    swept = let(F.sort_array(found), lambda s: running(s, F.lit(0), before, row))
+    swept = let(swept, lambda s: F.reverse(running(F.reverse(s), far, behind, row)))
+    swept = let(swept, lambda s: running(s, F.lit(0), kept, row))
+    stay = F.transform(
+        F.filter(swept, lambda x: x["free"]),
+        lambda x: F.struct(
+            x["number"].alias("number"), x["start"].alias("start"), x["stop"].alias("stop"),
+            (~x["added"]).alias("base"), x["score"].alias("score"),
         ),
-    )
-    return written(by.select(*KEY, free.alias("spans")), "pii-spans")
+    )
+    return F.sort_array(stay)
 
 
 def _listed(spans_col: Column) -> Column:

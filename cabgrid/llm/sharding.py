@@ -12,7 +12,8 @@ hashed numbers.
    sums N_s that a uniform shuffle would show.  The partitions are halved
    again and again; each half's share of every shard is a hypergeometric
    draw from what its parent has, so halves are independent of each other
-   and the draws run as a Spark plan of log2(partitions) steps.  A draw
+   and the draws run as a Spark plan of log2(partitions) steps; every
+   ``SPREAD`` steps the halves are written and spread over tasks.  A draw
    inverts the distribution's running sums within ten standard deviations
    of its mean (the rest weighs less than double precision).
 3. *Exchange.*  Partition p sends its first rows by local rank to shard 0,
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import let, positions, text_of, unpacked, written
 
 SEED = 8
+SPREAD = 6  # halvings in a job; after them 2^6, 2^12, ... halves go on side by side
+SPREAD_TASKS = 512
 RANK_BITS = 33  # of monotonically_increasing_id: the number inside the partition
 ARRAY = "array<bigint>"
 
@@ -97,8 +100,9 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
     """(__part, cells): how many rows each partition sends to each shard.
 
     ``counts(__part, n)``, a row per partition.  The first steps hold all
-    partitions' counts in one row (eight bytes a partition); every step
-    halves that and doubles the rows.
+    partitions' counts in one row (some bytes a partition) and draw for at
+    most 2^``SPREAD`` halves in one task; every step halves the row and
+    doubles the rows, and all further draws run in parallel.
     """
     one = counts.agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("parts"))
     parts = counts.count()
@@ -112,7 +116,9 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int = SEED) -> Da
         .withColumn("total", total)
         .select("parts", quota.alias("cells"), F.lit(1).cast("long").alias("node"))
     )
-    for _ in range(ceil(log2(parts)) if parts > 1 else 0):
+    for step in range(ceil(log2(parts)) if parts > 1 else 0):
+        if step and step % SPREAD == 0:
+            nodes = written(nodes.repartition(min(1 << step, SPREAD_TASKS), "node"), "shard-halves")
         half = F.ceil(F.size("parts") / 2).cast("int")
         sides = nodes.select(
             "node",

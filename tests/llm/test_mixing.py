@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from fixtures import rows, table
 
 from cabgrid.llm import mixing
@@ -82,3 +85,47 @@ def test_empty_table_and_empty_texts(spark):
     assert mixing.digest(table(spark, [])).count() == 0
     got = mixing.digest(table(spark, [(1, None, None, "a", 0), (2, "", None, None, 0)])).collect()
     assert [(r.target, r.taken) for r in got] == [(0.0, 0)] * 2
+
+
+def test_tilts_that_do_not_converge_are_an_error(spark):
+    hist = spark.createDataFrame([("a", n, 1) for n in range(1, 400)], "source string, size long, docs long")
+    words = sum(range(1, 400))
+    goal = spark.createDataFrame([("a", words, 399, 0.3 * words)], "source string, words long, docs long, target double")
+    with pytest.raises(ArithmeticError, match="Newton steps"):
+        mixing.tilts(hist, goal, rounds=1, chain=1)
+    assert mixing.tilts(hist, goal).count() == 1
+
+
+def test_a_source_of_very_many_sizes(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CAST(null AS string) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    sized = docs.selectExpr("doc_id", "source", "doc_id + 1 AS size", "rand(1) AS draw")
+    plan = mixing.plan_mix(sized).collect()
+    assert len(plan) == 20_000
+    rate = {(r.source, r["size"]): r for r in plan}
+    for s in "ab":
+        rs = [r for k, r in rate.items() if k[0] == s]
+        took = sum((r.base + (1 if r.cut == mixing.BINS else 0)) * r["size"] for r in rs)
+        assert abs(took - rs[0].target) <= 0.01 * rs[0].target
+
+
+def brute_extra(cells):
+    """Copies beyond the base by error diffusion, from the largest size down."""
+    out, owed = {}, 0.0
+    for size, docs, rate, base in sorted(cells, reverse=True):
+        owed += docs * size * (rate - base)
+        n = min(max(round(owed / max(size, 1)), 0), docs) if size > 0 and base < 2 else 0
+        out[size] = n
+        owed -= n * size
+    return out
+
+
+def test_cells_equal_error_diffusion_by_hand(spark):
+    rng = random.Random(5)
+    hist_rows = [("a", n, rng.randrange(1, 9)) for n in rng.sample(range(500), 200)]
+    hist = spark.createDataFrame(hist_rows, "source string, size long, docs long")
+    words = sum(n * d for _, n, d in hist_rows)
+    docs = sum(d for *_, d in hist_rows)
+    goal = spark.createDataFrame([("a", words, docs, 1.3 * words)], "source string, words long, docs long, target double")
+    got = mixing.cells(hist, mixing.tilts(hist, goal)).collect()
+    want = brute_extra([(r["size"], r.docs, r.rate, r.base) for r in got])
+    assert {r["size"]: r.extra for r in got} == want

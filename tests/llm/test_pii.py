@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 from fixtures import rows, same, table
+from pyspark.sql import functions as F
 
 from cabgrid.llm import pii
 
@@ -96,3 +98,91 @@ def test_em_learns_that_a_contrary_labeler_is_unreliable(spark):
     model = pii.estimate(pats)
     good, bad = model.right[0], model.right[3]
     assert good[1, 1] > 0.8 and good[0, 1] < 0.1 and abs(bad[1, 1] - bad[0, 1]) < 0.15
+
+
+def brute_disjoint(spans):
+    """Base spans, and added ones that overlap none of them nor an added one
+    kept before; spans are (start, stop, number, base)."""
+    out = [s for s in spans if s[3]]
+    base = list(out)
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    last = []
+    for s in sorted((s for s in spans if not s[3]), key=lambda s: (s[0], s[2], s[1])):
+        if not any(meet(s, b) for b in base) and not any(meet(s, b) for b in last):
+            last.append(s)
+    return sorted([(n, a, b) for a, b, n, _ in out + last])
+
+
+def test_sweeps_equal_all_pairs(spark):
+    rng = random.Random(4)
+    cases = []
+    for _ in range(300):
+        spans, at = set(), 0
+        for _ in range(rng.randrange(0, 25)):
+            at += rng.randrange(0, 6)
+            spans.add((at, at + rng.randrange(1, 12), rng.randrange(5), rng.random() < 0.3))
+        cases.append(sorted(spans))
+    rows_ = [(i, [(a, not base, n, b, 0.5) for a, b, n, base in c]) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows_, "i int, s array<struct<start:int,added:boolean,number:int,stop:int,score:double>>")
+    got = {r.i: [(x.number, x.start, x.stop) for x in r.s] for r in df.select("i", pii._disjoint(F.col("s")).alias("s")).collect()}
+    assert got == {i: brute_disjoint(c) for i, c in enumerate(cases)}
+
+
+def test_very_many_added_spans_in_one_text_take_linear_time(spark):
+    took = []
+    for n in (10_000, 100_000):
+        data = [(1, " ".join(f"token={i:032x}" for i in range(n)), None, None, 0)]
+        data += [(2 + i, f"text token={i:032x} here", None, None, 0) for i in range(50)]
+        t0 = time.perf_counter()
+        got = {r.doc_id: r.spans for r in pii.digest(table(spark, data)).collect()}
+        took.append(time.perf_counter() - t0)
+        assert got[1].count("secret:") == n
+    assert took[1] < 30 * took[0]  # ten times the spans; a hundred times if quadratic
+
+
+def test_spelt_out_addresses_of_any_length(spark):
+    values = ["jo(at)ex(dot)com", "x" * 100 + "[at]" + "y" * 90 + "[dot]org", "a.b+c(at)mail.example.com", "q(at)w[dot]e(dot)net"]
+    data = [(i, f"write to {v} now", None, None, 0) for i, v in enumerate(values)]
+    got = pii.candidates(table(spark, data)).filter("number = 0").select("doc_id", "start", "stop").collect()
+    same(got, [(i, 9, 9 + len(v)) for i, v in enumerate(values)])
+
+
+def planted(rng):
+    """Texts with personal data that no base rule takes, by kind, and look-alikes
+    that are none."""
+    filler = "the of and to a in is it was for on are with as at be this from".split()
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = {
+        "email": lambda: (rng.choice(["contact ", "write to ", "e-mail: "]), f"{rng.choice(filler)}.{hexes(4)}(at){rng.choice(['mail', 'post'])}(dot){rng.choice(['com', 'org', 'de'])}"),
+        "phone": lambda: (rng.choice(["call ", "phone: ", "tel "]), f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "secret": lambda: ("", rng.choice([f"token={hexes(40)}", f"password: {hexes(20)}", f"api_key='{hexes(32)}", f"AKIA{hexes(16).upper()}", f"ghp_{hexes(36)}"])),
+    }
+    other = [lambda: f"version {digits(1)}.{digits(1)}.{digits(3)}.999", lambda: f"order {digits(4)} {digits(4)} {digits(4)} {digits(3)}",
+             lambda: f"section {digits(3)}", lambda: "tokens and passwords", lambda: f"isbn {digits(13)}"]
+    data, truth = [], {}
+    for i in range(400):
+        before = say(rng.randrange(3, 30)) + " "
+        kind = ("email", "phone", "secret", None)[i % 4]
+        if kind:
+            lead, value = made[kind]()
+            start = len(before) + len(lead)
+            truth[i] = (kind, start, start + len(value))
+            data.append((i, f"{before}{lead}{value} {say(8)}", None, None, 0))
+        else:
+            data.append((i, f"{before}{rng.choice(other)()} {say(8)}", None, None, 0))
+    data += [(1000 + i, f"mail jo{i}@mail.example.com or 10.1.2.{i} or +1 (555) 555-12{i:02d}", None, None, 0) for i in range(60)]
+    return data, truth
+
+
+def test_recall_by_kind_on_planted_data(spark):
+    data, truth = planted(random.Random(12))
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x} for r in pii.digest(table(spark, data)).collect()}
+    recall = {}
+    for i, (kind, a, b) in truth.items():
+        recall.setdefault(kind, []).append((kind, str(a), str(b)) in got[i])
+    recall = {k: sum(v) / len(v) for k, v in recall.items()}
+    wrong = sum(bool(got[i]) for i in range(400) if i not in truth)
+    print("recall by kind", recall, "clean texts with a span", wrong)
+    assert all(v >= 0.9 for v in recall.values()) and wrong <= 5, (recall, wrong)

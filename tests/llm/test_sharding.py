@@ -1,6 +1,6 @@
 import collections
 import zlib
-from math import comb
+from math import ceil, comb
 
 import pytest
 from fixtures import rows, table
@@ -76,6 +76,57 @@ def test_matrix_has_the_given_sums(spark):
     assert max(columns) - min(columns) <= 1 and min(min(v) for v in got.values()) >= 0
 
 
+@pytest.mark.parametrize("spread", [2, 6])
+def test_draws_of_many_partitions_run_side_by_side(spark, monkeypatch, spread):
+    """The matrix is a table of several tasks, with the same sums and the same
+    draws however often the halves are spread."""
+    counts = [(i * 37) % 23 for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(counts)), "__part int, n long")
+    want = {r[0]: r[1] for r in sharding.communication_matrix(df, 5).collect()}
+    monkeypatch.setattr(sharding, "SPREAD", spread)
+    matrix = sharding.communication_matrix(df, 5)
+    assert matrix.select(F.spark_partition_id()).distinct().count() > 1
+    got = {r[0]: r[1] for r in matrix.collect()}
+    assert got == want
+    assert [sum(got[i]) for i in range(150)] == counts
+    columns = [sum(v[s] for v in got.values()) for s in range(5)]
+    assert max(columns) - min(columns) <= 1 and min(min(v) for v in got.values()) >= 0
+
+
+def brute_places(data, seed=sharding.SEED):
+    """Shards and slots from the partitions' local orders and the matrix, by hand."""
+    parts, matrix, second = data
+    by = collections.defaultdict(list)
+    for part, ordered in parts.items():
+        at = 0
+        for shard, n in enumerate(matrix[part]):
+            by[shard] += [(second[part, at + j], part, at + j, ordered[at + j]) for j in range(n)]
+            at += n
+    return {row: (shard, slot) for shard, rows_ in by.items() for slot, (*_, row) in enumerate(sorted(rows_))}
+
+
+@pytest.mark.parametrize("bucket", [10, 100_000])
+def test_assignment_follows_the_matrix_row_by_row(spark, bucket):
+    """Against the same steps by hand: one bucket keeps the second hash's
+    order, several keep it inside each."""
+    from cabgrid.llm.common import written
+
+    docs = spark.range(300).selectExpr("id AS doc_id").repartition(6)
+    ranked = written(sharding._local_ranks(docs, sharding.SEED, F.col("doc_id")), "t")
+    seen = ranked.withColumn("__second", F.shiftrightunsigned(F.xxhash64("__part", "__rank", F.lit(sharding.SEED + 1)), 1))
+    parts, second = collections.defaultdict(dict), {}
+    for r in seen.collect():
+        parts[r["__part"]][r["__rank"]] = r.doc_id
+        second[r["__part"], r["__rank"]] = r["__second"]
+    parts = {p: [v[i] for i in range(len(v))] for p, v in parts.items()}
+    counts = spark.createDataFrame([(p, len(v)) for p, v in parts.items()], "__part int, n long")
+    matrix = {r[0]: r[1] for r in sharding.communication_matrix(counts, 4).collect()}
+    buckets = max(1, ceil(300 / 4 / bucket))
+    second = {k: (v % buckets, v) for k, v in second.items()}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.assign(ranked, 4, bucket_rows=bucket).collect()}
+    assert got == brute_places((parts, matrix, second))
+
+
 def test_neighbours_do_not_stay_together(spark):
     """Rows of one input partition meet every shard about equally often."""
     docs = spark.range(0, 4800, 1, 4).selectExpr("id AS doc_id", "cast(id AS string) AS text")
