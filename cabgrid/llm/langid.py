@@ -16,8 +16,14 @@ language in code-point order); it is the score.
 
 Bounds: the model learns from about ``sample_docs`` labelled documents per
 language, chosen by a hash of the doc_id (a documented bound, all of them
-where there are fewer); the filter has ``2**slot_bits`` slots, whatever the
-corpus, and that is what is collected and broadcast.  Texts are read in slabs
+where there are fewer).  A filter has ``2**slot_bits`` slots of a bit per
+language, whatever the corpus, and that is what is collected and broadcast.
+Any number of languages may be learned: each ``group`` of them (512: 64 MB)
+has a filter of its own, loaded, broadcast and asked in turn, and a text's
+best language so far is written between two groups.  A language's slice and
+its correction depend on no other language's, so the answer is that of one
+filter for all; only the table of languages (a row each) is put in order as a
+whole.  Texts are read in slabs
 of ``SLAB`` characters, so the arrays do not grow with a text.
 
 Defined results: null text or a text without a letter: ``und``, score 0; a
@@ -31,16 +37,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import unpacked, written
 
 ORDERS = (2, 3, 4)
 SLAB = 1 << 18
 UNKNOWN = "und"
-MAX_LANGS = 4096
+GROUP = 512  # languages of one filter, a multiple of 64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -188,33 +194,25 @@ def learn(
     min_rate: float = 1e-5,
     min_share: float = 0.2,
     slot_bits: int = 20,
-) -> LanguageFilter:
-    """Fit the filter on about ``sample_docs`` labelled documents per language."""
-    spark = docs.sparkSession
+    group: int = GROUP,
+) -> LanguageFilter | FilterGroups:
+    """Fit the filter on about ``sample_docs`` labelled documents per language;
+    filters of ``group`` languages each where there are more."""
+    if group % 64:
+        raise ValueError("group must be a multiple of 64")
     known = docs.select("doc_id", "lang", "text").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(sizes)  # str order is code-point order
-    if not langs:
-        return LanguageFilter([], slot_bits, np.zeros((1, 1 << slot_bits), np.uint8))
-    plan = spark.createDataFrame(
-        [(name, i, min(1.0, sample_docs / sizes[name])) for i, name in enumerate(langs)],
-        "lang string, number int, part double",
-    )
+    order = Window.orderBy("lang")  # UTF-8 order is code-point order; a row per language
+    langs = known.groupBy("lang").count().withColumn("number", (F.row_number().over(order) - 1).cast("int"))
+    part = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count"))
+    langs = written(langs.select("lang", "number", part.alias("part")), "languages")
     draw = (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    sample = known.join(F.broadcast(plan), "lang").filter(draw < F.col("part")).select(
-        F.col("number").alias("lang"), "text"
-    )  # plan: a row per language, at most MAX_LANGS
+    sample = known.join(langs, "lang").filter(draw < F.col("part")).select(F.col("number").alias("lang"), "text")
     counts = _counted(sample).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    rate = F.col("n") / F.element_at(
-        F.array(*[F.lit(float(totals.get(i, 1))) for i in range(len(langs))]), F.col("lang") + 1
-    )
-    rated = counts.withColumn("rate", rate)
+    totals = written(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")), "gram-totals")
+    rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     top = rated.groupBy("gram").agg(
         F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("has")
     )
@@ -230,17 +228,49 @@ def learn(
         .groupBy("word", "slot")
         .agg(F.bit_or("bit").alias("mask"))
     )
-    got = filled.toArrow()  # at most 2**slot_bits rows for every 64 languages
-    n_words = (len(langs) + 63) // 64
-    slots = np.zeros((n_words, 1 << slot_bits), dtype=np.uint64)
-    slots[got["word"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    if len(langs) <= 8:
-        slots = slots.astype(np.uint8)
-    return LanguageFilter(langs, slot_bits, slots)
+    n = langs.count()
+    groups = FilterGroups(langs, filled, n, slot_bits, group)
+    if n <= group:
+        return groups.load(0)
+    groups.filled = written(filled, "language-slots")
+    return groups
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: tuple = ("*",)) -> DataFrame:
+@dataclass
+class FilterGroups:
+    """Filters of very many languages, ``group`` at a time."""
+
+    names: DataFrame  # (lang, number)
+    filled: DataFrame  # (word, slot, mask)
+    n: int
+    bits: int
+    group: int
+
+    def __len__(self) -> int:
+        return -(-self.n // self.group)
+
+    def load(self, i: int) -> LanguageFilter:
+        """The filter of group ``i``: at most ``group`` names and
+        ``2**bits`` slots for every 64 of them reach the driver."""
+        first, last = i * self.group, min(self.n, (i + 1) * self.group)
+        own = self.names.filter(F.col("number").between(first, last - 1)).orderBy("number")
+        langs = [r.lang for r in own.select("lang").collect()]
+        if not langs:
+            return LanguageFilter([], self.bits, np.zeros((1, 1 << self.bits), np.uint8))
+        words = (last - first + 63) // 64
+        got = self.filled.filter(F.col("word").between(first // 64, first // 64 + words - 1)).toArrow()
+        slots = np.zeros((words, 1 << self.bits), dtype=np.uint64)
+        at = got["word"].to_numpy() - first // 64
+        slots[at, got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(np.uint64)
+        return LanguageFilter(langs, self.bits, slots.astype(np.uint8) if len(langs) <= 8 else slots)
+
+
+def identify(
+    docs: DataFrame, model: LanguageFilter | FilterGroups, text: str = "text", keep: tuple = ("*",)
+) -> DataFrame:
     """``keep`` columns of ``docs`` plus lang_pred and score."""
+    if isinstance(model, FilterGroups):
+        return _identified_by_groups(docs, model, text, keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**slot_bits slots
     rows = docs.select(*keep, F.col(text).alias("__text"))
     names = rows.columns[:-1]
@@ -259,7 +289,26 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: t
     return rows.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: LanguageFilter, min_score: float = 0.2) -> DataFrame:
+def _identified_by_groups(docs: DataFrame, groups: FilterGroups, text: str, keep: tuple) -> DataFrame:
+    """Every group's answer against the best one before; equal scores stay
+    with the first language."""
+    best = docs.select(F.struct(*keep).alias("__keep"), F.col(text).alias("__told"))
+    best = best.withColumns({"__lang": F.lit(UNKNOWN), "__best": F.lit(0.0)})
+    for i in range(len(groups)):
+        told = identify(best, groups.load(i), "__told")
+        better = (F.col("lang_pred") != UNKNOWN) & ((F.col("score") > F.col("__best")) | (F.col("__lang") == UNKNOWN))
+        best = told.select(
+            "__keep",
+            "__told",
+            F.when(better, F.col("lang_pred")).otherwise(F.col("__lang")).alias("__lang"),
+            F.when(better, F.col("score")).otherwise(F.col("__best")).alias("__best"),
+        )
+        best = written(best, "language-so-far")
+    out = best.withColumnsRenamed({"__lang": "lang_pred", "__best": "score"})
+    return unpacked(out, "__keep", ["lang_pred", "score"])
+
+
+def accepted(docs: DataFrame, model: LanguageFilter | FilterGroups, min_score: float = 0.2) -> DataFrame:
     """Rows of ``docs`` with a recognised language, columns unchanged.
 
     Rejected: ``und`` and texts of which less than ``min_score`` of the

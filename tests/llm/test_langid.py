@@ -59,6 +59,7 @@ def test_more_than_eight_and_more_than_sixty_four_languages(spark):
         for i in range(6):
             text = " ".join("".join(rng.choice(own, 4)) for _ in range(60))
             data.append((lang * 100 + i, text, f"l{lang:02d}"))
+    data += [(9000, None, "l03"), (9001, "123", None), (9002, "", "l04")]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     model = langid.learn(docs)
     assert len(model.langs) == 70 and model.slots.shape[0] == 2
@@ -66,6 +67,63 @@ def test_more_than_eight_and_more_than_sixty_four_languages(spark):
     right = told.filter("lang = lang_pred").count()
     assert right > 0.9 * len(data)
 
+    # a filter for every 64 languages, asked in turn, gives the same answers
+    groups = langid.learn(docs, group=64)
+    assert len(groups) == 2 and [len(groups.load(i).langs) for i in range(2)] == [64, 6]
+    assert groups.load(0).langs + groups.load(1).langs == model.langs
+    assert sorted(langid.identify(docs, groups).collect(), key=str) == sorted(told.collect(), key=str)
+    kept = langid.accepted(docs, groups)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted(langid.accepted(docs, model).collect(), key=str)
+
+
+def brute_filter(rows_, min_count=2, min_rate=1e-5, min_share=0.2, bits=20):
+    """Languages of each n-gram by plain counting, and the filter's two
+    probes by plain sets of slots."""
+    import collections
+
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in rows_:
+        for h in langid.gram_hashes(text):
+            counts[lang].update(h.tolist())
+    langs = sorted(counts)
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = collections.Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[lang])
+    slots = {lang: set() for lang in langs}
+    for lang, c in counts.items():
+        for g, n in c.items():
+            if n >= min_count and n / total[lang] >= min_rate and n / total[lang] >= min_share * top[g]:
+                slots[lang] |= {g >> (64 - bits), g & ((1 << bits) - 1)}
+    noise = {lang: (len(s) / (1 << bits)) ** 2 for lang, s in slots.items()}
+
+    def predict(text):
+        grams = [g for h in langid.gram_hashes(text or "") for g in h.tolist()]
+        if not grams:
+            return "und", 0.0
+        best = ("", -1.0)
+        for lang in langs:
+            hit = sum(g >> (64 - bits) in slots[lang] and g & ((1 << bits) - 1) in slots[lang] for g in grams)
+            share = min(1.0, max(0.0, (hit / len(grams) - noise[lang]) / (1 - noise[lang])))
+            if share > best[1]:
+                best = (lang, share)
+        return best
+
+    return predict
+
+
+def test_filter_and_answers_equal_plain_counting(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    learned = [(r.text, r.lang) for r in docs.filter(~langid.held_out(F.col("doc_id"))).collect() if r.lang and r.text]
+    predict = brute_filter(learned)
+    told = langid.identify(docs, langid.learn(docs)).collect()
+    for r in told:
+        lang, score = predict(r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-12
+
 
 def test_rejected_documents_go(spark):
     docs = table(spark, clashes=True)
