@@ -270,3 +270,21 @@ def digest(rows: DataFrame) -> DataFrame:
     return left_lookup(members, facts, ["conv_key"], "inner").select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+_HARD = END + START + "assistant ok"
+# lengths: an escape adds one character per match, in roles per character
+ORACLE = f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_HARD}'), (-1, 1, 'assistant', '{_HARD}')),
+sized AS (SELECT *, {len(START) + len(END) + 2} + length(role) + len(regexp_extract_all(role, '[\\\\\\n<]'))
+    + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) AS formatted FROM every)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{TRAINED}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = '{TRAINED}' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), ''))
+    AS loss_sha256,
+  CAST(sum(formatted) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -344,3 +344,30 @@ def digest(docs: DataFrame) -> DataFrame:
 def whole_digest(docs: DataFrame) -> DataFrame:
     """The same columns, of chunks and runs."""
     return _digest(without_repeats(docs, keep=("doc_id",)))
+
+
+#: The rule of :func:`whole_digest`.  Texts with one doc_id are put in order by
+#: the text itself where the library uses its hash: the same on unlike ids.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+runs AS (SELECT *, lead(i) OVER own AS till, lead(line) OVER own AS after, row_number() OVER own AS m
+         FROM w WINDOW own AS (PARTITION BY r ORDER BY i)),
+later AS (SELECT r, i, till FROM (
+            SELECT r, i, till, rank() OVER (PARTITION BY line, after ORDER BY doc_id NULLS FIRST, text, m) AS place
+            FROM runs WHERE till IS NOT NULL) WHERE place > 1),
+gone AS (SELECT r, i FROM later UNION SELECT r, till FROM later),
+told AS (SELECT l.r, l.i, l.line, CASE WHEN w.i IS NOT NULL THEN gone.i IS NOT NULL END AS worded_gone
+         FROM l LEFT JOIN w ON w.r = l.r AND w.i = l.i LEFT JOIN gone ON gone.r = l.r AND gone.i = l.i),
+near AS (SELECT *, max(worded_gone) OVER (PARTITION BY r) AS any_word,
+           last_value(worded_gone IGNORE NULLS) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+           first_value(worded_gone IGNORE NULLS) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS behind
+         FROM told),
+cut AS (SELECT r, i, line, any_word IS NOT NULL AND coalesce(before, true) AND coalesce(behind, true) AS goes FROM near),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '') AS kept FROM cut GROUP BY r)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
+  CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
+FROM d JOIN kept USING (r)
+"""

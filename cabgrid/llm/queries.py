@@ -97,7 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_relative_lz": substring.ORACLE,
     "op4_winnowing": decontaminate.ORACLE,
+    "op6_prefix_tree": chat.ORACLE,
     "op7_host_rules": quality.ORACLE,
+    "op10_line_chunks": linechunks.ORACLE,
     "op12_dual_tree": search.ORACLE,
 }

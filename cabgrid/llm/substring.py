@@ -371,3 +371,19 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     out = without_repeats(docs, keep=("doc_id",))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (SELECT r, p, list_slice(w, p, p + {WINDOW - 1}) AS k
+         FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d WHERE len(w) >= {WINDOW})),
+twice AS (SELECT k FROM wins GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + {WINDOW})) AS i FROM wins JOIN twice USING (k)),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+         FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
