@@ -9,9 +9,7 @@ import numpy as np
 import pytest
 from fixtures import rows, table, words
 
-import __spark_entry__ as E
 from cabgrid.llm import search
-from oracle_compare import compare, duck
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,9 +130,3 @@ def test_empty_tables(spark):
     assert search.ranked(table(spark, []), some).count() == 0
     assert search.ranked(table(spark), none).count() == 0
     assert search.ranked(table(spark), spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 0
-
-
-def test_query_matches_sql(spark):
-    at = "/root/testdata/sf0.01"
-    r = compare(E.queries()["op12_dual_tree"](spark, at), duck(at), search.ORACLE)
-    assert r["names"] and r["rows"][0] == r["rows"][1] and r["values"], r["first_diff"]
