@@ -1,30 +1,37 @@
-"""Substring dedup by counting repeated windows in content-keyed blocks.
+"""Substring dedup by Relative Lempel-Ziv parsing against content-keyed blocks.
 
-This stands in place of Relative Lempel-Ziv parsing: there is no greedy
-factorisation, no longest match and no comparison of texts.  A stretch of
-``window`` or more words that also stands elsewhere is found by counting, and
-its words are duplicate spans.  Parsing every document against every block of
-a reference that does not fit one machine would be quadratic, and greedy
-factors alone do not say which windows stand twice, so all documents are cut
-by content:
+The reference is the corpus itself, cut into blocks by content, so that a
+document is parsed against every block that can hold a repeat of it and meets
+no other:
 
 1. *Blocks.*  Each window of ``window`` words has an anchor, the smallest
-   hash among its ``gram``-word grams.  Equal windows have equal anchors, so
-   the block of an anchor indexes everything that a window with this anchor
-   can match, and a document meets only blocks that can hold a repeat of it.
-   A *phrase* is a longest run of neighbouring windows with one anchor, so
-   phrase edges depend on content alone and shift with it.
-2. *Whole phrases.*  A phrase that its block holds twice or more is repeated
-   whole; spans of neighbouring whole phrases overlap and merge.
-3. *Edges.*  Where a document differs, the phrases around the edge are unique,
-   though parts of them may repeat.  In blocks that hold different phrases (or
-   one that repeats itself), each different phrase is checked window by window:
-   once, however often it is copied.
+   hash among its ``gram``-word grams.  Equal windows have equal anchors.  A
+   *phrase* is a longest run of neighbouring windows with one anchor, so
+   phrase edges depend on content alone and shift with it.  A block holds all
+   phrases with its anchor, each different one once.  A phrase that stands
+   twice or more is repeated whole; spans of neighbouring phrases merge.
+2. *Index.*  Of the different phrases of a block up to ``LANES`` are its
+   indexed reference: of each residue of the content hash the one that stands
+   most often.  Their texts are kept with the place of their anchor gram.
+3. *Greedy factors.*  Each different phrase is parsed from the left: the
+   longest match with an indexed phrase at the current word, found by extending
+   the anchor gram to both sides, word by word as bytes, is a factor if it has
+   ``window`` words or more.  A factor is a duplicate span in the phrase and in
+   the reference.
+4. *Factor boundaries.*  The parse goes on at the first window that the factor
+   does not hold, so windows over a boundary are matched too.  A window in no
+   factor stands in no indexed phrase of the block; those are counted by hash
+   over the block, which finds what repeats outside its reference.  This is
+   the exact way for blocks with more phrases than the index holds.
+
+A phrase that holds its anchor gram twice has no single alignment; all its
+windows are counted, with those of the block's reference.
 
 Blocks are keys of Spark aggregates and joins, never tasks of their own:
 counts combine before the shuffle and the joins read plain written tables,
 so that adaptive execution splits a block that holds a large part of all
-rows.  Hashes are 64 bits each for anchor and content, and both must agree.
+rows.  Factors compare bytes; whole phrases and the windows outside factors
+rest on hashes of 64 bits each for anchor and content, and both must agree.
 
 Defined results: null or empty text has no words; a text with fewer than
 ``window`` words is kept; exact repeats are occurrences of each other, also
@@ -47,6 +54,7 @@ from .common import left_lookup, text_hash, unpacked, written
 
 WINDOW, GRAM = 35, 8
 PIECE = 1 << 20
+LANES = 4  # indexed phrases of a block, at most
 KEY = ["doc_id", "text_hash"]
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -105,19 +113,11 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def pieces(texts, window: int):
-    """Batches of whole texts, or pieces of a long one with ``window`` - 1
-    words in common: (word hashes, owner of each word, first word number of
-    each owner's piece).  Owners count the texts from 0."""
-
+def _cut(texts, window: int):
+    """Lists of whole texts, or pieces of a long one with ``window`` - 1 words
+    in common: (number of the text, number of its first word, bytes)."""
     if window < 2:
         raise ValueError("a window has two words at least")
-
-    def flush(parts):
-        hashes = [word_hashes(raw) for _, _, raw in parts]
-        owner = np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
-        return np.concatenate(hashes), owner, [(i, at) for i, at, _ in parts]
-
     parts, size = [], 0
     for i, raw in enumerate(texts):
         at = pos = 0
@@ -125,16 +125,29 @@ def pieces(texts, window: int):
             starts = [m.start() for m in _WORD.finditer(raw, pos, gap.start())]
             if len(starts) < window:  # giant words: the rest in one piece
                 break
-            yield flush([*parts, (i, at, raw[pos : gap.start()])])
+            yield [*parts, (i, at, raw[pos : gap.start()])]
             parts, size = [], 0
             at, pos = at + len(starts) - (window - 1), starts[-(window - 1)]
         parts.append((i, at, raw[pos:]))
         size += len(raw) - pos
         if size >= PIECE:
-            yield flush(parts)
+            yield parts
             parts, size = [], 0
     if parts:
-        yield flush(parts)
+        yield parts
+
+
+def _hashed(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the pieces and the owner of each word, from 0."""
+    hashes = [word_hashes(raw) for _, _, raw in parts]
+    return np.concatenate(hashes), np.repeat(np.arange(len(parts)), [len(h) for h in hashes])
+
+
+def pieces(texts, window: int):
+    """Batches of whole texts or pieces: (word hashes, owner of each word,
+    text and first word number of each owner's piece)."""
+    for parts in _cut(texts, window):
+        yield *_hashed(parts), [(i, at) for i, at, _ in parts]
 
 
 class Parse:
@@ -227,19 +240,21 @@ def phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _checked_windows(docs: DataFrame, work: DataFrame, window: int) -> DataFrame:
-    """Hashes of all windows of the phrases in ``work``.
+#: A phrase to parse: ``whole`` if it stands twice or more, ``loops`` if it holds
+#: its anchor gram twice, ``ref`` if indexed, ``every`` if all its windows count.
+TODO = [("first", "integer"), ("windows", "integer"), ("anchor", "long"), ("content", "long")]
+TODO += [(name, "boolean") for name in ("whole", "loops", "ref", "every")]
+
 
-    ``work``: (doc_id, text_hash, todo array<struct<first, windows, anchor, whole>>).
-    """
+def _phrase_texts(docs: DataFrame, work: DataFrame, window: int, gram: int) -> DataFrame:
+    """The phrases in ``work`` (doc_id, text_hash, todo array<struct<TODO>>), a
+    row each, with ``at``, the place of the anchor gram in the phrase (-1 if twice), and
+    ``words``, its words joined by one space."""
     rows = _narrow(docs)
     both = left_lookup(rows, work, KEY, "inner").select(*KEY, "text", "todo")
-    schema = T.StructType(
-        [*rows.schema.fields[:2]]
-        + [T.StructField(n, t) for n, t in (
-            ("at", T.IntegerType()), ("anchor", T.LongType()), ("hash", T.LongType()), ("whole", T.BooleanType()),
-        )]
-    )
+    schema = T.StructType(rows.schema.fields[:2])
+    for name, kind in [*TODO, ("at", "integer"), ("words", "binary")]:
+        schema = schema.add(name, kind)
 
     def run(batches):
         for b in batches:
@@ -247,35 +262,141 @@ def _checked_windows(docs: DataFrame, work: DataFrame, window: int) -> DataFrame
             items = todo.flatten()
             off = todo.offsets.to_numpy() - todo.offsets[0].as_py()
             first, count = (items.field(k).to_numpy() for k in (0, 1))
-            anchor, whole = items.field(2).to_numpy(), items.field(3).to_numpy(zero_copy_only=False)
-            for hashes, owner, parts in pieces(_texts(b.column(2)), window):
-                text = Rolling(hashes, "text")
+            looped = items.field(5).to_pylist()
+            for parts in _cut(_texts(b.column(2)), window):
+                hashes, owner = _hashed(parts)
+                if len(hashes) < window:
+                    continue
+                i = np.arange(len(hashes) - gram + 1)
+                grams = _mix(Rolling(hashes, "gram")(i, i + gram))
                 begin = np.searchsorted(owner, np.arange(len(parts)))
                 sizes = np.searchsorted(owner, np.arange(len(parts)), side="right") - begin
-                out = []
-                for j, (i, at) in enumerate(parts):
-                    own = slice(off[i], off[i + 1])
-                    f = first[own].astype(np.int64)
-                    here = (f >= at) & (f + count[own] + window - 1 <= at + sizes[j])
-                    n = count[own][here].astype(np.int64)
-                    if not len(n):
+                item, who, place, texts = [], [], [], []
+                for j, (i, at, raw) in enumerate(parts):
+                    f, n = first[off[i] : off[i + 1]] - at, count[off[i] : off[i + 1]]
+                    here = np.flatnonzero((f >= 0) & (f + n + window - 1 <= sizes[j]))
+                    if not len(here):
                         continue
-                    start = np.repeat(f[here] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    out.append((
-                        np.full(len(start), i), start, start - at + begin[j],
-                        np.repeat(anchor[own][here], n), np.repeat(whole[own][here], n),
-                    ))
-                if not out:
+                    ws = raw.split()
+                    for k, x, c in zip(here.tolist(), f[here].tolist(), n[here].tolist()):
+                        last = x + c - 1  # all windows hold the gram: it stands from here to the first window's end
+                        alone = grams[begin[j] + last : begin[j] + x + window - gram + 1]
+                        place.append(-1 if looped[off[i] + k] else c - 1 + int(alone.argmin()))
+                        texts.append(b" ".join(ws[x : last + window]))
+                        item.append(off[i] + k)
+                        who.append(i)
+                if item:
+                    own, item = pa.array(who, pa.int64()), pa.array(np.array(item))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(own), b.column(1).take(own)]
+                        + [items.field(k).take(item) for k in range(len(TODO))]
+                        + [pa.array(place, pa.int32()), pa.array(texts, pa.binary())],
+                        names=schema.names,
+                    )
+
+    return both.mapInArrow(run, schema)
+
+
+def _common(a: list[bytes], b: list[bytes]) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def factors(words: list[bytes], at: int, indexed: list[tuple[list[bytes], int]], window: int, gram: int):
+    """Greedy parse of a phrase against a block's indexed phrases.
+
+    Both hold the block's anchor gram once, at ``at``.  Returns the factors
+    (first word, end, number of the indexed phrase, first word there) and the
+    starts of the windows that no factor holds."""
+    matches = []
+    for k, (other, there) in enumerate(indexed):
+        right = _common(words[at:], other[there:])
+        if right >= gram:  # else another gram with the anchor's hash
+            left = _common(words[:at][::-1], other[:there][::-1])
+            matches.append((at + right, at - left, k, there - at))
+    found, rest, s = [], [], 0
+    while s <= len(words) - window:
+        end, _, k, shift = max((m for m in matches if m[1] <= s), default=(0, 0, 0, 0))
+        if end - s >= window:
+            found.append((s, end, k, s + shift))
+            s = end - window + 1  # the first window over the factor's boundary
+        else:
+            rest.append(s)
+            s += 1
+    return found, rest
+
+
+def _factored(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Spans and open windows of the phrases: (doc_id, text_hash, first, len,
+    anchor, hash, whole); ``hash`` is null for a span of a factor."""
+    place = F.struct("content", "at", "words", *KEY, "first")
+    refs = texts.filter("ref").groupBy("anchor").agg(F.collect_list(place).alias("refs"))  # LANES at most
+    both = left_lookup(texts, refs, ["anchor"]).select(
+        *KEY, "first", "windows", "anchor", "content", "whole", "loops", "every", "at", "words", "refs"
+    )
+    schema = T.StructType(both.schema.fields[:2])
+    for name, kind in (("first", "integer"), ("len", "integer"), ("anchor", "long"), ("hash", "long"), ("whole", "boolean")):
+        schema = schema.add(name, kind)
+
+    def spans(doc, text, found):
+        """Rows of (row number, first, len) triples."""
+        who, first, n = (pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32())))
+        none = pa.nulls(len(who), pa.int64())
+        cols = [doc.take(who), text.take(who), first, n, none, none, pa.nulls(len(who), pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    def run(batches):
+        for b in batches:
+            col = dict(zip(b.schema.names, b.columns))
+            first, windows, content, at, loops, every, words = (
+                col[n].to_pylist() for n in ("first", "windows", "content", "at", "loops", "every", "words")
+            )
+            refs = col["refs"]
+            index = refs.flatten()
+            off = (refs.offsets.to_numpy() - refs.offsets[0].as_py()).tolist()
+            ref_content, ref_at, ref_words, ref_first = (index.field(k).to_pylist() for k in (0, 1, 2, 5))
+            anchors, indexed, block = col["anchor"].to_pylist(), [], None
+            here, there, open_windows = [], set(), []
+            for r, phrase in enumerate(words):
+                if loops[r]:
+                    open_windows.append((r, range(windows[r])))
                     continue
-                who, start, pos, a, w = (np.concatenate(x) for x in zip(*out))
-                who = pa.array(who)
+                if anchors[r] != block:  # rows of a block come together
+                    block = anchors[r]
+                    indexed = [(k, ref_words[k].split(b" "), ref_at[k]) for k in range(off[r], off[r + 1])]
+                others = [x for x in indexed if ref_content[x[0]] != content[r]]
+                found, rest = factors(phrase.split(b" "), at[r], [x[1:] for x in others], window, gram)
+                for start, end, k, begin in found:
+                    k = others[k][0]
+                    here.append((r, first[r] + start, end - start))
+                    there.add((k, ref_first[k] + begin, end - start))
+                if every[r] or rest:
+                    open_windows.append((r, range(windows[r]) if every[r] else rest))
+            if here:
+                yield spans(col["doc_id"], col["text_hash"], here)
+                yield spans(index.field(3), index.field(4), sorted(there))
+            if open_windows:
+                hashes = word_hashes(b" ".join(words))
+                begin = np.cumsum([0, *(n + window - 1 for n in windows)])
+                who = np.repeat([r for r, _ in open_windows], [len(x) for _, x in open_windows])
+                start = np.concatenate([np.array(x) for _, x in open_windows])
+                pos, rows_at = begin[who] + start, pa.array(who)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).take(who), b.column(1).take(who), pa.array(start.astype(np.int32)), pa.array(a),
-                        pa.array(_mix(text(pos, pos + window)).view(np.int64)), pa.array(w),
+                        col["doc_id"].take(rows_at),
+                        col["text_hash"].take(rows_at),
+                        pa.array((np.array(first)[who] + start).astype(np.int32)),
+                        pa.array(np.full(len(who), window, dtype=np.int32)),
+                        col["anchor"].take(rows_at),
+                        pa.array(_mix(Rolling(hashes, "text")(pos, pos + window)).view(np.int64)),
+                        col["whole"].take(rows_at),
                     ],
                     names=schema.names,
-                )
+                )
 
     return both.mapInArrow(run, schema)
 
@@ -284,15 +405,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """(doc_id, text_hash, spans array<struct<first, len>>) where there are any."""
     found = written(phrases(docs, window, gram), "phrases")
     blocks = found.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.max("loops").alias("loops")
+        F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.max("loops").alias("looped")
     )
-    blocks = blocks.filter((F.col("n") > 1) | F.col("loops"))
-    mixed = (F.col("a") != F.col("b")) | F.col("loops")
-    blocks = written(blocks.select("anchor", mixed.alias("mixed")), "blocks")
-    shared = written(found.join(blocks, "anchor").drop("loops"), "shared-phrases")
+    blocks = blocks.filter((F.col("n") > 1) | F.col("looped"))
+    mixed = (F.col("a") != F.col("b")) | F.col("looped")
+    blocks = written(blocks.select("anchor", "looped", mixed.alias("mixed")), "blocks")
+    shared = written(found.join(blocks, "anchor"), "shared-phrases")
 
     # blocks with different phrases: each of them once, at its first place
-    place = F.min(F.struct(*KEY, "first", "windows"))
+    place = F.min(F.struct(*KEY, "first", "windows", "loops", "looped"))
     kinds = shared.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), place.alias("at"))
     kinds = written(kinds, "phrase-kinds")
     whole = kinds.filter("n > 1").select(F.col("anchor").alias("__a"), F.col("content").alias("__c"))
@@ -303,24 +424,33 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         .select(*KEY, span.alias("span"))
     )
 
-    # their windows, counted; those of a phrase that stands twice or more count twice
+    # a block's indexed phrases: per residue the one that stands most often
+    lane = F.pmod("content", F.lit(LANES))
+    most = [F.max(F.when(lane == i, F.struct("n", "content")))["content"].alias(f"l{i}") for i in range(LANES)]
+    index = kinds.filter("NOT at.loops").groupBy("anchor").agg(*most)
+    index = index.select("anchor", F.array(*[f"l{i}" for i in range(LANES)]).alias("index"))
+    ref = F.coalesce(F.exists("index", lambda c: c == F.col("content")), F.lit(False))
     todo = F.struct(
-        F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), "anchor", (F.col("n") > 1).alias("whole")
-    )
-    work = kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
-        F.collect_list(todo).alias("todo")
-    )
-    # (a row that is repeated gives its windows for each repeat, but then all
+        "at.first", "at.windows", "anchor", "content", (F.col("n") > 1).alias("whole"), "at.loops",
+        ref.alias("ref"), (F.col("at.looped") & ref).alias("every"),
+    )
+    work = kinds.join(index, "anchor", "left").select("at.doc_id", "at.text_hash", todo.alias("todo"))
+    work = written(work.groupBy(*KEY).agg(F.collect_list("todo").alias("todo")), "phrase-work")
+    # (a row that is repeated gives its phrases for each repeat, but then all
     # its phrases stand twice or more, and their windows count as such anyway)
-    wins = written(_checked_windows(docs, written(work, "boundary-work"), window), "windows")
+    texts = written(_phrase_texts(docs, work, window, gram), "phrase-texts")
+    parsed = written(_factored(texts, window, gram), "factors")
+
+    # windows in no factor, counted; those of a phrase that stands twice or more count twice
+    wins = parsed.filter("hash IS NOT NULL")
     total = F.sum(F.when(F.col("whole"), 2).otherwise(1))
     twice = written(
         wins.groupBy("anchor", "hash").agg(total.alias("n")).filter("n > 1").select("anchor", "hash"), "repeats"
     )
     parts = wins.filter("NOT whole").join(twice, ["anchor", "hash"], "left_semi")
-    partly = parts.select(*KEY, F.struct(F.col("at").alias("first"), F.lit(window).alias("len")).alias("span"))
-    spans = copied.union(partly).groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
-    return written(spans, "spans")
+    partly = parsed.filter("hash IS NULL").union(parts.select(*parsed.columns))
+    spans = copied.union(partly.select(*KEY, F.struct("first", "len").alias("span")))
+    return written(spans.groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def cut(words: list[bytes], spans) -> list[bytes]:

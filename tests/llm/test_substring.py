@@ -88,3 +88,47 @@ def test_empty_table_and_clashing_columns(spark):
 def test_a_window_needs_two_words():
     with pytest.raises(ValueError, match="two words"):
         list(substring.pieces([b"a"], 1))
+
+
+def phrase(text):
+    return text.encode().split(b" ")
+
+
+def test_greedy_factors_are_the_longest_matches_and_go_on_at_their_boundary():
+    own = phrase("a b c G H d e f g")
+    indexed = [(phrase("x b c G H d e y"), 3), (phrase("c G H d e f g z"), 1), (phrase("a b c G X d e"), 3)]
+    found, rest = substring.factors(own, 3, indexed, window=5, gram=2)
+    # from b the first phrase gives 6 words; the next window starts at G, in the second phrase only
+    assert found == [(1, 7, 0, 1), (3, 9, 1, 1)]
+    assert rest == [0]
+    assert substring.factors(own, 3, [], 5, 2) == ([], [0, 1, 2, 3, 4])
+
+
+def test_a_factor_needs_equal_words_not_equal_hashes():
+    """An indexed phrase whose anchor gram only shares the hash matches nothing."""
+    found, rest = substring.factors(phrase("a b G H c d"), 2, [(phrase("a b X Y c d"), 2)], 4, 2)
+    assert not found and rest == [0, 1, 2]
+
+
+def test_blocks_with_more_phrases_than_their_index_holds(spark):
+    """One anchor passage in very many texts with other words around it, of
+    which pairs agree in part: most agree outside the index."""
+    rng = random.Random(3)
+    core = [f"c{j}" for j in range(8)]
+    data = []
+    for i in range(300):
+        left, right = ([f"{s}{rng.randrange(2)}{j}" if j < 6 else f"{s}{i}x{j}" for j in range(12)] for s in "lr")
+        data.append((i, " ".join(left[::-1] + core + right)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    for window in (12, 15, 18):
+        same(found(df, window, 4), brute(data, window))
+
+
+def test_spans_of_parts_of_phrases_come_from_the_factors(spark, monkeypatch):
+    shared = " ".join(f"s{j}" for j in range(40))
+    data = [(i, " ".join(f"d{i}w{j}" for j in range(30)) + " " + shared + f" e{i}") for i in range(2)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    same(found(df, 35, 8), brute(data, 35))
+    real = substring._factored
+    monkeypatch.setattr(substring, "_factored", lambda *a: real(*a).filter("hash IS NOT NULL"))
+    assert sum(r[2] for r in found(df, 35, 8)) < 80
