@@ -55,6 +55,7 @@ from .common import left_lookup, text_hash, unpacked, written
 WINDOW, GRAM = 35, 8
 PIECE = 1 << 20
 LANES = 4  # indexed phrases of a block, at most
+SHARE = 1024  # phrases of a block to a copy of its index
 KEY = ["doc_id", "text_hash"]
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -242,7 +243,7 @@ def phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 #: A phrase to parse: ``whole`` if it stands twice or more, ``loops`` if it holds
 #: its anchor gram twice, ``ref`` if indexed, ``every`` if all its windows count.
-TODO = [("first", "integer"), ("windows", "integer"), ("anchor", "long"), ("content", "long")]
+TODO = [("first", "integer"), ("windows", "integer"), ("anchor", "long"), ("content", "long"), ("salt", "long"), ("salts", "long")]
 TODO += [(name, "boolean") for name in ("whole", "loops", "ref", "every")]
 
 
@@ -262,7 +263,7 @@ def _phrase_texts(docs: DataFrame, work: DataFrame, window: int, gram: int) -> D
             items = todo.flatten()
             off = todo.offsets.to_numpy() - todo.offsets[0].as_py()
             first, count = (items.field(k).to_numpy() for k in (0, 1))
-            looped = items.field(5).to_pylist()
+            looped = items.field(7).to_pylist()
             for parts in _cut(_texts(b.column(2)), window):
                 hashes, owner = _hashed(parts)
                 if len(hashes) < window:
@@ -332,10 +333,17 @@ def factors(words: list[bytes], at: int, indexed: list[tuple[list[bytes], int]],
 
 def _factored(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """Spans and open windows of the phrases: (doc_id, text_hash, first, len,
-    anchor, hash, whole); ``hash`` is null for a span of a factor."""
+    anchor, hash, whole); ``hash`` is null for a span of a factor.
+
+    A block's index is copied for every ``SHARE`` phrases of the block, and
+    the phrases are spread over the copies, so that no task gets a whole hot
+    block."""
     place = F.struct("content", "at", "words", *KEY, "first")
-    refs = texts.filter("ref").groupBy("anchor").agg(F.collect_list(place).alias("refs"))  # LANES at most
-    both = left_lookup(texts, refs, ["anchor"]).select(
+    refs = texts.filter("ref").groupBy("anchor").agg(  # LANES phrases at most
+        F.collect_list(place).alias("refs"), F.max("salts").alias("salts")
+    )
+    refs = refs.select("anchor", "refs", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = left_lookup(texts, written(refs, "block-index"), ["anchor", "salt"]).select(
         *KEY, "first", "windows", "anchor", "content", "whole", "loops", "every", "at", "words", "refs"
     )
     schema = T.StructType(both.schema.fields[:2])
@@ -350,7 +358,7 @@ def _factored(texts: DataFrame, window: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches):
-        for b in batches:
+        for b in (batch.slice(i, SHARE) for batch in batches for i in range(0, batch.num_rows, SHARE)):
             col = dict(zip(b.schema.names, b.columns))
             first, windows, content, at, loops, every, words = (
                 col[n].to_pylist() for n in ("first", "windows", "content", "at", "loops", "every", "words")
@@ -409,11 +417,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
     blocks = blocks.filter((F.col("n") > 1) | F.col("looped"))
     mixed = (F.col("a") != F.col("b")) | F.col("looped")
-    blocks = written(blocks.select("anchor", "looped", mixed.alias("mixed")), "blocks")
+    salts = F.ceil(F.col("n") / SHARE).alias("salts")
+    blocks = written(blocks.select("anchor", "looped", mixed.alias("mixed"), salts), "blocks")
     shared = written(found.join(blocks, "anchor"), "shared-phrases")
 
     # blocks with different phrases: each of them once, at its first place
-    place = F.min(F.struct(*KEY, "first", "windows", "loops", "looped"))
+    place = F.min(F.struct(*KEY, "first", "windows", "loops", "looped", "salts"))
     kinds = shared.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("n"), place.alias("at"))
     kinds = written(kinds, "phrase-kinds")
     whole = kinds.filter("n > 1").select(F.col("anchor").alias("__a"), F.col("content").alias("__c"))
@@ -428,13 +437,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     lane = F.pmod("content", F.lit(LANES))
     most = [F.max(F.when(lane == i, F.struct("n", "content")))["content"].alias(f"l{i}") for i in range(LANES)]
     index = kinds.filter("NOT at.loops").groupBy("anchor").agg(*most)
-    index = index.select("anchor", F.array(*[f"l{i}" for i in range(LANES)]).alias("index"))
-    ref = F.coalesce(F.exists("index", lambda c: c == F.col("content")), F.lit(False))
+    index = index.select("anchor", F.explode(F.array(*[f"l{i}" for i in range(LANES)])).alias("content"))
+    index = written(index.filter("content IS NOT NULL").withColumn("indexed", F.lit(True)), "indexed-phrases")
+    ref = F.col("indexed").isNotNull()
     todo = F.struct(
-        "at.first", "at.windows", "anchor", "content", (F.col("n") > 1).alias("whole"), "at.loops",
-        ref.alias("ref"), (F.col("at.looped") & ref).alias("every"),
+        "at.first", "at.windows", "anchor", "content", F.pmod(F.xxhash64("content"), "at.salts").alias("salt"),
+        "at.salts", (F.col("n") > 1).alias("whole"), "at.loops", ref.alias("ref"),
+        (F.col("at.looped") & ref).alias("every"),
     )
-    work = kinds.join(index, "anchor", "left").select("at.doc_id", "at.text_hash", todo.alias("todo"))
+    work = left_lookup(kinds, index, ["anchor", "content"]).select("at.doc_id", "at.text_hash", todo.alias("todo"))
     work = written(work.groupBy(*KEY).agg(F.collect_list("todo").alias("todo")), "phrase-work")
     # (a row that is repeated gives its phrases for each repeat, but then all
     # its phrases stand twice or more, and their windows count as such anyway)

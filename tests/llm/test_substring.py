@@ -132,3 +132,13 @@ def test_spans_of_parts_of_phrases_come_from_the_factors(spark, monkeypatch):
     real = substring._factored
     monkeypatch.setattr(substring, "_factored", lambda *a: real(*a).filter("hash IS NOT NULL"))
     assert sum(r[2] for r in found(df, 35, 8)) < 80
+
+
+def test_a_hot_block_is_parsed_with_copies_of_its_index(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARE", 7)
+    rng = random.Random(4)
+    core = [f"c{j}" for j in range(9)]
+    data = [(i, " ".join([f"l{rng.randrange(40)}", *core, f"r{rng.randrange(40)}", f"x{i}"])) for i in range(200)]
+    data += [(200 + i, " ".join([*core, *core, f"y{i % 3}"])) for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    same(found(df, 10, 4), brute(data, 10))
