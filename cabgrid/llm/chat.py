@@ -13,7 +13,9 @@ does not hold yet - once, depth first.  A pack ends after ``pack_chars``; the
 next one repeats the ancestors it needs.  So neither a first turn that a third
 of all conversations share nor a very large tree meets in one task: the
 sort splits anywhere between two different conversations, and equal
-conversations are merged beforehand by a combining aggregate.
+conversations are merged beforehand by an aggregate over ``SALTS`` parts of
+their ids, so that none gathers all copies; the walk merges what is left, at
+most ``SALTS`` rows a conversation, which the sort puts side by side.
 
 A pack holds its text and its nodes (turns): ``start`` and ``end`` in the text,
 ``position`` (position id of its first character: its distance from the start
@@ -43,6 +45,7 @@ from .common import left_lookup, written
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 PACK_CHARS = 1 << 16
+SALTS = 64
 _OUT, _BACK = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_OUT = {"\\": "\\\\", "\n": "\\n", "<": "\\l"}
 _ROLE_BACK = {"\\\\": "\\", "\\n": "\n", "\\l": "<"}
@@ -160,15 +163,19 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 def packs(convs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     """(text, nodes, convs) of the distinct conversations of ``convs``."""
-    one = convs.groupBy("conv_key").agg(F.first("turns").alias("turns"))
+    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("__salt")
+    one = convs.groupBy("conv_key", salt).agg(F.first("turns").alias("turns"))
     path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
     ordered = one.withColumn("path", path)
-    ordered = ordered.repartitionByRange("path").sortWithinPartitions("path").select("conv_key", "turns")
+    ordered = ordered.repartitionByRange("path").sortWithinPartitions("path", "conv_key").select("conv_key", "turns")
 
     def run(batches):
-        pack = Pack()
+        pack, last = Pack(), None
         for b in batches:
             for key, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key == last:
+                    continue
+                last = key
                 if pack.size >= pack_chars:
                     yield pack.batch()
                     pack = Pack()

@@ -76,6 +76,17 @@ def test_packs_are_bounded(spark):
     assert all(len(p.text) <= 1000 + longest for p in chat.packs(convs, 1000).collect())
 
 
+def test_copies_of_a_conversation_are_packed_once(spark):
+    """A third of all conversations are equal, others share their first turn."""
+    data = [(c, t, "user" if t == 0 else "assistant", ["q", "a"][t] if c % 3 == 0 else ["q", f"a{c % 50}"][t])
+            for c in range(600) for t in range(2)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(6)
+    for size in (1, 1 << 16):
+        keys = [c.conv_key for p in chat.packs(chat.conversations(df), size).collect() for c in p.convs]
+        assert len(keys) == len(set(keys)) == len({tuple(d[3] for d in data if d[0] == c) for c in range(150)})
+    same(chat.digest(df).collect(), brute(data))
+
+
 def test_empty_table(spark):
     assert chat.packs(chat.conversations(spark.createDataFrame([], SCHEMA))).count() == 0
     same(chat.digest(spark.createDataFrame([], SCHEMA)).collect(), brute([]))
