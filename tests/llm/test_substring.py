@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from fixtures import rows, same, table
 
@@ -142,3 +143,36 @@ def test_a_hot_block_is_parsed_with_copies_of_its_index(spark, monkeypatch):
     data += [(200 + i, " ".join([*core, *core, f"y{i % 3}"])) for i in range(20)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     same(found(df, 10, 4), brute(data, 10))
+
+
+def exact_count(data):
+    """The contract's rows by exact names of windows: equal stretches of words
+    get equal numbers, from one word to 32 by doubling, then 35; no hashes."""
+    words = [(t or "").encode().split() for _, t in data]
+    number = {}
+    cur = flat = np.array([number.setdefault(w, len(number)) for ws in words for w in ws])
+    owner = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+    for step in (1, 2, 4, 8, 16, 3):
+        pair = cur[:-step] * (int(cur.max()) + 1) + cur[step:]
+        cur = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    inside = owner[: len(cur)] == owner[34:]
+    count = np.bincount(cur[inside], minlength=int(cur.max()) + 1)
+    start = np.flatnonzero(inside & (count[cur] > 1))
+    edge = np.zeros(len(flat) + 1, dtype=np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + 35, -1)
+    gone, at, out = np.cumsum(edge) > 0, 0, []
+    for (i, _), ws in zip(data, words):
+        own = gone[at : at + len(ws)]
+        kept = b" ".join(w for w, g in zip(ws, own) if not g)
+        out.append((i, len(ws), int(own.sum()), hashlib.sha256(kept).hexdigest()))
+        at += len(ws)
+    return out
+
+
+def test_whole_table_equals_an_exact_count(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    data = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    got = substring.digest(df).collect()
+    same(got, exact_count(data))
+    assert sum(r.n_removed for r in got) > 0
