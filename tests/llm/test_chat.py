@@ -118,3 +118,65 @@ def test_tokens_spell_every_conversation_and_its_loss(spark):
             assert [chat.unescape(x) for x in learnt if x] == [t for r, t in turns if r == chat.TRAINED and t]
             seen.add(c.conv_key)
     assert seen == set(want)
+
+
+def long_ones():
+    """A conversation with a third of all rows, copies of it, branches of it, and short ones."""
+    turn = lambda c, t: (c, t, ["user", "assistant"][t % 2], f"{t} <|im_end|> " + "é" * (t % 50))
+    data = [turn(1, t) for t in range(900)]
+    data += [turn(c, t) for c in (2, 3) for t in range(300)]  # the first 300 turns of it, twice
+    data += [(3, 300, "user", "another way"), (4, 0, "user", "z" * 900), (4, 1, "assistant", "short")]
+    data += [(5, 0, "user", "x" * 50)] + [(None, None, "assistant", f"{i % 7}") for i in range(200)]
+    return data + [(c, t, "user", f"{c} {t}") for c in range(1000, 1300) for t in range(2)]
+
+
+@pytest.mark.parametrize("part_chars", [1, 100, 1000, 1 << 16])
+def test_conversations_go_on_over_parts_and_tasks(spark, part_chars):
+    for data in (long_ones(), awkward()[:800]):
+        df = spark.createDataFrame(data, SCHEMA).repartition(4)
+        same(chat.digest(df, part_chars).collect(), brute(data))
+
+
+def test_no_row_holds_a_long_conversation(spark):
+    """Runs of several tasks, parts and packs are bounded, and positions go on over parts."""
+    data = long_ones()
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(data, SCHEMA).repartition(4)
+        runs = chat._runs(df)
+        assert runs.filter("conv_id = 1").select("task").distinct().count() > 1
+        parts = chat.conversations(df, 500)
+        packs = chat.packs(parts, 500).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    longest = max(len(chat.format_turn(r or "", x or "")[0]) for _, _, r, x in data)
+    rows = parts.collect()
+    assert max(sum(len(chat.format_turn(*t)[0]) for t in p.turns) for p in rows) < 500 + longest
+    assert max(len(p.text) for p in packs) <= 1000 + 2 * longest
+    ends = {c.conv_key: p.nodes[c.node] for p in packs for c in p.convs}
+    assert set(ends) == {p.conv_key for p in rows} and len(ends) == sum(len(p.convs) for p in packs)
+    for p in packs:  # a part starts where the path before it ends
+        root = p.nodes[0]
+        want = ends[p.prefix].position + ends[p.prefix]["end"] - ends[p.prefix].start if p.prefix else 0
+        assert root.position == want
+    by = collections.defaultdict(list)
+    for p in sorted(rows, key=lambda p: p.part):
+        by[p.conv_id].append(p)
+    for own in by.values():  # the parts of a conversation are a chain
+        assert [p.prefix for p in own] == ["", *[p.conv_key for p in own[:-1]]]
+    shared = [p.conv_key for p in by[2]]
+    assert shared[:-1] == [p.conv_key for p in by[1]][: len(shared) - 1] == [p.conv_key for p in by[3]][: len(shared) - 1]
+
+
+def test_path_hashes_join():
+    turns = [("user", "a"), ("assistant", ""), ("user", "a"), ("", "b")]
+    for cut in range(5):
+        left = right = 0
+        for t in turns[:cut]:
+            left = chat._step(left, *t)
+        for t in turns[cut:]:
+            right = chat._step(right, *t)
+        whole = chat._joined(left, len(turns) - cut, right)
+        assert cut == 0 or whole == chat._joined(0, 4, seen)
+        seen = whole
