@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .._cols import typed_once
 from ..functions.geo import cell_id, cell_name, cell_x, cell_y
 from ..functions.timeparts import (
     day_number,
@@ -77,7 +78,10 @@ _INDEX = ("_day", "_hour", "_cx", "_cy")
 
 
 def _dropoff_index(trips: DataFrame, from_minute: int) -> DataFrame:
-    return last_minutes_dropoffs(usable(trips), from_minute).select(
+    read = typed_once(
+        trips, ["dropoff_ts", "fare_amount", "tip_amount"], ["dropoff_longitude", "dropoff_latitude"]
+    )
+    return last_minutes_dropoffs(usable(read), from_minute).select(
         day_number("dropoff_ts").alias("_day"),
         F.hour("dropoff_ts").alias("_hour"),
         cell_x("dropoff_longitude").alias("_cx"),

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .._cols import typed_once
 from ..functions.geo import cell_name, cell_x, cell_y, route_id, with_cells
+from ..functions.quality import COORDINATES
 from ..functions.timeparts import day_number, hour_number_text, hour_text, weekday_from_number, weekday_name
 from .topk import ranked_index, top_n_per_group
 
@@ -36,7 +38,7 @@ def _index_counts(trips: DataFrame) -> DataFrame:
     A plain count: Spark combines map-side, so a hot route costs one row per
     map task in the shuffle, whatever its size.
     """
-    t = trips.where(F.col("pickup_ts").isNotNull())
+    t = typed_once(trips, ["pickup_ts"], COORDINATES).where(F.col("pickup_ts").isNotNull())
     keyed = t.select(
         day_number("pickup_ts").alias("_day"),
         F.hour("pickup_ts").alias("_hour"),

@@ -151,3 +151,22 @@ def test_trip_rows_have_cells_and_taxi(spark, scratch):
     assert got[0].pickup_cell == "161.170" and got[0].dropoff_cell == "160.170"
     bad = [r for r in got if r.pickup_longitude is None]
     assert bad and all(r.pickup_cell is None for r in bad)
+
+
+def test_every_text_field_is_parsed_once(spark, tmp_path):
+    from conftest import plan_text
+
+    from cabgrid.plans import frequent_routes, profitable_areas
+
+    path = _write(str(tmp_path / "in"))
+    fields = {frequent_routes: ["pickup_datetime"], profitable_areas: ["dropoff_datetime", "fare_amount", "tip_amount"]}
+    for question, parsed in fields.items():
+        for read in (read_trips_text, read_trips_csv):
+            plan = plan_text(question(read(spark, path)), "extended")
+            logical = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+            assert logical.count("try_cast(") == len(parsed)
+            for name in parsed:
+                assert logical.count(f"try_cast({name}#") + logical.count(f"try_cast(trim({name}#") == 1
+            # the coordinates still reach the scan
+            pushed = [ln for ln in plan.splitlines() if "PushedFilters" in ln]
+            assert pushed and "IsNotNull(pickup_longitude)" in pushed[0]
