@@ -23,10 +23,8 @@ path does not hold yet - once, depth first.  A pack ends after ``pack_chars``
 or where the path before it changes; a next one of the same path repeats the
 ancestors it needs within the part.  So neither a first turn that a third of
 all conversations share nor a very large tree meets in one task: the sort
-splits anywhere between two different parts, and equal parts are merged
-beforehand by an aggregate over ``SALTS`` parts of their conversations' ids, so
-that none gathers all copies; the walk merges what is left, at most ``SALTS``
-rows a part, which the sort puts side by side.
+splits anywhere between two different parts, and of equal parts only the one
+of the smallest conversation takes part, found from the parts' keys alone.
 
 A pack holds its text and its nodes (turns): ``start`` and ``end`` in the text,
 ``position`` (position id of its first character: its distance from the start
@@ -64,7 +62,6 @@ from .common import left_lookup, written
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 PACK_CHARS = PART_CHARS = 1 << 16
-SALTS = 64
 PRIME, BASE = (1 << 127) - 1, 0x5DEECE66D1CE4E5B9BF58476D1CE4E5  # of the path hash
 _OUT, _BACK = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE_OUT = {"\\": "\\\\", "\n": "\\n", "<": "\\l"}
@@ -316,20 +313,19 @@ def conversations(rows: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
 
 def packs(parts: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     """(text, nodes, convs, prefix) of the distinct parts of :func:`conversations`."""
-    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("__salt")
-    firsts = [F.first(c).alias(c) for c in ("turns", "prefix", "position")]
-    one = parts.groupBy("conv_key", salt).agg(*firsts)  # a key has one prefix and position
+    copies = parts.groupBy("conv_key").agg(F.count("*").alias("n"), F.min(F.struct("conv_id", "part")).alias("first"))
+    copies = written(copies.filter("n > 1").select("conv_key", "first"), "part-copies")
+    one = parts.join(copies, "conv_key", "left").filter(
+        F.col("first").isNull() | F.struct("conv_id", "part").eqNullSafe(F.col("first"))
+    )
     path = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
     ordered = one.withColumn("path", path).repartitionByRange("prefix", "path")
     ordered = ordered.sortWithinPartitions("prefix", "path", "conv_key")
 
     def run(batches):
-        pack, last = Pack(), None
+        pack = Pack()
         for b in batches:
             for key, turns, prefix, position in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if key == last:
-                    continue
-                last = key
                 if pack.size >= pack_chars or prefix != pack.prefix:
                     if pack.convs:
                         yield pack.batch()
