@@ -53,7 +53,7 @@ import re
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -339,7 +339,8 @@ def packs(parts: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
 
 def tokenized(packed: DataFrame, tokenizer_file: str) -> DataFrame:
     """Packs in tokens: (ids, positions, nodes, convs, prefix), nodes in token
-    units; positions count from the start of the pack's part.
+    units; positions count from the start of the pack's part
+    (:func:`from_the_start` makes them the conversation's).
 
     ``tokenizer_file``: a JSON file of the ``tokenizers`` library, read by the
     driver and sent to the tasks once (a vocabulary of some MB, whatever the
@@ -382,6 +383,33 @@ def tokenized(packed: DataFrame, tokenizer_file: str) -> DataFrame:
     return packed.mapInArrow(run, f"ids array<int>, positions array<int>, {PACKS.split(', ', 1)[1]}")
 
 
+def from_the_start(tokens: DataFrame, parts: DataFrame) -> DataFrame:
+    """Packs of :func:`tokenized` with positions counted from the start of
+    their conversations: the tokens of the parts before are added.
+
+    ``tokens`` and ``parts`` are written tables.  Only keys and counts are
+    joined and summed; a path has one length in tokens, whoever shares it.
+    """
+    leaf = F.element_at("nodes", F.col("c.node") + 1)
+    own = tokens.select(F.explode("convs").alias("c"), "nodes").select(
+        F.col("c.conv_key").alias("conv_key"), (leaf["position"] + leaf["end"] - leaf["start"]).alias("n")
+    )
+    several = parts.groupBy("conv_id").agg(F.max("part").alias("last")).filter("last > 0").select("conv_id")
+    chain = left_lookup(parts.select("conv_id", "part", "conv_key"), several, ["conv_id"], "inner")
+    chain = left_lookup(chain, own, ["conv_key"], "inner")
+    upto = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    long = chain.select(F.col("conv_key").alias("prefix"), F.sum("n").over(upto).alias("__base")).distinct()
+    base = F.coalesce(F.col("__base"), F.lit(0))
+    moved = F.transform("nodes", lambda n: n.withField("position", n["position"] + base))
+    return left_lookup(tokens, written(long, "path-tokens"), ["prefix"]).select(
+        "ids",
+        F.transform("positions", lambda p: p + base).alias("positions"),
+        moved.alias("nodes"),
+        "convs",
+        "prefix",
+    )
+
+
 FACTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _FACTS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

@@ -180,3 +180,34 @@ def test_path_hashes_join():
         whole = chat._joined(left, len(turns) - cut, right)
         assert cut == 0 or whole == chat._joined(0, 4, seen)
         seen = whole
+
+
+def test_token_positions_go_on_over_parts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    data = [r for r in long_ones() if r[0] is None or r[0] < 1010]
+    df = spark.createDataFrame(data, SCHEMA)
+    whole = {}
+    for part_chars in (1 << 20, 300):
+        parts = chat.conversations(df, part_chars)
+        tokens = chat.written(chat.tokenized(chat.packs(parts, 1000), path), "test-tokens")
+        done = chat.from_the_start(tokens, parts).collect()
+        assert len(done) == tokens.count()
+        found = {}
+        for p in done:
+            for c in p.convs:
+                own, at = [], c.node
+                while at >= 0:
+                    n = p.nodes[at]
+                    assert p.positions[n.start : n.end] == list(range(n.position, n.position + n["end"] - n.start))
+                    own = list(zip(p.positions[n.start : n.end], p.ids[n.start : n.end])) + own
+                    at = n.parent
+                found[c.conv_key] = own
+        said = {}
+        for r in sorted(parts.collect(), key=lambda r: r.part):
+            said.setdefault(r.conv_id, []).extend(found[r.conv_key])
+        for own in said.values():
+            assert [a for a, _ in own] == list(range(len(own)))
+        whole[part_chars] = said
+    assert whole[1 << 20] == whole[300]
