@@ -199,7 +199,8 @@ def _runs(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     heads = [F.substring(c, 1, 32) for c in ("role", "text")]  # the sort's order, without whole texts as bounds
-    ordered = clean.repartitionByRange("conv_id", "turn", *heads).sortWithinPartitions("conv_id", "turn", "role", "text")
+    keys = ["conv_id", "turn"]
+    ordered = clean.repartitionByRange(*keys, *heads).sortWithinPartitions(*keys, "role", "text")
 
     def run(batches):
         task = TaskContext.get().partitionId()
